@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import sharding
+from quarryline.llm import mixing, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +23,17 @@ def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of weights 3, 1, 2 takes of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_histogram_sort": op1_histogram_sort}
+    return {
+        "op1_histogram_sort": op1_histogram_sort,
+        "op5_sainte_lague": op5_sainte_lague,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
