@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import mixing, sharding
+from quarryline.llm import mixing, secretscan, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +29,19 @@ def op5_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, as counts and spans."""
+    found = secretscan.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("findings", lambda f: f["kind"] != "entropy")
+    count = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secretscan.spans_text(base), 256).alias("base_sha256"), secretscan.spans_text(F.col("findings")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_histogram_sort": op1_histogram_sort,
         "op5_sainte_lague": op5_sainte_lague,
+        "op7_entropy_secrets": op7_entropy_secrets,
     }
 
 
