@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import mixing, secretscan, sharding
+from quarryline.llm import bpe, mixing, secretscan, sharding
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +26,12 @@ def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text decoded from them."""
+    out = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER, decoded="decoded")
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of weights 3, 1, 2 takes of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -40,6 +49,7 @@ def op7_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_histogram_sort": op1_histogram_sort,
+        "op2_segment_tree_bpe": op2_segment_tree_bpe,
         "op5_sainte_lague": op5_sainte_lague,
         "op7_entropy_secrets": op7_entropy_secrets,
     }
