@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import bpe, minhash, mixing, secretscan, sharding
+from quarryline.llm import bpe, embedding_dedup, minhash, mixing, secretscan, sharding
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -32,6 +32,11 @@ def op2_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_spherical_kmeans_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all vectors."""
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op4_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -55,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_histogram_sort": op1_histogram_sort,
         "op2_segment_tree_bpe": op2_segment_tree_bpe,
+        "op3_spherical_kmeans_dedup": op3_spherical_kmeans_dedup,
         "op4_setsketch_near_duplicates": op4_setsketch_near_duplicates,
         "op5_sainte_lague": op5_sainte_lague,
         "op7_entropy_secrets": op7_entropy_secrets,
