@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import bpe, embedding_dedup, minhash, mixing, secretscan, sharding
+from quarryline.llm import bpe, embedding_dedup, hashing_search, minhash, mixing, secretscan, sharding
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -56,6 +56,12 @@ def op7_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secretscan.spans_text(base), 256).alias("base_sha256"), secretscan.spans_text(F.col("findings")).alias("spans"))
 
 
+def op9_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every row whose vec_id is divisible by 20."""
+    rows = _table(spark, sf_dir, "embeddings")
+    return hashing_search.nearest(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_histogram_sort": op1_histogram_sort,
@@ -64,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_setsketch_near_duplicates": op4_setsketch_near_duplicates,
         "op5_sainte_lague": op5_sainte_lague,
         "op7_entropy_secrets": op7_entropy_secrets,
+        "op9_multi_index_hashing": op9_multi_index_hashing,
     }
 
 
