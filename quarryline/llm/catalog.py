@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import bpe, embedding_dedup, hashing_search, minhash, mixing, secretscan, sharding
+from quarryline.llm import bpe, embedding_dedup, hashing_search, minhash, mixing, quality, secretscan, sharding, substring_dedup
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -56,12 +56,25 @@ def op7_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secretscan.spans_text(base), 256).alias("base_sha256"), secretscan.spans_text(F.col("findings")).alias("spans"))
 
 
+def op8_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.LEAST).cast("int").alias("predicted"))
+
+
 def op9_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every row whose vec_id is divisible by 20."""
     rows = _table(spark, sf_dir, "embeddings")
     return hashing_search.nearest(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier place has too."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs).select("doc_id", "n_sentences", "n_removed", "removed_words", "removed", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_histogram_sort": op1_histogram_sort,
@@ -70,7 +83,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_setsketch_near_duplicates": op4_setsketch_near_duplicates,
         "op5_sainte_lague": op5_sainte_lague,
         "op7_entropy_secrets": op7_entropy_secrets,
+        "op8_random_indexing_quality": op8_random_indexing_quality,
         "op9_multi_index_hashing": op9_multi_index_hashing,
+        "op10_sentence_spans": op10_sentence_spans,
     }
 
 

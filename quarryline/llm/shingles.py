@@ -27,8 +27,16 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of each word; ``offsets`` are the texts' bounds in ``data``."""
+def word_table(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Bytes and bounds of the texts; for each word its hash, text number, first byte and byte after the last.
+
+    Words are runs of bytes other than white space; A-Z count as a-z. Nulls are empty.
+    """
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    _, bounds, data = texts.buffers()
+    offsets = np.frombuffer(bounds, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+    offsets = offsets - offsets[0]
     word = (data != 32) & ((data < 9) | (data > 13))
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
@@ -39,8 +47,9 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), out=sums[1:])
-    hashes = mixed((sums[end] - sums[start]) * _powers(_INVERSE, len(data) + 1)[start] + (end - start).astype(np.uint64))
-    return hashes, np.searchsorted(offsets, start, "right") - 1
+    with np.errstate(over="ignore"):
+        hashes = mixed((sums[end] - sums[start]) * _powers(_INVERSE, len(data) + 1)[start] + (end - start).astype(np.uint64))
+    return data, offsets, hashes, np.searchsorted(offsets, start, "right") - 1, start, end
 
 
 def sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
@@ -49,13 +58,8 @@ def sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
     Words are runs of bytes other than white space, A-Z lower-cased. A text of fewer
     words has its whole sequence as one shingle; one without words, or a null, has none.
     """
-    texts = texts.cast(pa.large_binary()).fill_null(b"")
-    _, bounds, data = texts.buffers()
-    offsets = np.frombuffer(bounds, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
-    offsets = offsets - offsets[0]
+    _, _, word, doc, _, _ = word_table(texts)
     with np.errstate(over="ignore"):
-        word, doc = _words(data, offsets)
         ends = np.searchsorted(doc, np.arange(len(texts)), "right")
         starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
         n = len(word)
