@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import bpe, embedding_dedup, hashing_search, minhash, mixing, quality, secretscan, sharding, substring_dedup
+from quarryline.llm import bpe, embedding_dedup, hashing_search, line_dedup, minhash, mixing, quality, secretscan, sharding, substring_dedup
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -48,6 +48,12 @@ def op5_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an earlier place has too."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.remove_repeated_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op7_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, as counts and spans."""
     found = secretscan.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -82,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_spherical_kmeans_dedup": op3_spherical_kmeans_dedup,
         "op4_setsketch_near_duplicates": op4_setsketch_near_duplicates,
         "op5_sainte_lague": op5_sainte_lague,
+        "op6_segment_line_dedup": op6_segment_line_dedup,
         "op7_entropy_secrets": op7_entropy_secrets,
         "op8_random_indexing_quality": op8_random_indexing_quality,
         "op9_multi_index_hashing": op9_multi_index_hashing,
