@@ -2,10 +2,10 @@
 filters, full shingle sets confirm, connected components group.
 
 A group of g near copies has g*g/2 pairs, so pairs are never listed for a whole group.
-First every text meets one partner, of the smallest texts of its buckets the one it
-shares most buckets with. Confirmed links are joined into components. Only buckets that
-still hold several components are then compared exhaustively, in blocks, and only
-across components: pairs inside one can't change the outcome.
+First every text meets one partner, a leader of its buckets. Confirmed links are joined
+into components. Only texts whose buckets still hold several components are then
+compared with all they share a bucket with, in blocks, and only across components:
+pairs inside one can't change the outcome.
 """
 
 from __future__ import annotations
@@ -58,11 +58,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
                 b_first = {n: i for i, n in reversed(list(enumerate(b.to_pylist())))}
                 sets_a = shingles.sets(batch.column(2), width)
                 sets_b = dict(zip(b_first, shingles.sets(batch.column(3).take(pa.array(list(b_first.values()), pa.int64())), width), strict=True))
-                ok = []
-                for x, n in zip(sets_a, b.to_pylist(), strict=True):
-                    y = sets_b[n]
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(100 * common >= percent * (len(x) + len(y) - common) and common > 0)
+                ok = [_similar(x, sets_b[n], percent) for x, n in zip(sets_a, b.to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
@@ -70,51 +66,76 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _compared(blocks: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of different components estimated at ``least`` or more, from rows of (some, all)."""
+def _join_block(group: pa.Table, width: int, percent: int) -> pa.Table:
+    """Links between components found in a block: ``some`` rows against all others.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out_a, out_b = [], []
-            for some, every in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not some or not every:
-                    continue
-                node, comp, n, regs = ([np.array([x[k] for x in side], np.int64) if k != "regs" else np.stack([np.frombuffer(x[k], np.uint16) for x in side]) for side in (some, every)] for k in ("node", "comp", "n", "regs"))
-                for i in range(0, len(some), 64):
-                    part, cut = slice(i, i + 64), setsketch.REGISTERS * least * 0.8
-                    equal = (regs[0][part, None, :] == regs[1][None, :, :]).sum(-1)
-                    x, y = np.nonzero((equal >= cut) & (comp[0][part, None] != comp[1][None, :]))
-                    x = x + i
-                    if len(x):
-                        above, below = ((f(regs[0][x], regs[1][y])).sum(-1) for f in (np.greater, np.less))
-                        good = setsketch.estimate(above, below, n[0][x].astype(float), n[1][y].astype(float)) >= least
-                        out_a.append(node[0][x[good]])
-                        out_b.append(node[1][y[good]])
-            a, b = (np.concatenate(o) if o else np.empty(0, np.int64) for o in (out_a, out_b))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    return blocks.mapInArrow(run, "a long, b long").distinct()
-
-
-def _across(members: DataFrame, sketches: DataFrame, links: DataFrame) -> DataFrame:
-    """Blocks of comparisons (some, all) for the buckets that hold several components.
-
-    ``some`` are texts outside the bucket's largest component, ``all`` any of its texts.
+    Pairs go from the likeliest down; a pair whose components a link has joined
+    meanwhile is passed over, so at most one link less than there are components results.
+    """
+    some, n = group.column("some").to_numpy(), group.column("n_shingles").to_numpy().astype(float)
+    node, comp = group.column("node").to_numpy(), group.column("comp").to_numpy()
+    regs = np.frombuffer(b"".join(group.column("regs").to_pylist()), np.uint16).reshape(len(node), -1)
+    x_all, y_all = np.flatnonzero(some), np.flatnonzero(~some)
+    cut = setsketch.REGISTERS * LEAST_ESTIMATE * 0.8
+    pairs = []
+    for i in range(0, len(x_all), 32):
+        part = x_all[i : i + 32]
+        equal = (regs[part, None, :] == regs[None, y_all, :]).sum(-1)
+        p, q = np.nonzero((equal >= cut) & (comp[part, None] != comp[None, y_all]))
+        p, q = part[p], y_all[q]
+        above, below = ((f(regs[p], regs[q])).sum(-1) for f in (np.greater, np.less))
+        likely = setsketch.estimate(above, below, n[p], n[q])
+        pairs.append(np.stack((likely, p, q), axis=1)[likely >= LEAST_ESTIMATE])
+    pairs = np.concatenate(pairs) if pairs else np.empty((0, 3))
+    pairs = pairs[np.argsort(-pairs[:, 0], kind="stable")]
+    used, sets = np.unique(pairs[:, 1:].astype(np.int64)), {}
+    for i in range(0, len(used), ROWS):
+        part = used[i : i + ROWS]
+        sets.update(zip(part.tolist(), shingles.sets(group.column("text").take(pa.array(part)).combine_chunks(), width), strict=True))
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    links = []
+    for _, p, q in pairs.tolist():
+        p, q = int(p), int(q)
+        c, d = find(comp[p]), find(comp[q])
+        if c != d and _similar(sets[p], sets[q], percent):
+            root[max(c, d)] = min(c, d)
+            links.append((node[p], node[q]))
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _across(members: DataFrame, sketches: DataFrame, texts: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between the components that ``links`` leaves, among texts that share a bucket.
+
+    A bucket with several components has a major one. The texts of all buckets with one
+    major component are compared together, once however many buckets they share: those
+    outside it with each other and with those inside, in blocks.
     """
     found = scratch.table(components(links), "near-found")
     placed = scratch.table(members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp")), "near-placed")
     parts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = scratch.table(mixed.select("key", "major", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / BLOCK).cast("int").alias("cols")), "near-mixed")
-    joined = placed.join(mixed, "key").join(sketches, "node")
+    mixed = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = scratch.table(mixed.select("key", "major"), "near-mixed")
+    seen = scratch.table(placed.join(mixed, "key").select("major", "node", "comp").distinct(), "near-seen")
+    sizes = seen.groupBy("major").agg(F.count("*").alias("all"), F.count_if(F.col("comp") != F.col("major")).alias("some"))
+    sizes = scratch.table(sizes.select("major", F.ceil(F.col("some") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / BLOCK).cast("int").alias("cols")), "near-sizes")
     seat = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     as_all = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda u: F.struct(u.alias("u"), seat("cols").alias("v"), F.lit(False).alias("some")))
     as_some = F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda v: F.struct(seat("rows").alias("u"), v.alias("v"), F.lit(True).alias("some")))
-    dealt = joined.withColumn("at", F.explode(F.when(F.col("comp") == F.col("major"), as_all).otherwise(F.concat(as_all, as_some))))
-    item = F.struct("node", "comp", F.col("n_shingles").alias("n"), "regs")
-    # A list holds at most the seats of one block: about BLOCK rows, since seats are hashed.
-    grouped = dealt.groupBy("key", "at.u", "at.v").agg(F.collect_list(F.when(F.col("at.some"), item)).alias("some"), F.collect_list(F.when(~F.col("at.some"), item)).alias("every"))
-    return grouped.select("some", "every")
+    seated = seen.join(sizes, "major").withColumn("at", F.explode(F.when(F.col("comp") == F.col("major"), as_all).otherwise(F.concat(as_all, as_some))))
+    dealt = seated.select("major", "at.u", "at.v", "at.some", "node", "comp").join(sketches, "node").join(texts, "node")
+    # A group is one block: about BLOCK texts on either side, since seats are hashed.
+    return dealt.groupBy("major", "u", "v").applyInArrow(lambda group: _join_block(group, width, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -134,14 +155,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, doc_id:
     sketches = scratch.table(rows.where("n_shingles > 0").select("node", "n_shingles", "regs").dropDuplicates(["node"]), "near-sketches")
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 2 * BAND * i + 1, 2 * BAND)) for i in range(BANDS)])
     bands = sketches.select("node", F.explode(keys).alias("key"))
-    buckets = scratch.table(bands.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("key", "first"), "near-buckets")
-    members = scratch.table(bands.join(buckets, "key").select("key", "node", "first"), "near-members")
-    shared = members.where("node <> first").groupBy("node", "first").agg(F.count("*").alias("n"))
-    best = scratch.table(shared.groupBy("node").agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("b")).select(F.col("node").alias("a"), "b"), "near-best")
+    buckets = scratch.table(bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n"), "near-buckets")
+    members = scratch.table(bands.join(buckets, "key").select("key", "node", "n"), "near-members")
+    best = scratch.table(_partners(members), "near-best")
     texts = _texts_of(docs, rows, members, doc_id, text)
     links = scratch.table(_confirmed(best, texts, width, percent), "near-links")
-    more = scratch.table(_compared(_across(members.select("key", "node"), sketches, links), LEAST_ESTIMATE), "near-more")
-    links = links.union(_confirmed(more.join(best, ["a", "b"], "left_anti"), texts, width, percent))
+    links = links.union(_across(members.select("key", "node"), sketches, texts, links, width, percent))
     found = scratch.table(components(scratch.table(links, "near-links")), "near-found")
     named = scratch.table(rows.join(found, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("group")), "near-named")
     least = scratch.table(named.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id")), "near-least")
@@ -150,6 +169,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, doc_id:
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def _partners(members: DataFrame) -> DataFrame:
+    """(a, b): for each text the one partner it meets first.
+
+    A bucket is led by its text with the most company over all buckets, such as the text
+    that the others were copied from; a text's partner is the leader it shares most
+    buckets with.
+    """
+    company = scratch.table(members.groupBy("node").agg(F.sum("n").alias("company")), "near-company")
+    known = members.join(company, "node")
+    leaders = scratch.table(known.groupBy("key").agg(F.max_by("node", F.struct("company", "node")).alias("leader")), "near-leaders")
+    shared = members.join(leaders, "key").where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
+    return shared.groupBy("node").agg(F.max_by("leader", F.struct("n", "leader")).alias("b")).select(F.col("node").alias("a"), "b")
+
+
 def _texts_of(docs: DataFrame, rows: DataFrame, members: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(node, text), once for each member of a bucket: read from its row with the smallest id."""
     wanted = members.select("node").distinct()
