@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Most buckets of one group; a running sum over buckets never sees more rows than this.
 MAX_BUCKETS = 65_536
+#: Bits of the filter of ``thinned``: 512 KB, whatever the size of the input.
+FILTER_BITS = 22
 
 
 def bucket_count(rows: int, per_bucket: int = 1024) -> int:
@@ -37,3 +39,20 @@ def positions(df: DataFrame, starts: DataFrame, group: str, bucket: str, order:
     base = starts.select(F.col(group).alias("__g"), F.col(bucket).alias("__b"), F.col(out).alias("__start"))
     joined = placed.join(base, F.col(group).eqNullSafe(F.col("__g")) & (F.col(bucket) == F.col("__b")))
     return joined.withColumn(out, F.col(out) + F.col("__start")).drop("__g", "__b", "__start")
+
+
+def thinned(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``df`` without most rows whose ``key`` (a 64-bit hash) isn't among ``wanted``'s.
+
+    A bit filter of fixed size tests rows where they are read, so a join on found keys
+    that follows moves few others. Strays remain; with very many keys all rows may. The
+    join decides, so the filter never changes a result.
+    """
+    spot = F.pmod(key, F.lit(1 << FILTER_BITS)).cast("int")
+    byte, bit = F.shiftright(spot, 3), F.call_function("shiftleft", F.lit(1), F.pmod(spot, F.lit(8)))
+    rows = wanted.select(byte.alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()
+    bits = bytearray(1 << (FILTER_BITS - 3))
+    for r in rows:
+        bits[r["at"]] = r["bits"]
+    held = F.conv(F.hex(F.substring(F.lit(bytes(bits)), byte + 1, 1)), 16, 10).cast("int")
+    return df.where(held.bitwiseAND(bit) != 0)

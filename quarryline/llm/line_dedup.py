@@ -15,15 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm import scratch
+from quarryline.llm import layout, scratch
 from quarryline.llm.components import components
 
 #: Most edits between lines that count as one, and the least characters of a line that is compared by edits.
 EDITS, LEAST = 2, 25
 #: A line with more than this part of all rows has its repeats set aside first; there are fewer than 1 / HOT such lines.
 HOT = 0.001
-#: Bits of the fixed-size filter that thins the lines before a join on found ones (128 KB).
-FILTER_BITS = 20
 
 
 def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
@@ -99,22 +97,6 @@ def edit_distance_within(a: Column, b: Column, edits: int = EDITS) -> Column:
     return F.when(F.abs(m - n) > edits, False).when(tiny, F.levenshtein(a, b) <= edits).otherwise(far <= edits)
 
 
-def _thinned(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``lines`` whose hash is among ``wanted``, give or take strays: a bit filter of fixed size.
-
-    It saves a shuffle of all lines before the join that follows, and only its use
-    depends on the data, never the result.
-    """
-    spot = F.pmod("h", F.lit(1 << FILTER_BITS)).cast("int")
-    word = F.shiftright(spot, 3)
-    rows = wanted.select(word.alias("word"), F.call_function("shiftleft", F.lit(1), F.pmod(spot, F.lit(8))).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
-    filter_ = bytearray(1 << (FILTER_BITS - 3))
-    for r in rows:
-        filter_[r["word"]] = r["bits"]
-    byte = F.conv(F.hex(F.substring(F.lit(bytes(filter_)), word + 1, 1)), 16, 10).cast("int")
-    return lines.where(F.call_function("shiftright", byte, F.pmod(spot, F.lit(8))).bitwiseAND(F.lit(1)) == 1)
-
-
 def _near(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     """The pairs (a, b) of hashes whose lines are within ``edits``."""
     left = pairs.join(lines.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a")
@@ -134,7 +116,7 @@ def _groups(lines: DataFrame, edits: int) -> DataFrame:
     # All lines of an entry that was hit: those indexed there and those that probe it.
     listed = scratch.table(index.join(entries, "key", "left_semi").select("key", "h").distinct(), "line-listed")
     wanted = stars.select(F.explode(F.array("a", "b")).alias("h")).union(listed.select("h")).distinct()
-    found_lines = scratch.table(_thinned(lines, wanted).join(wanted, "h", "left_semi").dropDuplicates(["h"]), "line-found")
+    found_lines = scratch.table(layout.thinned(lines, "h", wanted).join(wanted, "h", "left_semi").dropDuplicates(["h"]), "line-found")
     links = scratch.table(_near(stars, found_lines, edits), "line-links")
     comps = scratch.table(components(links), "line-comps")
     named = lambda t: t.join(comps.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
