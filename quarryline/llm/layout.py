@@ -7,6 +7,8 @@ running sum is taken over buckets only, and the window runs inside a bucket.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,16 @@ MAX_BUCKETS = 65_536
 FILTER_BITS = 22
 
 
+def bound(build: Callable[[Column], Column], **values: Column) -> Column:
+    """``build(v)`` where ``v[name]`` is each value, computed once a row.
+
+    A lambda of a fold evaluates all it mentions at every step, so what doesn't change
+    from step to step goes in here.
+    """
+    row = F.struct(*[value.alias(name) for name, value in values.items()])
+    return F.get(F.transform(F.array(row), build), F.lit(0))
+
+
 def bucket_count(rows: int, per_bucket: int = 1024) -> int:
     """Buckets for groups of up to ``rows`` rows, between 1 and ``MAX_BUCKETS``."""
     return max(1, min(MAX_BUCKETS, -(-rows // per_bucket)))

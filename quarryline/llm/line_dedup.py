@@ -65,16 +65,14 @@ def edit_distance_within(a: Column, b: Column, edits: int = EDITS) -> Column:
     """
     width = 2 * edits + 1
     full, top = (1 << width) - 1, 1 << (width - 1)
-    pattern, text = F.split(a, ""), F.split(b, "")
-    m, n = F.length(a), F.length(b)
     bit = lambda x: F.lit(x).cast("long")
     cut = lambda x: x.bitwiseAND(bit(full))
 
-    def step(s: Column, j: Column) -> Column:
-        equal = bit(0)
+    def step(v: Column, s: Column, j: Column) -> Column:
+        equal, m = bit(0), v["m"]
         for k in range(width):
             row = j - edits + k
-            equal = equal + F.when((row >= 0) & (row < m) & (F.get(pattern, row) == F.get(text, j)), bit(1 << k)).otherwise(bit(0))
+            equal = equal + F.when((row >= 0) & (row < m) & (F.get(v["pattern"], row) == F.get(v["text"], j)), bit(1 << k)).otherwise(bit(0))
         up, down = s["up"], s["down"]
         diagonal = cut((equal.bitwiseAND(up) + up).bitwiseXOR(up).bitwiseOR(equal).bitwiseOR(down))
         right_up = cut(down.bitwiseOR(F.bitwise_not(diagonal.bitwiseOR(up))))
@@ -92,7 +90,9 @@ def edit_distance_within(a: Column, b: Column, edits: int = EDITS) -> Column:
         )
 
     start = F.struct(bit(((1 << (edits + 1)) - 1) << edits).alias("up"), bit(0).alias("down"), F.lit(edits).alias("far"))
-    far = F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: s["far"])
+    fold = lambda v: F.aggregate(F.sequence(F.lit(0), v["n"] - 1), start, lambda s, j: step(v, s, j), lambda s: s["far"])
+    m, n = F.length(a), F.length(b)
+    far = layout.bound(fold, pattern=F.split(a, ""), text=F.split(b, ""), m=m, n=n)
     tiny = F.least(m, n) <= edits  # shorter than the band
     return F.when(F.abs(m - n) > edits, False).when(tiny, F.levenshtein(a, b) <= edits).otherwise(far <= edits)
 
