@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm import scratch, setsketch, shingles
+from quarryline.llm import layout, scratch, setsketch, shingles
 from quarryline.llm.components import components
 
 #: 32 bands of 4 registers: a pair at 0.75 shares no band in 5 of a million cases.
@@ -188,7 +188,7 @@ def _texts_of(docs: DataFrame, rows: DataFrame, members: DataFrame, doc_id: str,
     wanted = members.select("node").distinct()
     first = scratch.table(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("__id")).select(F.col("node").alias("__node"), "__id"), "near-wanted")
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), F.col(text).alias("text"))
-    hit = own.join(first, (F.col("node") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    hit = layout.thinned(own, "node", wanted).join(first, (F.col("node") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__id")))
     return scratch.table(hit.select("node", "text").dropDuplicates(["node"]), "near-texts")
 
 
