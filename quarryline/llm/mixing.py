@@ -146,8 +146,8 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text:
         return F.struct(again.cast("int").alias("round"), shard.alias("shard"), block.alias("block"), (F.greatest(at, block * width) - at).alias("from_word"), (F.least(end, (block + 1) * width) - at).alias("to_word"))
 
     every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(mix.most - 1)), lambda again: F.transform(F.sequence(first, last), lambda block: piece(again, block))))
-    pieces = F.when(F.col("size") > 0, F.filter(every, lambda p: p["shard"] < mix.shards))
-    out = joined.withColumn("pieces", F.coalesce(pieces, F.filter(F.array(piece(F.lit(0), F.lit(0).cast("long"))), lambda p: F.lit(False))))
+    none = F.array().cast("array<struct<round:int,shard:int,block:bigint,from_word:bigint,to_word:bigint>>")
+    out = joined.withColumn("pieces", F.when(F.col("size") > 0, F.filter(every, lambda p: p["shard"] < mix.shards)).otherwise(none))
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["to_word"] - p["from_word"])
     return out.withColumn("taken", taken).drop("__s", "__mx_at", "__mx_key", "__mx_tie", "__mx_bucket", "__mx_blocks", "__mx_step", "__mx_shift", "__mx_quotas")
 

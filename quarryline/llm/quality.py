@@ -200,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", doc_id: str
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(list(pooled(part.column(0).to_pylist(), held.value)), pa.list_(pa.float32()))], ["y", "x"])
 
     got = sample.mapInArrow(features, "y double, x array<float>").toArrow()
-    x = np.array(got.column("x").to_pylist(), float).reshape(got.num_rows, -1)
+    x = np.array(got.column("x").to_pylist(), float).reshape(got.num_rows, 2 * SIZE)
     y = np.array(got.column("y").to_pylist(), float)
     # A fixed order, whatever the order of arrival.
     order = np.lexsort((*x.T[:4], y)) if len(y) else []
