@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.llm import layout
+
 # The base kinds in their order, with their patterns. A maximal run of
 # hex digits or of access-key characters that is too short cannot hold a longer one, so
 # the least length stands in the pattern; an assigned value is checked after matching.
@@ -46,16 +48,16 @@ class Entropy:
 
 def _starts(text: Column, hits: Column, pattern: str) -> Column:
     """The start of each of ``hits``, the pattern's matches: what lies between them is what split() leaves."""
-    gaps = F.split(text, pattern, -1)
-    at = F.aggregate(
+    fold = lambda v: F.aggregate(
         F.sequence(F.lit(0), F.size(hits) - 1),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
         lambda s, i: F.struct(
-            (s["at"] + F.length(F.get(gaps, i)) + F.length(F.get(hits, i))).alias("at"),
-            F.concat(s["out"], F.array(s["at"] + F.length(F.get(gaps, i)))).alias("out"),
+            (s["at"] + F.length(F.get(v["gaps"], i)) + F.length(F.get(hits, i))).alias("at"),
+            F.concat(s["out"], F.array(s["at"] + F.length(F.get(v["gaps"], i)))).alias("out"),
         ),
         lambda s: s["out"],
     )
+    at = layout.bound(fold, gaps=F.split(text, pattern, -1))
     return F.when(F.size(hits) > 0, at).otherwise(F.array().cast("array<int>"))
 
 
@@ -72,15 +74,14 @@ def _loud(s: Column, rule: Entropy) -> Column:
     w = rule.window
     least = F.when(s.rlike(HEX_CLASS), rule.least["hex"]).when(s.rlike(ALNUM_CLASS), rule.least["alnum"]).otherwise(rule.least["base64"])
     term = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(w + 2)])
-    codes = F.transform(F.split(s, ""), lambda ch: F.ascii(ch))
 
-    def step(state: Column, i: Column) -> Column:
-        new, old = F.get(codes, i), F.when(i >= w, F.get(codes, i - w))
+    def step(v: Column, state: Column, i: Column) -> Column:
+        new, old = F.get(v["codes"], i), F.when(i >= w, F.get(v["codes"], i - w))
         n_new = F.get(state["n"], new)
         n_old = F.get(state["n"], old) + F.when(new == old, 1).otherwise(0)
         total = state["sum"] + F.get(term, n_new + 1) - F.get(term, n_new) + F.coalesce(F.get(term, n_old - 1) - F.get(term, n_old), F.lit(0.0))
         counts = F.transform(state["n"], lambda n, k: n + F.when(k == new, 1).otherwise(0) - F.when(k == old, 1).otherwise(0))
-        hit = (i >= w - 1) & (F.lit(math.log2(w)) - total / w >= least)
+        hit = (i >= w - 1) & (F.lit(math.log2(w)) - total / w >= v["least"])
         return F.struct(
             counts.alias("n"), total.alias("sum"),
             F.when(hit, F.least(state["lo"], i - (w - 1))).otherwise(state["lo"]).alias("lo"),
@@ -88,7 +89,8 @@ def _loud(s: Column, rule: Entropy) -> Column:
         )
 
     empty = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"))
-    return F.aggregate(F.sequence(F.lit(0), F.length(s) - 1), empty, step, lambda state: F.struct(state["lo"].alias("lo"), state["hi"].alias("hi")))
+    fold = lambda v: F.aggregate(F.sequence(F.lit(0), F.size(v["codes"]) - 1), empty, lambda state, i: step(v, state, i), lambda state: F.struct(state["lo"].alias("lo"), state["hi"].alias("hi")))
+    return layout.bound(fold, codes=F.transform(F.split(s, ""), lambda ch: F.ascii(ch)), least=least)
 
 
 def find_secrets(docs: DataFrame, rule: Entropy = Entropy(), text: str = "text", out: str = "findings") -> DataFrame:
