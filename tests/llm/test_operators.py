@@ -291,7 +291,7 @@ def within(a, b, k):
 def edited(rng, text, n):
     out = list(text)
     for _ in range(n):
-        p = rng.randrange(len(out))
+        p = rng.randrange(len(out) + 1)
         out[p : p + rng.randrange(2)] = [rng.choice("abcé")] * rng.randrange(2)
     return "".join(out)
 
