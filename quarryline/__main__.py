@@ -34,14 +34,16 @@ def main(argv: list[str]) -> int:
     spark = session.local_session()
     session.share_package(spark)
     if args.command == "analyze":
-        found, over = api.analyze(spark, args.path, args.fail_on)
+        result = api.analyze(spark, args.path, args.fail_on)
+        found = result.findings
         if args.sarif:
             sinks.write_sarif(found, args.sarif)
         if args.json:
             sinks.write_ndjson(found, args.json)
         elif not args.quiet:
             print("\n".join(sinks.table_lines(found)))
-        return int(args.ci and over)
+            print(f"{result.scanned_files} files scanned" + ", the rest left out" * result.truncated)
+        return int(args.ci and result.over)
     if args.command == "index":
         print(api.index_tree(spark, args.path, args.store, batch=args.batch))
         return 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,12 +13,23 @@ from quarryline.sources.store import ChunkStore
 from quarryline.sources.tree import read_tree
 
 
-def analyze(spark: SparkSession, path: str, fail_on: str = "high") -> tuple[DataFrame, bool]:
-    """Findings of a tree, and whether they reach the threshold. At most ``scan.MAX_TOTAL_BYTES`` are scanned."""
+@dataclass(frozen=True)
+class Analysis:
+    """``truncated``: files were left out because the scan's bytes were used up; ``over``: the threshold is reached."""
+
+    findings: DataFrame
+    scanned_files: int
+    truncated: bool
+    over: bool
+
+
+def analyze(spark: SparkSession, path: str, fail_on: str = "high", most: int = scan.MAX_TOTAL_BYTES) -> Analysis:
+    """Findings of a tree; at most ``most`` bytes are scanned, in path order."""
     files = read_tree(spark, path)
-    taken = scan.total_cap(files.select("rel_path", "size"))
-    found = secrets.findings(files.join(taken.select("rel_path"), "rel_path").where("text is not null").select("rel_path", "text")).persist()
-    return found, report.gate(found, fail_on)
+    taken = scan.total_cap(files.select("rel_path", "size"), most).select("rel_path").persist()
+    found = secrets.findings(files.join(taken, "rel_path").where("text is not null").select("rel_path", "text")).persist()
+    scanned = taken.count()
+    return Analysis(found, scanned, scanned < files.count(), report.gate(found, fail_on))
 
 
 def index_tree(spark: SparkSession, path: str, store_folder: str, embedder: index.Embedder | None = None, model: str = "hashing-64", batch: int = index.BATCH) -> dict[str, int]:

@@ -358,6 +358,22 @@ def url_guard(spark, sf_dir):
     return both.select("url", P.url_allowed(F.col("url")).alias("ok"))
 
 
+@query("base_url", f"SELECT url, rtrim(url, '/') AS base FROM (SELECT url FROM {fixtures.sql('urls')} u UNION ALL SELECT concat(url, '//') FROM pages)")
+def base_url(spark, sf_dir):
+    both = fixtures.table(spark, "urls").unionByName(read(spark, sf_dir, "pages").select(F.concat("url", F.lit("//")).alias("url")))
+    return both.select("url", P.base_url(F.col("url")).alias("base"))
+
+
+@query("or_default", f"SELECT origin, root, coalesce(nullif(trim(origin), ''), root) AS value FROM {fixtures.sql('origins')} o")
+def or_default(spark, sf_dir):
+    return fixtures.table(spark, "origins").select("origin", "root", X.or_default(F.col("origin"), F.col("root")).alias("value"))
+
+
+@query("store_count", f"SELECT count(*) AS n, count(DISTINCT rel_path) AS files FROM {CHUNKS_SQL} c WHERE doc_id % 2 = 0")
+def store_count(spark, sf_dir):
+    return stored(spark, sf_dir).agg(F.count("*").alias("n"), F.count_distinct("rel_path").alias("files"))
+
+
 @query("origin_base", f"SELECT origin, CASE WHEN starts_with(b, 'git@') THEN regexp_extract(b, '^[^:]*:(.*)$', 1) WHEN len(string_split(b, '/')) >= 2 THEN concat(string_split(b, '/')[-2], '/', string_split(b, '/')[-1]) ELSE '' END AS base FROM (SELECT origin, regexp_replace(trim(origin), '\\.git$', '') AS b FROM {fixtures.sql('origins')} o)")
 def origin_base(spark, sf_dir):
     return fixtures.table(spark, "origins").select("origin", P.origin_base(F.col("origin")).alias("base"))

@@ -146,8 +146,11 @@ def test_analyze_and_reports(spark, tmp_path):
     key = "AK" + "IA" + "ABCDEFGH12345678"
     (root / "config.ts").write_text(f"\nconst k = '{key}';\n")
     (root / "util.ts").write_text(f"const k = '{key}';\n")
-    found, over = api.analyze(spark, str(root))
-    assert over and found.count() == 2
+    result = api.analyze(spark, str(root))
+    found = result.findings
+    assert result.over and found.count() == 2 and (result.scanned_files, result.truncated) == (2, False)
+    first = api.analyze(spark, str(root), most=45)
+    assert (first.scanned_files, first.truncated) == (1, True)
     out = tmp_path / "log.sarif"
     sinks.write_sarif(found, str(out))
     log = json.loads(out.read_text())
