@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Most buckets of one group; a running sum over buckets never sees more rows than this.
 MAX_BUCKETS = 65_536
-#: Bits of the filter of ``thinned``: 512 KB, whatever the size of the input.
+#: Bits of the filter of ``thinned``: 65,536 rows of 64 bits, whatever the size of the input.
 FILTER_BITS = 22
 
 
@@ -60,11 +60,9 @@ def thinned(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     that follows moves few others. Strays remain; with very many keys all rows may. The
     join decides, so the filter never changes a result.
     """
-    spot = F.pmod(key, F.lit(1 << FILTER_BITS)).cast("int")
-    byte, bit = F.shiftright(spot, 3), F.call_function("shiftleft", F.lit(1), F.pmod(spot, F.lit(8)))
-    rows = wanted.select(byte.alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()
-    bits = bytearray(1 << (FILTER_BITS - 3))
-    for r in rows:
-        bits[r["at"]] = r["bits"]
-    held = F.conv(F.hex(F.substring(F.lit(bytes(bits)), byte + 1, 1)), 16, 10).cast("int")
-    return df.where(held.bitwiseAND(bit) != 0)
+    spot = lambda k: F.pmod(k, F.lit(1 << FILTER_BITS)).cast("int")
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(spot(k), F.lit(64)))
+    words = wanted.select(F.shiftright(spot(F.col(key)), 6).alias("__word"), bit(F.col(key)).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    # At most 2**FILTER_BITS / 64 rows.
+    held = (F.shiftright(spot(df[key]), 6) == words["__word"]) & (words["__bits"].bitwiseAND(bit(df[key])) != 0)
+    return df.join(F.broadcast(words), held, "left_semi")

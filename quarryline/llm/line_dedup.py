@@ -22,17 +22,14 @@ from quarryline.llm.components import components
 EDITS, LEAST = 2, 25
 #: A line with more than this part of all rows has its repeats set aside first; there are fewer than 1 / HOT such lines.
 HOT = 0.001
+#: Letters that are counted, to leave out pairs that no few edits can make equal.
+COUNTED = "etaoinsrhldum, E"
 
 
 def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
     """(start from 0, length) of each segment: near-equal parts, the longer ones last."""
-    part, longer = F.floor(length / (edits + 1)).cast("int"), F.pmod(length, F.lit(edits + 1)).cast("int")
-    out, at = [], F.lit(0)
-    for i in range(edits + 1):
-        size = part + F.when(F.lit(i) >= edits + 1 - longer, 1).otherwise(0)
-        out.append((at, size))
-        at = at + size
-    return out
+    part, short = F.floor(length / (edits + 1)).cast("int"), F.lit(edits + 1) - F.pmod(length, F.lit(edits + 1)).cast("int")
+    return [(part * i + F.greatest(F.lit(0), F.lit(i) - short), part + F.when(F.lit(i) >= short, 1).otherwise(0)) for i in range(edits + 1)]
 
 
 def index_keys(line: Column, length: Column, edits: int = EDITS) -> Column:
@@ -73,19 +70,28 @@ def edit_distance_within(a: Column, b: Column, edits: int = EDITS) -> Column:
         for k in range(width):
             row = j - edits + k
             equal = equal + F.when((row >= 0) & (row < m) & (F.get(v["pattern"], row) == F.get(v["text"], j)), bit(1 << k)).otherwise(bit(0))
-        up, down = s["up"], s["down"]
+        # Each value is bound before it is used again, for a lambda has no shared subexpressions.
+        return layout.bound(lambda e: advance(e, s, j - (m - edits)), equal=equal, up=s["up"], down=s["down"])
+
+    def advance(e: Column, s: Column, last: Column) -> Column:
+        """``last`` counts from 0 once the band's top has come to the last row, so many bits above it."""
+        up, down, equal = e["up"], e["down"], e["equal"]
         diagonal = cut((equal.bitwiseAND(up) + up).bitwiseXOR(up).bitwiseOR(equal).bitwiseOR(down))
-        right_up = cut(down.bitwiseOR(F.bitwise_not(diagonal.bitwiseOR(up))))
-        right_down = diagonal.bitwiseAND(up)
-        last = j - (m - edits)  # from 0 on: the last row, so many bits below the diagonal's
-        row = F.when(last >= 0, F.call_function("shiftright", bit(top >> 1), last.cast("int"))).otherwise(bit(0))
-        far = F.when(last < 0, F.when(diagonal.bitwiseAND(bit(top)) == 0, 1).otherwise(0)).otherwise(
-            F.when(right_up.bitwiseAND(row) != 0, 1).otherwise(0) - F.when(right_down.bitwiseAND(row) != 0, 1).otherwise(0)
-        )
-        shifted = F.shiftright(diagonal, 1)
+        return layout.bound(lambda d: moved(d, up, down, s, last), diagonal=diagonal)
+
+    def moved(d: Column, up: Column, down: Column, s: Column, last: Column) -> Column:
+        diagonal = d["diagonal"]
+        rises, falls = cut(down.bitwiseOR(F.bitwise_not(diagonal.bitwiseOR(up)))), diagonal.bitwiseAND(up)
+        return layout.bound(lambda h: following(h, diagonal, s, last), rises=rises, falls=falls, shifted=F.shiftright(diagonal, 1))
+
+    def following(h: Column, diagonal: Column, s: Column, last: Column) -> Column:
+        rises, falls, shifted = h["rises"], h["falls"], h["shifted"]
+        row = F.call_function("shiftright", bit(top >> 1), last.cast("int"))
+        marked = lambda x, at: F.when(x.bitwiseAND(at) != 0, 1).otherwise(0)
+        far = F.when(last < 0, 1 - marked(diagonal, bit(top))).otherwise(marked(rises, row) - marked(falls, row))
         return F.struct(
-            cut(right_down.bitwiseOR(F.bitwise_not(shifted.bitwiseOR(right_up)))).alias("up"),
-            shifted.bitwiseAND(right_up).alias("down"),
+            cut(falls.bitwiseOR(F.bitwise_not(shifted.bitwiseOR(rises)))).alias("up"),
+            shifted.bitwiseAND(rises).alias("down"),
             (s["far"] + far).cast("int").alias("far"),
         )
 
@@ -97,18 +103,39 @@ def edit_distance_within(a: Column, b: Column, edits: int = EDITS) -> Column:
     return F.when(F.abs(m - n) > edits, False).when(tiny, F.levenshtein(a, b) <= edits).otherwise(far <= edits)
 
 
+def _counted(lines: DataFrame) -> DataFrame:
+    """Adds how often each of some letters stands in the line, a column each."""
+    count = lambda x: (F.length("line") - F.length(F.replace("line", F.lit(x)))).cast("int")
+    return lines.withColumns({f"c{i}": count(x) for i, x in enumerate(COUNTED)})
+
+
+def _side(df: DataFrame, name: str) -> DataFrame:
+    """The counts renamed, so that two sides can be joined."""
+    return df.withColumnsRenamed({f"c{i}": f"{name}{i}" for i in range(len(COUNTED))})
+
+
+def _alike(edits: int) -> Column:
+    """Of sides x and y: an edit changes two counts at most, by one each, so near lines pass; most others don't."""
+    apart = F.lit(0)
+    for i in range(len(COUNTED)):
+        apart = apart + F.abs(F.col(f"x{i}") - F.col(f"y{i}"))
+    return apart <= 2 * edits
+
+
 def _near(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     """The pairs (a, b) of hashes whose lines are within ``edits``."""
-    left = pairs.join(lines.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a")
-    both = left.join(lines.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
+    left = pairs.join(_side(lines, "x").withColumnsRenamed({"h": "a", "line": "line_a"}), "a")
+    right = _side(lines, "y").withColumnsRenamed({"h": "__b", "line": "line_b"})
+    both = left.join(right, (F.col("b") == F.col("__b")) & _alike(edits)).select("a", "b", "line_a", "line_b")
     return both.where(edit_distance_within(F.col("line_a"), F.col("line_b"), edits)).select("a", "b")
 
 
 def _groups(lines: DataFrame, edits: int) -> DataFrame:
     """(node, component) of the lines with near ones; ``lines`` is (h, line), long enough ones only."""
-    length = F.length("line")
-    index = lines.select("h", F.explode(index_keys(F.col("line"), length, edits)).alias("key"))
-    probes = lines.select("h", F.explode(probe_keys(F.col("line"), length, edits)).alias("key"))
+    # The length is a column of its own: it is used many times, and counting characters takes a pass.
+    sized = lines.withColumn("n", F.length("line"))
+    index = sized.select("h", F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
+    probes = sized.select("h", F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"))
     first = scratch.table(index.groupBy("key").agg(F.min("h").alias("first")), "line-index")
     hits = scratch.table(probes.join(first, "key").where("h <> first").select("key", "h", "first").distinct(), "line-hits")
     stars = scratch.table(hits.select(F.least("h", "first").alias("a"), F.greatest("h", "first").alias("b")).distinct(), "line-stars")
@@ -116,7 +143,8 @@ def _groups(lines: DataFrame, edits: int) -> DataFrame:
     # All lines of an entry that was hit: those indexed there and those that probe it.
     listed = scratch.table(index.join(entries, "key", "left_semi").select("key", "h").distinct(), "line-listed")
     wanted = stars.select(F.explode(F.array("a", "b")).alias("h")).union(listed.select("h")).distinct()
-    found_lines = scratch.table(layout.thinned(lines, "h", wanted).join(wanted, "h", "left_semi").dropDuplicates(["h"]), "line-found")
+    kept = layout.thinned(lines, "h", wanted).join(wanted, "h", "left_semi").dropDuplicates(["h"])
+    found_lines = scratch.table(_counted(kept), "line-found")
     links = scratch.table(_near(stars, found_lines, edits), "line-links")
     comps = scratch.table(components(links), "line-comps")
     named = lambda t: t.join(comps.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
@@ -126,9 +154,12 @@ def _groups(lines: DataFrame, edits: int) -> DataFrame:
     mixed = scratch.table(parts, "line-mixed")
     if mixed.isEmpty():
         return comps
-    left = of_index.join(mixed, "key").select("key", F.col("h").alias("a"), F.col("component").alias("ca"))
-    right = of_probes.join(mixed, "key").select("key", F.col("h").alias("b"), F.col("component").alias("cb"))
-    across = left.join(right, "key").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # Counts are compared inside the join, so pairs of an entry that can't be near are never listed.
+    counts = found_lines.drop("line")
+    left = _side(of_index.join(mixed, "key").join(counts, "h"), "x").withColumnsRenamed({"h": "a", "component": "ca"})
+    right = _side(of_probes.join(mixed, "key").join(counts, "h"), "y").withColumnsRenamed({"h": "b", "component": "cb", "key": "__key"})
+    near = (F.col("key") == F.col("__key")) & (F.col("ca") != F.col("cb")) & _alike(edits)
+    across = left.join(right, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = scratch.table(_near(across.join(stars, ["a", "b"], "left_anti"), found_lines, edits), "line-more")
     return comps if more.isEmpty() else components(links.union(more))
 
