@@ -18,6 +18,8 @@ from quarryline.llm.shingles import _powers, mixed, word_table
 RUN_WORDS = 24
 #: A full stop after fewer words since the last one ends no sentence; longer sentences are cut.
 LEAST_WORDS, MOST_WORDS = 3, 20
+#: In a longer sentence, of so many neighbouring words that with the least hash ends a part.
+CUT_WINDOW = 6
 ROWS = 400
 _BASE = 0xD6E8FEB86659FD93
 
@@ -26,9 +28,10 @@ def sentences(texts: pa.Array) -> tuple[np.ndarray, ...]:
     """For each sentence of all texts: text number, first word, word after the last, first byte; then the words' hashes.
 
     A sentence ends with a line, or with a word that ends in ``.``, ``!`` or ``?`` at
-    least ``LEAST_WORDS`` words after the previous such word, or after ``MOST_WORDS``
-    words. These rules look at the passage alone, so equal passages that begin with a
-    sentence have equal sentences.
+    least ``LEAST_WORDS`` words after the previous such word. One of more than
+    ``MOST_WORDS`` words is cut where its words say so, see ``_inner_cuts``; equal
+    stretches in such sentences have equal cuts but for ``CUT_WINDOW`` words at
+    their edges, whatever stands before them.
     """
     data, offsets, word, doc, start, end = word_table(texts)
     n = len(word)
@@ -42,13 +45,46 @@ def sentences(texts: pa.Array) -> tuple[np.ndarray, ...]:
     stop = np.isin(data[end - 1], np.frombuffer(b".!?", np.uint8)) | line
     before = np.concatenate(([-1], np.maximum.accumulate(np.where(stop, k, -1))[:-1]))
     full = line | (stop & (k - before >= LEAST_WORDS))
-    opened = np.concatenate(([0], np.maximum.accumulate(np.where(full, k + 1, 0))[:-1]))
-    full |= (k - opened + 1) % MOST_WORDS == 0
+    full |= _inner_cuts(word, full)
     stops = np.flatnonzero(full) + 1
     starts = np.concatenate(([0], stops[:-1]))
     return doc[starts], starts, stops, start[starts], word
 
 
+def _inner_cuts(word: np.ndarray, full: np.ndarray) -> np.ndarray:
+    """For each word whether a part of a sentence of more than ``MOST_WORDS`` words ends with it.
+
+    In each window of ``CUT_WINDOW`` words of the sentence the last one of least hash
+    is chosen (winnowing), so parts have ``CUT_WINDOW`` words at most. Where chosen
+    words stand closer than ``LEAST_WORDS``, every ``LEAST_WORDS``-th of them is taken:
+    words that repeat all the time would make parts of one word.
+    """
+    n = len(word)
+    out = np.zeros(n, bool)
+    if n < CUT_WINDOW:
+        return out
+    ends = np.flatnonzero(full)
+    size = np.diff(ends, prepend=-1)
+    sentence = np.repeat(np.arange(len(ends)), size)
+    at = np.flatnonzero(size[sentence] > MOST_WORDS)
+    at = at[at + CUT_WINDOW <= n]
+    at = at[sentence[at] == sentence[at + CUT_WINDOW - 1]]
+    # The last word of a document ends a sentence, so no window spans two documents.
+    rank = mixed(word)
+    least, where = rank[at], at.copy()
+    for step in range(1, CUT_WINDOW):
+        here = rank[at + step]
+        lower = here <= least
+        least, where = np.where(lower, here, least), np.where(lower, at + step, where)
+    chosen = np.unique(where)
+    if len(chosen):
+        near = np.concatenate(([False], (np.diff(chosen) < LEAST_WORDS) & (np.diff(sentence[chosen]) == 0)))
+        k = np.arange(len(chosen))
+        chosen = chosen[(k - np.maximum.accumulate(np.where(near, 0, k))) % LEAST_WORDS == 0]
+    out[chosen] = True
+    return out
+
+
 def runs(doc: np.ndarray, first: np.ndarray, after: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first sentence, last sentence): from each sentence on and up to each sentence, the shortest run of two or more with ``RUN_WORDS`` words."""
     n = len(doc)

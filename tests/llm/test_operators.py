@@ -515,6 +515,26 @@ def test_repeated_passage(spark, odd, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_repeated_passages_inside_long_sentences(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    many = lambda n: [word() for _ in range(n)]
+    shared = [many(51 + i % 20) for i in range(40)]
+    later = [many(7 + 3 * i % 23) + s + many(11) for i, s in enumerate(shared)]
+    early = [many(i % 19) + s + many(30) for i, s in enumerate(shared)]
+    grown = ["same", "lead", "in"] + many(30) + shared[0][:25] + ["inserted"] + shared[0][25:]
+    rows = [(i, " ".join(t)) for i, t in enumerate(early)] + [(100 + i, " ".join(t)) for i, t in enumerate(later)] + [(200, " ".join(many(500))), (300, " ".join(grown))]
+    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, s in enumerate(shared):
+        left = got[100 + i]["text"].split()
+        assert got[i]["n_removed"] == 0
+        assert got[100 + i]["removed_words"] >= substring_dedup.RUN_WORDS
+        assert [w for w in left if w not in s] == [w for w in later[i] if w not in s]
+        assert len(later[i]) - len(left) == got[100 + i]["removed_words"]
+    assert got[200]["n_removed"] == 0
+    assert set(grown) - set(shared[0]) <= set(got[300]["text"].split())
+
+
 # the pipeline
 
 
