@@ -26,14 +26,15 @@ LEAST_ASSIGNED = 6
 #: Strings that may be secrets: long runs without white space, of one of three classes.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 HEX_CLASS, ALNUM_CLASS = r"^(?:[0-9a-f]+|[0-9A-F]+)$", r"^[A-Za-z0-9]+$"
-#: Harmless high-entropy strings: UUIDs, digits with separators, plain words and paths of words, placeholders, alphabets, repeats.
+#: Harmless parts of strings: placeholders, alphabets, repeats.
+HARMLESS = r"(?:(?i:example|sample|dummy|placeholder|changeme|redacted)|(?i:abcdefghij|0123456789|9876543210)|(.{1,4})\1{4,})"
+#: Harmless high-entropy strings: UUIDs, digits with separators, plain words and paths of
+#: words, and strings of which every 20 characters touch a harmless part.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9+/_=-]+$",
     r"^[A-Za-z+/_=-]+$",
-    r"(?i)(example|sample|dummy|placeholder|changeme|redacted)",
-    r"(?i)(abcdefghij|0123456789|9876543210)",
-    r"(.{1,4})\1{4,}",
+    r"^(?>.{0,19}?" + HARMLESS + r")++.{0,19}$",
 )
 
 
@@ -98,7 +99,8 @@ def find_secrets(docs: DataFrame, rule: Entropy = Entropy(), text: str = "text",
 
     Kinds: assign, access, hex, the leftmost non-overlapping matches of the patterns
     above, and entropy: the part of a candidate string covered by windows of enough
-    Shannon entropy for its character class, unless an allow-list pattern fits it. The
+    Shannon entropy for its character class, unless an allow-list pattern fits it. A
+    harmless part inside a candidate doesn't hide what stands a window away from it. The
     kinds do not suppress each other.
 
     A null or empty text has no findings; texts of any length are scanned whole. Rows

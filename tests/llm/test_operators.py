@@ -385,6 +385,20 @@ def test_secrets(spark):
             assert "[secret]" in clean[i]
 
 
+def test_secrets_beside_harmless_parts(spark):
+    rng = random.Random(21)
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(60))
+    hidden = ["b3BlbnNzaC1rZXktdjEAAAAABG5vbm" + key, "config/sample/" + key, key + "A" * 30 + key, key + "0123456789", "dummy" * 2000 + key, key + "example" + key[:8] + "sample" + key]
+    harmless = ["sample" + key[:19], key[:19] + "0123456789" + key[:19], key[:15] + "example" + key[:15] + "AAAAA" + key[:15], "ab1" * 5000]
+    df = spark.createDataFrame(list(enumerate(hidden + harmless)), "doc_id long, text string")
+    got = {r["doc_id"]: [(f["start"], f["end"]) for f in r["findings"] if f["kind"] == "entropy"] for r in secretscan.find_secrets(df).collect()}
+    for i, text in enumerate(hidden):
+        at = text.index(key)
+        assert any(a < at + 60 and b > at for a, b in got[i]), text[:80]
+        assert got[i] == [(a, b) for a, _, b, _ in loud(text)]
+    assert all(got[len(hidden) + i] == [] for i in range(len(harmless)))
+
+
 def test_secret_query(spark, sf, rows):
     for r in catalog.op7_entropy_secrets(spark, sf).collect():
         spans = [f"{k}:{a}:{b}" for a, _, b, k in found(rows[r["doc_id"]])]
