@@ -125,6 +125,12 @@ def scan_total_cap(spark, sf_dir):
     return scan.total_cap(files(spark, sf_dir).select("rel_path", "size"), most=1_000_000).select("rel_path", "size", "total_bytes")
 
 
+@query("scan_total_cap_default", f"SELECT rel_path, CAST(size AS BIGINT) AS size, CAST(t AS BIGINT) AS total_bytes FROM (SELECT rel_path, size, sum(size) OVER (ORDER BY rel_path ROWS UNBOUNDED PRECEDING) AS t FROM {FILES_SQL} f) WHERE t <= {scan.MAX_TOTAL_BYTES}")
+def scan_total_cap_default(spark, sf_dir):
+    """With the bound that the operator has by itself."""
+    return scan.total_cap(files(spark, sf_dir).select("rel_path", "size")).select("rel_path", "size", "total_bytes")
+
+
 @query("text_lines", f"SELECT doc_id, CAST(len(lines) AS INT) AS n_lines, array_to_string(lines, chr(30)) AS joined FROM (SELECT doc_id, {LINES_SQL} AS lines FROM documents)")
 def text_lines(spark, sf_dir):
     lines = X.lines(F.col("text"))
@@ -272,6 +278,12 @@ def findings_sorted(spark, sf_dir):
     return top.withColumn("place", F.expr("CAST(row_number() OVER (ORDER BY severity_rank, file_path, line_start, seq) AS INT)")).select("seq", "severity", "file_path", "line_start", "place")
 
 
+@query("findings_all_sorted", f"SELECT seq, severity, CAST({RANK_SQL} AS INT) AS severity_rank, file_path, line_start FROM {FINDINGS_SQL} f ORDER BY {RANK_SQL}, file_path, line_start, seq")
+def findings_all_sorted(spark, sf_dir):
+    """Every finding, as the table orders them, with what it orders by."""
+    return report.sorted_findings(findings(spark, sf_dir)).select("seq", "severity", "severity_rank", "file_path", "line_start")
+
+
 @query("table_rows", f"SELECT concat('[', upper(severity), ']') AS badge, concat(file_path, ':', line_start) AS location, title, CASE WHEN strlen(snippet) > 100 THEN concat(left(snippet, 100), '…') ELSE snippet END AS snippet FROM {FINDINGS_SQL} f")
 def table_rows(spark, sf_dir):
     return report.table_rows(findings(spark, sf_dir))
@@ -374,6 +386,12 @@ def store_count(spark, sf_dir):
     return stored(spark, sf_dir).agg(F.count("*").alias("n"), F.count_distinct("rel_path").alias("files"))
 
 
+@query("store_count_all", f"SELECT count(*) AS n, count(DISTINCT rel_path) AS files FROM {CHUNKS_SQL} c")
+def store_count_all(spark, sf_dir):
+    """The store once all documents are in it."""
+    return index.upserted(stored(spark, sf_dir), chunks(spark, sf_dir)).agg(F.count("*").alias("n"), F.count_distinct("rel_path").alias("files"))
+
+
 @query("origin_base", f"SELECT origin, CASE WHEN starts_with(b, 'git@') THEN regexp_extract(b, '^[^:]*:(.*)$', 1) WHEN len(string_split(b, '/')) >= 2 THEN concat(string_split(b, '/')[-2], '/', string_split(b, '/')[-1]) ELSE '' END AS base FROM (SELECT origin, regexp_replace(trim(origin), '\\.git$', '') AS b FROM {fixtures.sql('origins')} o)")
 def origin_base(spark, sf_dir):
     return fixtures.table(spark, "origins").select("origin", P.origin_base(F.col("origin")).alias("base"))

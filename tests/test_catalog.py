@@ -44,3 +44,13 @@ def test_query_equals_sql(spark, sf, duck, name):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() == 10
+
+
+def test_whole_findings_files_and_stores(spark, sf, duck):
+    run = lambda name: entry.queries()[name](spark, sf)
+    places = [(r["severity_rank"], r["file_path"], r["line_start"], r["seq"]) for r in run("findings_all_sorted").collect()]
+    assert places == sorted(places) and len(places) == duck.execute("SELECT count(*) FROM events").fetchone()[0] > 100
+    size = duck.execute("SELECT sum(strlen(text)), count(*) FROM documents").fetchone()
+    kept = run("scan_total_cap_default")
+    assert size[0] > 20_000_000 or kept.count() == size[1]
+    assert run("store_count_all").first()["n"] == run("chunk_lines").count() > run("store_count").first()["n"]
