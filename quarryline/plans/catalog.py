@@ -342,6 +342,35 @@ def cell_truncate(spark, sf_dir):
     return _ascii(spark, sf_dir).select("doc_id", X.cell(F.col("t"), 28).alias("cell"), X.cell(F.col("t"), 1).alias("one"), X.cell(F.col("t"), 0).alias("none"))
 
 
+#: Whole texts, and the titles of findings.
+_WHOLE_SQL = "(SELECT 'document' AS origin, doc_id AS id, text AS t FROM documents UNION ALL SELECT 'title', event_id, concat('Found in ', event_type) FROM events)"
+_WHOLE_ASCII_SQL = "(SELECT origin, id, regexp_replace(t, '[^ -~]', '?', 'g') AS t FROM " + _WHOLE_SQL + " w)"
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select(F.lit("document").alias("origin"), F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    return documents.unionByName(findings(spark, sf_dir).select(F.lit("title").alias("origin"), F.col("seq").alias("id"), F.col("title").alias("t")))
+
+
+def _whole_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole(spark, sf_dir).withColumn("t", F.regexp_replace("t", "[^ -~]", "?"))
+
+
+@query("slug_whole", f"SELECT origin, id, {SLUG.format('t')} AS slug FROM {_WHOLE_SQL} w")
+def slug_whole(spark, sf_dir):
+    return _whole(spark, sf_dir).select("origin", "id", N.slug(F.col("t")).alias("slug"))
+
+
+@query("snippet_whole", f"SELECT origin, id, CASE WHEN strlen(t) > 100 THEN concat(left(t, 100), '…') ELSE t END AS snippet FROM {_WHOLE_ASCII_SQL} d")
+def snippet_whole(spark, sf_dir):
+    return _whole_ascii(spark, sf_dir).select("origin", "id", X.snippet(F.col("t"), 100).alias("snippet"))
+
+
+@query("cell_whole", f"SELECT origin, id, CASE WHEN strlen(t) > 28 THEN concat(left(t, 27), '…') ELSE t END AS cell, left(t, 1) AS one, left(t, 0) AS none FROM {_WHOLE_ASCII_SQL} d")
+def cell_whole(spark, sf_dir):
+    return _whole_ascii(spark, sf_dir).select("origin", "id", X.cell(F.col("t"), 28).alias("cell"), X.cell(F.col("t"), 1).alias("one"), X.cell(F.col("t"), 0).alias("none"))
+
+
 # ---- paths, patches, remotes
 
 

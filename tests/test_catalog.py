@@ -54,3 +54,12 @@ def test_whole_findings_files_and_stores(spark, sf, duck):
     kept = run("scan_total_cap_default")
     assert size[0] > 20_000_000 or kept.count() == size[1]
     assert run("store_count_all").first()["n"] == run("chunk_lines").count() > run("store_count").first()["n"]
+
+
+def test_whole_texts_reach_slugs_snippets_and_cells(spark, sf, duck):
+    texts, events = (duck.execute(f"SELECT count(*) FROM {t}").fetchone()[0] for t in ("documents", "events"))
+    got = {name: entry.queries()[name](spark, sf).collect() for name in ("slug_whole", "snippet_whole", "cell_whole")}
+    assert {len(rows) for rows in got.values()} == {texts + events}
+    longest = duck.execute("SELECT max(strlen(regexp_replace(text, '[^A-Za-z0-9]', '', 'g'))) FROM documents").fetchone()[0]
+    assert max(len(r["slug"] or "") for r in got["slug_whole"]) >= longest > 200
+    assert sum(r["snippet"].endswith("…") for r in got["snippet_whole"] if r["snippet"]) >= duck.execute("SELECT count(*) FROM documents WHERE length(text) > 100").fetchone()[0]
