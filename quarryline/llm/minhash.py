@@ -151,6 +151,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, doc_id:
     text are all kept or all not. An empty table gives an empty result. Other columns
     are ignored.
     """
+    return _with_nodes(docs, percent, width, doc_id, text).drop("node")
+
+
+def _with_nodes(docs: DataFrame, percent: int, width: int, doc_id: str, text: str) -> DataFrame:
+    """``near_duplicates`` with ``node``, the hash of the row's text."""
     rows = scratch.table(_sketched(docs, doc_id, text, width), "near-rows")
     sketches = scratch.table(rows.where("n_shingles > 0").select("node", "n_shingles", "regs").dropDuplicates(["node"]), "near-sketches")
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 2 * BAND * i + 1, 2 * BAND)) for i in range(BANDS)])
@@ -162,10 +167,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, doc_id:
     links = scratch.table(_confirmed(best, texts, width, percent), "near-links")
     links = links.union(_across(members.select("key", "node"), sketches, texts, links, width, percent))
     found = scratch.table(components(scratch.table(links, "near-links")), "near-found")
-    named = scratch.table(rows.join(found, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("group")), "near-named")
+    named = scratch.table(rows.join(found, "node", "left").select("doc_id", "node", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("group")), "near-named")
     least = scratch.table(named.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id")), "near-least")
     return named.join(least, "group", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "doc_id", "node", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
@@ -195,8 +200,9 @@ def _texts_of(docs: DataFrame, rows: DataFrame, members: DataFrame, doc_id: str,
 def keep_first(docs: DataFrame, percent: int = 75, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows whose text has a near duplicate of a smaller doc_id in its component.
 
-    Rows without a doc_id stay. Of rows equal in id and text all stay or all go.
+    Rows without a doc_id stay. Of rows equal in id and text all stay or all go; rows of
+    one id and different texts are judged each by its text.
     """
-    found = near_duplicates(docs, percent, width, doc_id, text)
-    gone = found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    found = _with_nodes(docs, percent, width, doc_id, text)
+    gone = found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("__gone"), F.col("node").alias("__node")).distinct()
+    return docs.join(gone, (F.col(doc_id) == F.col("__gone")) & (F.xxhash64(text) == F.col("__node")), "left_anti")

@@ -205,6 +205,12 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert sorted(k for k in kept if k) == [1, 1, 2, 3, 4, 5, 7, 8, 9] and None in kept
 
 
+def test_one_id_on_two_texts(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "vw")
+    df = spark.createDataFrame([(1, one), (5, one), (5, two), (9, two)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in minhash.keep_first(df).collect()) == [(1, one), (5, two)]
+
+
 def test_sketches_estimate_and_merge():
     rng = np.random.default_rng(2)
     for true in (0.3, 0.75, 0.95):
