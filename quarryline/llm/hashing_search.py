@@ -96,6 +96,13 @@ def ball(radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for n in range(radius + 1) for c in combinations(range(SUB), n)], np.uint16)
 
 
+def probe_count(radius: int, m: int) -> int:
+    """Substring values that ``within`` looks up in ``m`` substrings."""
+    near, spare = divmod(radius, m)
+    values = lambda reach: sum(math.comb(SUB, i) for i in range(reach + 1))
+    return (spare + 1) * values(near) + (m - spare - 1) * values(near - 1)
+
+
 class Index:
     """A block's codes by the value of each substring."""
 
@@ -113,8 +120,7 @@ class Index:
         """
         m = self.codes.shape[1]
         near, spare = divmod(radius, m)
-        probes = sum(math.comb(SUB, i) for i in range(near + 1)) * m if near <= SUB // 2 else len(self.codes) + 1
-        if probes > len(self.codes):
+        if near > SUB // 2 or probe_count(radius, m) > len(self.codes):
             found = np.arange(len(self.codes))
         else:
             hits = []

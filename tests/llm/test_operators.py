@@ -473,6 +473,15 @@ def test_probing_finds_every_code_within_the_radius():
         assert index.within(codes[0], radius).tolist() == np.flatnonzero(far <= radius).tolist()
 
 
+def test_close_queries_are_probed(monkeypatch):
+    codes = np.random.default_rng(12).integers(0, 2**16, (8000, 16), dtype=np.uint16)
+    assert hashing_search.probe_count(54, 16) == sum(len(hashing_search.ball(3 if j <= 6 else 2)) for j in range(16)) == 6112
+    index, compared, plain = hashing_search.Index(codes), [], hashing_search.hamming
+    monkeypatch.setattr(hashing_search, "hamming", lambda a, b: compared.append(len(b)) or plain(a, b))
+    assert index.within(codes[0], 54).tolist() == np.flatnonzero(plain(codes[:1], codes)[0] <= 54).tolist()
+    assert compared[0] < len(codes)
+
+
 def test_search_on_odd_rows(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 1.0]), (4, [1.0, 1.0]), (5, None), (6, [0.0, 0.0]), (7, [float("nan"), 1.0]), (None, [1.0, 0.0]), (8, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"id": F.lit("x"), "v": F.lit("y"), "score": F.lit(0)})
