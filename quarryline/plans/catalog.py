@@ -230,6 +230,19 @@ def secret_regex(spark, sf_dir):
     return secrets.by_pattern(fixtures.table(spark, "secret_lines")).select("line_id", "seq", "pattern_id", "severity", "match")
 
 
+_ALL_LINES = f"(SELECT 'fixture' AS origin, CAST(line_id AS BIGINT) AS id, CAST(1 AS INT) AS line_no, text FROM {_LINES_OF} f UNION ALL SELECT 'document', doc_id, CAST(i AS INT), lines[i] FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, {LINES_SQL} AS lines FROM documents)))"
+_ALL_HITS = _HITS.replace("SELECT line_id,", "SELECT origin, id, line_no,")
+
+
+@query("secret_regex_all", f"WITH l AS {_ALL_LINES}, h AS ({_ALL_HITS}) SELECT origin, id, line_no, CAST(seq AS INT) AS seq, pattern_id, severity, match FROM h WHERE NOT EXISTS (SELECT 1 FROM h k WHERE k.origin = h.origin AND k.id = h.id AND k.line_no = h.line_no AND k.seq < h.seq AND contains(k.match, h.match))")
+def secret_regex_all(spark, sf_dir):
+    """The rules over every line of every document, and over the fixture's lines."""
+    fixed = fixtures.table(spark, "secret_lines").select(F.lit("fixture").alias("origin"), F.col("line_id").cast("long").alias("id"), F.lit(1).alias("line_no"), "text")
+    lines = read(spark, sf_dir, "documents").select(F.lit("document").alias("origin"), F.col("doc_id").alias("id"), F.posexplode(X.lines(F.col("text"))).alias("at", "text"))
+    every = fixed.unionByName(lines.select("origin", "id", (F.col("at") + 1).alias("line_no"), "text"))
+    return secrets.by_pattern(every).select("origin", "id", "line_no", "seq", "pattern_id", "severity", "match")
+
+
 _BITS = "list_sum(list_transform(list_distinct(string_split(value, '')), lambda c: -((length(value) - length(replace(value, c, ''))) / length(value)) * log2((length(value) - length(replace(value, c, ''))) / length(value))))"
 
 

@@ -63,3 +63,10 @@ def test_whole_texts_reach_slugs_snippets_and_cells(spark, sf, duck):
     longest = duck.execute("SELECT max(strlen(regexp_replace(text, '[^A-Za-z0-9]', '', 'g'))) FROM documents").fetchone()[0]
     assert max(len(r["slug"] or "") for r in got["slug_whole"]) >= longest > 200
     assert sum(r["snippet"].endswith("…") for r in got["snippet_whole"] if r["snippet"]) >= duck.execute("SELECT count(*) FROM documents WHERE length(text) > 100").fetchone()[0]
+
+
+def test_provider_keys_of_documents_are_found(spark, tmp_path):
+    key = "AK" + "IA" + "ABCDEFGH12345678"
+    spark.createDataFrame([(1, f"first line\nid = '{key}'\nlast"), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["secret_regex_all"](spark, str(tmp_path)).where("origin = 'document'").collect()
+    assert [(r["id"], r["line_no"], r["match"]) for r in got] == [(1, 2, key)]
