@@ -8,8 +8,10 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from quarryline.operators import scan
 
 SQL = entry.oracle_sql()
 
@@ -70,3 +72,22 @@ def test_provider_keys_of_documents_are_found(spark, tmp_path):
     spark.createDataFrame([(1, f"first line\nid = '{key}'\nlast"), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = entry.queries()["secret_regex_all"](spark, str(tmp_path)).where("origin = 'document'").collect()
     assert [(r["id"], r["line_no"], r["match"]) for r in got] == [(1, 2, key)]
+
+
+def test_total_cap_of_files_in_the_root(spark):
+    files = spark.range(3000).select(F.concat(F.lit("f"), F.col("id") * 7919 % 3000).alias("rel_path"), (F.col("id") % 5).alias("size"))
+    sizes, total, want = sorted((r["rel_path"], r["size"]) for r in files.collect()), 0, []
+    for path, size in sizes:
+        total += size
+        want += [(path, size, total)] if total <= 4000 else []
+    capped = scan.total_cap(files, 4000)
+    assert sorted(tuple(r) for r in capped.collect()) == want
+    assert scan.total_cap(files.limit(0)).count() == 0
+    # The window over all rows sees sums of ranges, never a row for each file.
+    seen = []
+    real = scan.Window.orderBy
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(scan.Window, "orderBy", staticmethod(lambda *c: seen.extend(c) or real(*c)))
+        scan.total_cap(files, 4000)
+    assert seen == ["__range"]
+    assert scan.total_cap(files, 10**9).count() == 3000
