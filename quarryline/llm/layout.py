@@ -43,13 +43,14 @@ def offsets(narrow: DataFrame, group: str, bucket: str, amount: Column, out: str
 def positions(df: DataFrame, starts: DataFrame, group: str, bucket: str, order: list[str], amount: Column, out: str) -> DataFrame:
     """Adds ``out``: the running sum of ``amount`` before each row, in (bucket, order) within the group.
 
-    ``starts`` comes from ``offsets`` over the same rows. The join keys are the
-    window's keys, so the rows move once.
+    ``starts`` comes from ``offsets`` over the same rows. ``group`` must never be null: a
+    null-safe join would be keyed by other expressions than the window, and the rows would
+    move a second time. With plain equality the join takes the window's partitioning.
     """
     inside = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = df.withColumn(out, F.coalesce(F.sum(amount).over(inside), F.lit(0)).cast("long"))
     base = starts.select(F.col(group).alias("__g"), F.col(bucket).alias("__b"), F.col(out).alias("__start"))
-    joined = placed.join(base, F.col(group).eqNullSafe(F.col("__g")) & (F.col(bucket) == F.col("__b")))
+    joined = placed.join(base, (F.col(group) == F.col("__g")) & (F.col(bucket) == F.col("__b")))
     return joined.withColumn(out, F.col(out) + F.col("__start")).drop("__g", "__b", "__start")
 
 
