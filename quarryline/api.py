@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarryline.operators import chunking, index, report, scan, search, secrets
 from quarryline.sources import git
 from quarryline.sources.store import ChunkStore
-from quarryline.sources.tree import read_tree
+from quarryline.sources.tree import list_tree, read_tree
 
 
 @dataclass(frozen=True)
@@ -25,11 +25,11 @@ class Analysis:
 
 def analyze(spark: SparkSession, path: str, fail_on: str = "high", most: int = scan.MAX_TOTAL_BYTES) -> Analysis:
     """Findings of a tree; at most ``most`` bytes are scanned, in path order."""
-    files = read_tree(spark, path)
-    taken = scan.total_cap(files.select("rel_path", "size"), most).select("rel_path").persist()
-    found = secrets.findings(files.join(taken, "rel_path").where("text is not null").select("rel_path", "text")).persist()
+    listed = list_tree(spark, path).persist()
+    taken = scan.total_cap(listed, most).select("rel_path").persist()
+    found = secrets.findings(read_tree(spark, path).join(taken, "rel_path").where("text is not null").select("rel_path", "text")).persist()
     scanned = taken.count()
-    return Analysis(found, scanned, scanned < files.count(), report.gate(found, fail_on))
+    return Analysis(found, scanned, scanned < listed.count(), report.gate(found, fail_on))
 
 
 def index_tree(spark: SparkSession, path: str, store_folder: str, embedder: index.Embedder | None = None, model: str = "hashing-64", batch: int = index.BATCH) -> dict[str, int]:

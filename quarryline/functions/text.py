@@ -6,11 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Fixed value: what counts as white space at the ends of a value, as a set of characters.
+SPACE = "\t\n\v\f\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def trimmed(value: Column) -> Column:
+    """Without any white space at either end, line ends included."""
+    return F.regexp_replace(value, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+
+
 def lines(text: Column) -> Column:
     """Lines as a line scanner gives them: one carriage return at an end goes, and no empty line after a final line feed. Empty text: none."""
     parts = F.split(text, "\n", -1)
     parts = F.when(text == "", F.array().cast("array<string>")).when(text.endswith("\n"), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.transform(parts, lambda line: F.regexp_replace(line, r"\r\z", ""))
+    return F.transform(parts, lambda line: F.when(line.endswith("\r"), F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line))
 
 
 def decoded(content: Column) -> Column:
@@ -49,7 +58,7 @@ def indent(text: Column, prefix: str) -> Column:
 def relative_age(at: Column, as_of: Column) -> Column:
     """"just now", minutes, hours or days before ``as_of``; from 30 days on the date."""
     seconds = F.floor((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(at.cast("timestamp"))) / 1_000_000)
-    count = lambda unit, letter: F.concat(F.floor(seconds / unit).cast("long").cast("string"), F.lit(letter))
+    count = lambda unit, letter: F.concat(F.floor(seconds / unit).cast("long").cast("string"), F.lit(f"{letter} ago"))
     return (
         F.when(seconds < 60, "just now").when(seconds < 3600, count(60, "m")).when(seconds < 86_400, count(3600, "h"))
         .when(seconds < 30 * 86_400, count(86_400, "d")).otherwise(F.date_format(at, "yyyy-MM-dd"))
@@ -68,7 +77,7 @@ def compact_utc(at: Column) -> Column:
 
 def or_default(value: Column, default: Column) -> Column:
     """The trimmed value, or the default where nothing is left."""
-    return F.coalesce(F.nullif(F.trim(value), F.lit("")), default)
+    return F.coalesce(F.nullif(trimmed(value), F.lit("")), default)
 
 
 def entropy(text: Column) -> Column:

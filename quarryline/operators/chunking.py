@@ -19,7 +19,8 @@ def chunk_lines(files: DataFrame, window: int = WINDOW, overlap: int = OVERLAP)
     step = window - overlap
     if not 0 <= overlap < window:
         raise ValueError("the overlap must be smaller than the window")
-    some = files.select("rel_path", "language", X.lines(F.col("text")).alias("__lines")).where(F.size("__lines") > 0)
+    # A text that isn't empty has a line; a filter on the lines would split each text twice.
+    some = files.where(F.col("text") != "").select("rel_path", "language", X.lines(F.col("text")).alias("__lines"))
     last = F.greatest(F.lit(0), F.ceil((F.size("__lines") - window) / step)) * step
     cut = some.withColumn("__start", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"), F.lit(step).cast("long"))))
     body = cut.select(

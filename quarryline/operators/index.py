@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as X
+from quarryline.operators import ordering
 
 MAX_INPUT_BYTES = 24_576
 BATCH = 16
@@ -36,12 +37,13 @@ def embed_input(text: Column) -> Column:
     return X.cut_bytes(text, MAX_INPUT_BYTES)
 
 
-def batches(chunks: DataFrame, size: int = BATCH, key: str = "content_hash", group: str = "rel_path") -> DataFrame:
-    """Adds ``batch`` and ``place``: consecutive rows of a group in key order, ``size`` to a batch."""
+def batches(chunks: DataFrame, size: int = BATCH, key: str = "rel_path", order: tuple[str, ...] = ("line_start", "content_hash")) -> DataFrame:
+    """Adds ``batch`` and ``place`` (long): consecutive rows of all chunks, by path and line, ``size`` to a batch."""
     if size < 1:
         raise ValueError("a batch needs at least one row")
-    n = F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1
-    return chunks.withColumn("batch", F.floor(n / size).cast("int")).withColumn("place", (n % size).cast("int"))
+    n = F.col("__n") - 1
+    numbered = ordering.running(chunks, key, list(order), F.lit(1), "__n")
+    return numbered.withColumns({"batch": F.floor(n / size).cast("long"), "place": (n % size).cast("long")}).drop("__n")
 
 
 def hashing_embedder(dim: int = 64) -> Embedder:

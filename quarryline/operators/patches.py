@@ -17,13 +17,20 @@ def _lines(patches: DataFrame) -> DataFrame:
 
 def usable(patches: DataFrame) -> DataFrame:
     """Patches with something in them."""
-    return patches.where(F.trim("patch") != "")
+    return patches.where(X.trimmed(F.col("patch")) != "")
+
+
+def verdicts(patches: DataFrame) -> DataFrame:
+    """(patch_id, n_files, verdict): "empty", "touches no files", "unsafe path", or "ok" for a patch that may be applied."""
+    files = patch_files(patches).groupBy("patch_id").agg(F.count("*").alias("n_files"), F.bool_or("unsafe").alias("unsafe"))
+    said = F.when(X.trimmed(F.col("patch")) == "", "empty").when(F.col("n_files").isNull(), "touches no files").when(F.col("unsafe"), "unsafe path").otherwise("ok")
+    return patches.join(files, "patch_id", "left").select("patch_id", F.coalesce("n_files", F.lit(0)).alias("n_files"), said.alias("verdict"))
 
 
 def patch_files(patches: DataFrame) -> DataFrame:
     """(patch_id, path, first_pos, unsafe): each file a patch touches, once; one bad path makes the whole patch unsafe."""
     name = F.regexp_replace(F.substring("line", 5, 1 << 30), "^b/", "")
-    headers = _lines(patches).where(F.col("line").startswith("+++ ")).select("patch_id", "pos", F.trim(F.regexp_replace(name, r"^([^\t]+)\t[\s\S]*$", "$1")).alias("path"))
+    headers = _lines(patches).where(F.col("line").startswith("+++ ")).select("patch_id", "pos", X.trimmed(F.regexp_replace(name, r"^([^\t]+)\t[\s\S]*\z", "$1")).alias("path"))
     files = headers.where(~F.col("path").isin("", "/dev/null")).groupBy("patch_id", "path").agg(F.min("pos").alias("first_pos"))
     bad = files.groupBy("patch_id").agg(F.bool_or(P.path_problem(F.col("path")).isNotNull()).alias("unsafe"))
     return files.join(bad, "patch_id").select("patch_id", "path", "first_pos", "unsafe")

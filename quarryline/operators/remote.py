@@ -26,9 +26,26 @@ def proposed_fixes(fixes: DataFrame, most: int = 20) -> DataFrame:
 
 
 def recent_runs(runs: DataFrame, as_of, most: int = 5) -> DataFrame:
-    """The latest runs as a status page shows them: (run_id, age, project, branch, status)."""
+    """The latest runs as a status page shows them: (run_id, age, project, status, branch, findings, fixes)."""
     top = runs.orderBy(F.desc("created_at"), "run_id").limit(most)
-    return top.select("run_id", X.relative_age(F.col("created_at"), as_of).alias("age"), X.cell(F.col("project"), 28).alias("project"), X.cell(F.coalesce(F.nullif(F.col("branch"), F.lit("")), F.lit("-")), 16).alias("branch"), "status")
+    branch = F.coalesce(F.nullif(F.col("branch"), F.lit("")), F.lit("-"))
+    return top.select("run_id", X.relative_age(F.col("created_at"), as_of).alias("age"), X.cell(F.col("project"), 28).alias("project"), "status", X.cell(branch, 16).alias("branch"), "findings", "fixes")
+
+
+def recent_fixes(fixes: DataFrame, as_of, most: int = 5) -> DataFrame:
+    """The latest proposed changes as a status page shows them: (age, project, number, status, title)."""
+    top = fixes.orderBy(F.desc("created_at"), "fix_id").limit(most)
+    return top.select(X.relative_age(F.col("created_at"), as_of).alias("age"), X.cell(F.col("project"), 24).alias("project"), F.concat(F.lit("#"), F.col("fix_id").cast("string")).alias("number"), "status", X.cell(F.col("title"), 48).alias("title"))
+
+
+def readiness(wanted: DataFrame, offered: DataFrame | None, server: str) -> DataFrame:
+    """(name, ready, message) for each wanted model; ``offered`` is None where the server can't be reached. What is missing is said with what to do."""
+    if offered is None:
+        return wanted.select("name", F.lit(False).alias("ready"), F.lit(f"can't reach the model server at {server}: is it running?").alias("message"))
+    keys = offered.select(P.model_key(F.col("name")).alias("__key")).distinct()
+    known = wanted.join(keys, P.model_key(F.col("name")) == F.col("__key"), "left")
+    ready = F.col("__key").isNotNull()
+    return known.select("name", ready.alias("ready"), F.when(~ready, F.concat(F.lit(f"the model server at {server} has no model "), "name", F.lit(": pull it first"))).alias("message"))
 
 
 def available_models(wanted: DataFrame, offered: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.operators import ordering
+
 # Folders that are never entered, and the language of each extension.
 SKIPPED = (".git", "node_modules", ".next", ".turbo", ".cache", "dist", "build", ".venv", "venv", "__pycache__", "vendor", "target")
 LANGUAGES = {
@@ -15,8 +17,6 @@ LANGUAGES = {
 MAX_FILE_BYTES = 524_288
 MAX_TOTAL_BYTES = 20_000_000
 BACKUP_PREFIX = ".backup-"
-#: Paths drawn to find the ranges of a running total, about, and ranges.
-DRAWN, RANGES = 4096, 128
 
 
 def pruned(path: Column, backup_prefix: str = BACKUP_PREFIX) -> Column:
@@ -36,22 +36,6 @@ def eligible(files: DataFrame, backup_prefix: str = BACKUP_PREFIX) -> DataFrame:
     return files.where(~pruned(F.col("rel_path"), backup_prefix) & (F.col("size") <= MAX_FILE_BYTES)).withColumn("language", language(F.col("rel_path"))).where("language is not null")
 
 
-def total_cap(files: DataFrame, most: int = MAX_TOTAL_BYTES, folders: int = 1) -> DataFrame:
-    """Files in path order until ``most`` bytes are reached; the file that passes the bound is left out, with all after it.
-
-    The paths are cut into ranges of about equal numbers at paths drawn by hash, a few
-    hundred at most. Sums of ranges come first, so that only the files of one range share
-    a task. ``folders`` has no effect any more. Files without a path are left out.
-    """
-    placed = files.where("rel_path is not null")
-    step = max(1, placed.count() // DRAWN)
-    drawn = sorted(r[0] for r in placed.where(F.pmod(F.xxhash64("rel_path"), F.lit(step)) == 0).select("rel_path").distinct().collect())
-    bounds = drawn[:: max(1, len(drawn) // RANGES)][1:]
-    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("rel_path"))) if bounds else F.lit(0)
-    keyed = placed.withColumn("__range", bucket)
-    # At most about 2 * RANGES rows.
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = keyed.groupBy("__range").agg(F.sum("size").alias("__sum")).select("__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy("__range").orderBy("rel_path").rowsBetween(Window.unboundedPreceding, 0)
-    run = keyed.join(starts, "__range").withColumn("total_bytes", (F.col("__start") + F.sum("size").over(within)).cast("long"))
-    return run.where(F.col("total_bytes") <= most).drop("__range", "__start")
+def total_cap(files: DataFrame, most: int = MAX_TOTAL_BYTES) -> DataFrame:
+    """Files in path order until ``most`` bytes are reached, with ``total_bytes``; the file that passes the bound is left out, with all after it. Files without a path are left out."""
+    return ordering.running(files, "rel_path", [], F.col("size"), "total_bytes").where(F.col("total_bytes") <= most)

@@ -28,7 +28,7 @@ def search(store: DataFrame, query: list[float], k: int = 10, languages: list[st
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)).cast("int"))
 
 
-def rendered(results: DataFrame, prefix: str = "    ") -> DataFrame:
+def rendered(results: DataFrame, prefix: str = "   ") -> DataFrame:
     """(rank, head, detail, body): what a terminal shows of each result."""
     return results.select(
         "rank",
@@ -39,6 +39,8 @@ def rendered(results: DataFrame, prefix: str = "    ") -> DataFrame:
 
 
 def as_json(results: DataFrame, query: str, k: int) -> DataFrame:
-    """One row ``json``: {query, k, results}; results in rank order, of which there are k at most."""
-    item = F.struct("rank", "rel_path", "language", "kind", "line_start", "line_end", "score", "content_text")
-    return results.agg(F.to_json(F.struct(F.lit(query).alias("query"), F.lit(k).alias("k"), F.array_sort(F.collect_list(item)).alias("results"))).alias("json"))
+    """One row ``json``: {query, k, results}, each result by the names that consumers know; in rank order, of which there are k at most."""
+    names = {"chunkId": "content_hash", "relPath": "rel_path", "language": "language", "kind": "kind", "lineStart": "line_start", "lineEnd": "line_end", "score": "score", "content": "content_text"}
+    item = F.struct(*[F.col(column).alias(name) for name, column in names.items()])
+    ranked = F.array_sort(F.collect_list(F.struct("rank", item.alias("item"))))
+    return results.agg(F.to_json(F.struct(F.lit(query).alias("query"), F.lit(k).alias("k"), F.transform(ranked, lambda r: r["item"]).alias("results"))).alias("json"))

@@ -20,9 +20,9 @@ SQL: dict[str, str] = {}
 
 # ---- relations derived from the tables; the same text serves Spark and DuckDB
 
-#: Documents as files of a tree, with skipped folders, upper-case and unknown extensions.
+#: Documents as files of a tree, with skipped folders, folders whose names begin alike, upper-case and unknown extensions.
 FILES = """
-concat(source, '/', CASE doc_id % 11 WHEN 0 THEN 'node_modules/' WHEN 1 THEN '.backup-20240101T000000Z/' WHEN 2 THEN 'lib/' ELSE '' END, CAST(doc_id AS STRING),
+concat(source, CASE doc_id % 13 WHEN 0 THEN '-x/' WHEN 1 THEN '.d/' ELSE '/' END, CASE doc_id % 11 WHEN 0 THEN 'node_modules/' WHEN 1 THEN '.backup-20240101T000000Z/' WHEN 2 THEN 'lib/' ELSE '' END, CAST(doc_id AS STRING),
        CASE doc_id % 8 WHEN 0 THEN '.py' WHEN 1 THEN '.GO' WHEN 2 THEN '.md' WHEN 3 THEN '.tar.gz' WHEN 4 THEN '.ts' WHEN 5 THEN '' WHEN 6 THEN '.yml' ELSE '.Sql' END)
 """
 #: Events as findings.
@@ -120,15 +120,15 @@ def scan_size_cap(spark, sf_dir):
     return grown.where(F.col("size") <= scan.MAX_FILE_BYTES).select("doc_id", "rel_path", "size")
 
 
-@query("scan_total_cap", f"SELECT rel_path, CAST(size AS BIGINT) AS size, CAST(t AS BIGINT) AS total_bytes FROM (SELECT rel_path, size, sum(size) OVER (ORDER BY rel_path ROWS UNBOUNDED PRECEDING) AS t FROM {FILES_SQL} f) WHERE t <= 1000000")
+@query("scan_total_cap", f"SELECT rel_path, CAST(size AS BIGINT) AS size, CAST(t AS BIGINT) AS total_bytes FROM (SELECT rel_path, size, sum(size) OVER (ORDER BY rel_path ROWS UNBOUNDED PRECEDING) AS t FROM {FILES_SQL} f) WHERE t <= {scan.MAX_TOTAL_BYTES}")
 def scan_total_cap(spark, sf_dir):
-    return scan.total_cap(files(spark, sf_dir).select("rel_path", "size"), most=1_000_000).select("rel_path", "size", "total_bytes")
+    return scan.total_cap(files(spark, sf_dir).select("rel_path", "size")).select("rel_path", "size", "total_bytes")
 
 
 @query("scan_total_cap_default", f"SELECT rel_path, CAST(size AS BIGINT) AS size, CAST(t AS BIGINT) AS total_bytes FROM (SELECT rel_path, size, sum(size) OVER (ORDER BY rel_path ROWS UNBOUNDED PRECEDING) AS t FROM {FILES_SQL} f) WHERE t <= {scan.MAX_TOTAL_BYTES}")
 def scan_total_cap_default(spark, sf_dir):
-    """With the bound that the operator has by itself."""
-    return scan.total_cap(files(spark, sf_dir).select("rel_path", "size")).select("rel_path", "size", "total_bytes")
+    """The same by its former name."""
+    return scan_total_cap(spark, sf_dir)
 
 
 @query("text_lines", f"SELECT doc_id, CAST(len(lines) AS INT) AS n_lines, array_to_string(lines, chr(30)) AS joined FROM (SELECT doc_id, {LINES_SQL} AS lines FROM documents)")
@@ -165,7 +165,7 @@ def store_upsert(spark, sf_dir):
     return index.upserted(stored(spark, sf_dir), chunks(spark, sf_dir)).groupBy("language").agg(F.count("*").alias("n"), F.count_distinct("content_hash").alias("hashes"))
 
 
-@query("embed_batches", f"SELECT rel_path, content_hash, CAST(floor(n / 16) AS INT) AS batch, CAST(n % 16 AS INT) AS place FROM (SELECT rel_path, content_hash, row_number() OVER (PARTITION BY rel_path ORDER BY content_hash) - 1 AS n FROM {CHUNKS_SQL} c)")
+@query("embed_batches", f"SELECT rel_path, content_hash, n // 16 AS batch, n % 16 AS place FROM (SELECT rel_path, content_hash, row_number() OVER (ORDER BY rel_path, line_start, content_hash) - 1 AS n FROM {CHUNKS_SQL} c)")
 def embed_batches(spark, sf_dir):
     return index.batches(chunks(spark, sf_dir)).select("rel_path", "content_hash", "batch", "place")
 
@@ -207,12 +207,11 @@ def search_lang_filter(spark, sf_dir):
 
 @query("search_render", f"""
 SELECT rank, concat(rel_path, ':', line_start, '-', line_end) AS head, concat('(lines · ', language, ' · score=', format('{{:.3f}}', score), ')') AS detail,
-       CASE WHEN content_text = '' THEN '' ELSE concat('    ', replace(rtrim(content_text, chr(10)), chr(10), concat(chr(10), '    '))) END AS body
-FROM (SELECT *, 1.0::DOUBLE / (4 + line_start) AS score, CAST(row_number() OVER (ORDER BY content_hash) AS INT) AS rank FROM {CHUNKS_SQL} c ORDER BY content_hash LIMIT 10)""")
+       CASE WHEN content_text = '' THEN '' ELSE concat('   ', replace(rtrim(content_text, chr(10)), chr(10), concat(chr(10), '   '))) END AS body
+FROM (SELECT *, 1.0::DOUBLE / (4 + line_start) AS score, line_end AS rank FROM {CHUNKS_SQL} c)""")
 def search_render(spark, sf_dir):
-    top = chunks(spark, sf_dir).orderBy("content_hash").limit(10)
-    ranked = top.withColumn("rank", F.expr("CAST(row_number() OVER (ORDER BY content_hash) AS INT)")).withColumn("score", F.lit(1.0) / (F.col("line_start") + 4))
-    return search.rendered(ranked)
+    """Every chunk as a search shows it."""
+    return search.rendered(chunks(spark, sf_dir).withColumns({"rank": F.col("line_end"), "score": F.lit(1.0) / (F.col("line_start") + 4)}))
 
 
 # ---- findings
@@ -284,11 +283,11 @@ def _rest(counts: list[DataFrame], names: tuple[str, ...]) -> DataFrame:
     return out
 
 
-@query("findings_sorted", f"SELECT seq, severity, file_path, line_start, CAST(row_number() OVER (ORDER BY {RANK_SQL}, file_path, line_start, seq) AS INT) AS place FROM {FINDINGS_SQL} f QUALIFY place <= 100")
+@query("findings_sorted", f"SELECT seq, severity, file_path, line_start, CAST(row_number() OVER (PARTITION BY severity ORDER BY file_path, line_start, seq) AS INT) AS place FROM {FINDINGS_SQL} f")
 def findings_sorted(spark, sf_dir):
-    """The first hundred findings as the table orders them (a top-k report)."""
-    top = report.sorted_findings(findings(spark, sf_dir)).limit(100)
-    return top.withColumn("place", F.expr("CAST(row_number() OVER (ORDER BY severity_rank, file_path, line_start, seq) AS INT)")).select("seq", "severity", "file_path", "line_start", "place")
+    """Every finding as the table orders them, with its place among those of its severity."""
+    place = F.expr("CAST(row_number() OVER (PARTITION BY severity ORDER BY file_path, line_start, seq) AS INT)")
+    return report.sorted_findings(findings(spark, sf_dir)).withColumn("place", place).select("seq", "severity", "file_path", "line_start", "place")
 
 
 @query("findings_all_sorted", f"SELECT seq, severity, CAST({RANK_SQL} AS INT) AS severity_rank, file_path, line_start FROM {FINDINGS_SQL} f ORDER BY {RANK_SQL}, file_path, line_start, seq")
@@ -318,9 +317,9 @@ def sarif_rule_id(spark, sf_dir):
     return findings(spark, sf_dir).select("seq", N.rule_id(c("category"), c("detection"), c("pattern")).alias("rule_id"), N.rule_name(c("pattern"), c("title")).alias("rule_name"))
 
 
-@query("slug", f"SELECT doc_id, {SLUG.format('left(text, 60)')} AS slug FROM documents")
+@query("slug", f"SELECT doc_id, {SLUG.format('text')} AS slug FROM documents")
 def slug(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", N.slug(F.left("text", F.lit(60))).alias("slug"))
+    return read(spark, sf_dir, "documents").select("doc_id", N.slug(F.col("text")).alias("slug"))
 
 
 @query("sarif_rules", f"SELECT rule_id, rule_name, explanation, category, cwe, owasp, level FROM (SELECT *, {RULE_SQL} AS rule_id, coalesce(nullif(pattern, ''), title) AS rule_name, {LEVEL_SQL} AS level FROM {FINDINGS_SQL} f) QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY seq) = 1")
@@ -338,11 +337,11 @@ def fixable_findings(spark, sf_dir):
     return report.fixable(findings(spark, sf_dir)).select("seq", "category")
 
 
-_ASCII = "(SELECT doc_id, left(regexp_replace(text, '[^ -~]', '?', 'g'), CAST(doc_id % 200 AS INT)) AS t FROM documents)"
+_ASCII = "(SELECT doc_id, regexp_replace(text, '[^ -~]', '?', 'g') AS t FROM documents)"
 
 
 def _ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", F.left(F.regexp_replace("text", "[^ -~]", "?"), (F.col("doc_id") % 200).cast("int")).alias("t"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^ -~]", "?").alias("t"))
 
 
 @query("snippet_truncate", f"SELECT doc_id, CASE WHEN strlen(t) > 100 THEN concat(left(t, 100), '…') ELSE t END AS snippet FROM {_ASCII} d")
@@ -398,15 +397,31 @@ def path_validate(spark, sf_dir):
     return fixtures.table(spark, "paths").select("path", problem.isNull().alias("ok"), problem.alias("problem"))
 
 
-@query("sarif_path_guard", f"SELECT path, path NOT IN ('', '/etc/cron.d/backdoor', '/etc/passwd', '/bin/sh', '/sbin/init', '/usr/bin/anything', '/boot/grub.cfg', '/proc/self/mem', '/sys/kernel/x', '/tmp/../etc/passwd', '/./etc//passwd') AS ok FROM {fixtures.sql('report_paths')} p")
+#: An absolute path without dots and double slashes, built segment by segment; a relative one stays.
+_CLEAN = f"CASE WHEN starts_with(path, '/') THEN list_reduce(list_prepend('', {_SEGMENTS}), lambda done, s: CASE WHEN s = '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE concat(done, '/', s) END) ELSE path END"
+_SYSTEM = " OR ".join(f"starts_with(clean, '{p}')" for p in P.SYSTEM_PREFIXES)
+
+
+@query("sarif_path_guard", f"SELECT path, path <> '' AND NOT ({_SYSTEM}) AS ok FROM (SELECT path, {_CLEAN} AS clean FROM {fixtures.sql('report_paths')} p)")
 def sarif_path_guard(spark, sf_dir):
     return fixtures.table(spark, "report_paths").select("path", P.report_path_allowed(F.col("path")).alias("ok"))
 
 
-_URL_OK = "(regexp_matches(url, '^(?i:https)://[^/?#]+') OR regexp_matches(url, '^(?i:http)://(localhost|127[.]0[.]0[.]1|[[]::1[]])(:[0-9]+)?([/?#].*)?$'))"
+TRIM_SQL = f"regexp_replace({{}}, '^[{X.SPACE}]+|[{X.SPACE}]+$', '', 'g')"
+#: Any https address that can be read as one; http only where the host is this machine.
+_HOST = "split_part(split_part(split_part(substr(rest, 3), '/', 1), '?', 1), '#', 1)"
+_BARE_HOST = "regexp_replace(authority, '^.*@', '')"
+_URL_SQL = f"""
+(SELECT url, scheme, rest, path, bare, {_BARE_HOST} AS host_port FROM
+ (SELECT url, bare, scheme, rest, CASE WHEN starts_with(rest, '//') THEN {_HOST} ELSE '' END AS authority,
+         regexp_extract(regexp_extract(rest, '^(//)?[^/?#]*([^?#]*)', 2), '.*') AS path FROM
+  (SELECT url, bare, lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, regexp_replace(bare, '^[A-Za-z][A-Za-z0-9+.-]*:', '') AS rest
+   FROM (SELECT url, {TRIM_SQL.format('url')} AS bare FROM (SELECT url FROM {fixtures.sql('urls')} u UNION ALL SELECT url FROM pages)))))
+"""
+_URL_BROKEN = "(regexp_matches(bare, '[\\x00-\\x1F\\x7F]') OR (starts_with(rest, '/') AND regexp_matches(path, '%([^0-9A-Fa-f]|$|[0-9A-Fa-f]([^0-9A-Fa-f]|$))')) OR (starts_with(rest, '//') AND NOT regexp_full_match(host_port, '([[][0-9A-Fa-f:.]*[]]|[^ :@%<>\\[\\]^`{|}\\\\]*)(:[0-9]*)?')))"
 
 
-@query("url_guard", f"SELECT url, {_URL_OK} AS ok FROM (SELECT url FROM {fixtures.sql('urls')} u UNION ALL SELECT url FROM pages)")
+@query("url_guard", f"SELECT url, NOT {_URL_BROKEN} AND (scheme = 'https' OR (scheme = 'http' AND starts_with(rest, '//') AND regexp_replace(host_port, ':[0-9]*$', '') IN ('localhost', '127.0.0.1', '[::1]'))) AS ok FROM {_URL_SQL} u")
 def url_guard(spark, sf_dir):
     both = fixtures.table(spark, "urls").unionByName(read(spark, sf_dir, "pages").select("url"))
     return both.select("url", P.url_allowed(F.col("url")).alias("ok"))
@@ -418,7 +433,7 @@ def base_url(spark, sf_dir):
     return both.select("url", P.base_url(F.col("url")).alias("base"))
 
 
-@query("or_default", f"SELECT origin, root, coalesce(nullif(trim(origin), ''), root) AS value FROM {fixtures.sql('origins')} o")
+@query("or_default", f"SELECT origin, root, coalesce(nullif({TRIM_SQL.format('origin')}, ''), root) AS value FROM {fixtures.sql('origins')} o")
 def or_default(spark, sf_dir):
     return fixtures.table(spark, "origins").select("origin", "root", X.or_default(F.col("origin"), F.col("root")).alias("value"))
 
@@ -434,18 +449,18 @@ def store_count_all(spark, sf_dir):
     return index.upserted(stored(spark, sf_dir), chunks(spark, sf_dir)).agg(F.count("*").alias("n"), F.count_distinct("rel_path").alias("files"))
 
 
-@query("origin_base", f"SELECT origin, CASE WHEN starts_with(b, 'git@') THEN regexp_extract(b, '^[^:]*:(.*)$', 1) WHEN len(string_split(b, '/')) >= 2 THEN concat(string_split(b, '/')[-2], '/', string_split(b, '/')[-1]) ELSE '' END AS base FROM (SELECT origin, regexp_replace(trim(origin), '\\.git$', '') AS b FROM {fixtures.sql('origins')} o)")
+@query("origin_base", f"SELECT origin, CASE WHEN starts_with(b, 'git@') AND contains(b, ':') THEN substr(b, instr(b, ':') + 1) WHEN len(string_split(b, '/')) >= 2 THEN concat(string_split(b, '/')[-2], '/', string_split(b, '/')[-1]) ELSE '' END AS base FROM (SELECT origin, regexp_replace({TRIM_SQL.format('origin')}, '[.]git$', '') AS b FROM {fixtures.sql('origins')} o)")
 def origin_base(spark, sf_dir):
     return fixtures.table(spark, "origins").select("origin", P.origin_base(F.col("origin")).alias("base"))
 
 
-@query("project_key", f"SELECT origin, root, left(sha256(coalesce(nullif(trim(origin), ''), concat('root:', root))), 16) AS project_key FROM {fixtures.sql('origins')} o")
+@query("project_key", f"SELECT origin, root, left(sha256(coalesce(nullif({TRIM_SQL.format('origin')}, ''), concat('root:', root))), 16) AS project_key FROM {fixtures.sql('origins')} o")
 def project_key(spark, sf_dir):
     return fixtures.table(spark, "origins").select("origin", "root", P.project_key(F.col("origin"), F.col("root")).alias("project_key"))
 
 
 _PATCH_LINES = f"(SELECT patch_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS line FROM (SELECT patch_id, string_split(patch, chr(10)) AS ls FROM {fixtures.sql('patches')} p))"
-_TOUCHED = f"(SELECT patch_id, path, CAST(min(pos) AS INT) AS first_pos FROM (SELECT patch_id, pos, trim(regexp_replace(regexp_replace(line[5:], '^b/', ''), '^([^' || chr(9) || ']+)' || chr(9) || '.*$', '\\1')) AS path FROM {_PATCH_LINES} l WHERE starts_with(line, '+++ ')) WHERE path NOT IN ('', '/dev/null') GROUP BY ALL)"
+_TOUCHED = f"(SELECT patch_id, path, CAST(min(pos) AS INT) AS first_pos FROM (SELECT patch_id, pos, {TRIM_SQL.format("regexp_replace(regexp_replace(line[5:], '^b/', ''), '^([^' || chr(9) || ']+)' || chr(9) || '(.|[' || chr(13) || '])*$', '\\1')")} AS path FROM {_PATCH_LINES} l WHERE starts_with(line, '+++ ')) WHERE path NOT IN ('', '/dev/null') GROUP BY ALL)"
 
 
 @query("patch_files", f"SELECT patch_id, path, first_pos, bool_or({PROBLEM_SQL} IS NOT NULL) OVER (PARTITION BY patch_id) AS unsafe FROM {_TOUCHED} t")
@@ -453,6 +468,11 @@ def patch_files(spark, sf_dir):
     return patches.patch_files(patches.usable(fixtures.table(spark, "patches")))
 
 
+@query("patch_verdicts", f"SELECT p.patch_id, coalesce(n, 0) AS n_files, CASE WHEN {TRIM_SQL.format('patch')} = '' THEN 'empty' WHEN n IS NULL THEN 'touches no files' WHEN unsafe THEN 'unsafe path' ELSE 'ok' END AS verdict FROM {fixtures.sql('patches')} p LEFT JOIN (SELECT patch_id, count(*) AS n, bool_or({PROBLEM_SQL} IS NOT NULL) AS unsafe FROM {_TOUCHED} t GROUP BY patch_id) f ON p.patch_id = f.patch_id")
+def patch_verdicts(spark, sf_dir):
+    return patches.verdicts(fixtures.table(spark, "patches"))
+
+
 @query("patch_line_stats", f"SELECT patch_id, CASE WHEN starts_with(line, '+++') OR starts_with(line, '---') OR starts_with(line, 'diff ') THEN 'header' WHEN starts_with(line, '+') THEN 'add' WHEN starts_with(line, '-') THEN 'delete' ELSE 'other' END AS kind, count(*) AS n FROM {_PATCH_LINES} l GROUP BY ALL")
 def patch_line_stats(spark, sf_dir):
     return patches.patch_line_stats(fixtures.table(spark, "patches"))
@@ -489,7 +509,10 @@ def source_mismatch(spark, sf_dir):
 _SECONDS = "CAST(floor((epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts)) / 1000000) AS BIGINT)"
 
 
-@query("relative_age", f"SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN concat(s // 60, 'm') WHEN s < 86400 THEN concat(s // 3600, 'h') WHEN s < 2592000 THEN concat(s // 86400, 'd') ELSE strftime(ts, '%Y-%m-%d') END AS age, strftime(ts, '%Y%m%dT%H%M%SZ') AS stamp FROM (SELECT event_id, ts, {_SECONDS} AS s FROM events)")
+_AGE = "CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN concat(s // 60, 'm ago') WHEN s < 86400 THEN concat(s // 3600, 'h ago') WHEN s < 2592000 THEN concat(s // 86400, 'd ago') ELSE strftime(ts, '%Y-%m-%d') END"
+
+
+@query("relative_age", f"SELECT event_id, {_AGE} AS age, strftime(ts, '%Y%m%dT%H%M%SZ') AS stamp FROM (SELECT event_id, ts, {_SECONDS} AS s FROM events)")
 def relative_age(spark, sf_dir):
     as_of = F.to_timestamp_ntz(F.lit("2024-01-31 00:00:00"))
     return read(spark, sf_dir, "events").select("event_id", X.relative_age(F.col("ts"), as_of).alias("age"), X.compact_utc(F.col("ts")).alias("stamp"))
@@ -510,15 +533,29 @@ def proposed_fixes(spark, sf_dir):
     return remote.proposed_fixes(fixes)
 
 
-@query("recent_runs", f"SELECT event_id AS run_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN concat(s // 60, 'm') WHEN s < 86400 THEN concat(s // 3600, 'h') WHEN s < 2592000 THEN concat(s // 86400, 'd') ELSE strftime(ts, '%Y-%m-%d') END AS age, concat('a rather long project name ', '…') AS project, CASE WHEN event_id % 2 = 0 THEN '-' ELSE event_type END AS branch, 'done' AS status FROM (SELECT *, {_SECONDS} AS s FROM events ORDER BY ts DESC, event_id LIMIT 5)")
+@query("recent_runs", f"SELECT event_id AS run_id, {_AGE} AS age, concat('a rather long project name ', '…') AS project, 'done' AS status, CASE WHEN event_id % 2 = 0 THEN '-' ELSE event_type END AS branch, event_id % 9 AS findings, event_id % 4 AS fixes FROM (SELECT *, {_SECONDS} AS s FROM events ORDER BY ts DESC, event_id LIMIT 5)")
 def recent_runs(spark, sf_dir):
     runs = read(spark, sf_dir, "events").select(
-        F.col("event_id").alias("run_id"), F.col("ts").alias("created_at"), F.lit("a rather long project name that goes on").alias("project"),
-        F.when(F.col("event_id") % 2 == 0, "").otherwise(F.col("event_type")).alias("branch"), F.lit("done").alias("status"),
+        F.col("event_id").alias("run_id"), F.col("ts").alias("created_at"), F.lit("a rather long project name that goes on").alias("project"), F.lit("done").alias("status"),
+        F.when(F.col("event_id") % 2 == 0, "").otherwise(F.col("event_type")).alias("branch"), (F.col("event_id") % 9).alias("findings"), (F.col("event_id") % 4).alias("fixes"),
     )
     return remote.recent_runs(runs, F.to_timestamp_ntz(F.lit("2024-01-31 00:00:00")))
 
 
+@query("recent_fixes", f"SELECT {_AGE} AS age, 'a rather long project n…' AS project, concat('#', event_id) AS number, CASE event_id % 2 WHEN 0 THEN 'merged' ELSE 'open' END AS status, concat('Found in ', event_type) AS title FROM (SELECT *, {_SECONDS} AS s FROM events ORDER BY ts DESC, event_id LIMIT 5)")
+def recent_fixes(spark, sf_dir):
+    fixes = read(spark, sf_dir, "events").select(
+        F.col("event_id").alias("fix_id"), F.col("ts").alias("created_at"), F.lit("a rather long project name that goes on").alias("project"),
+        F.when(F.col("event_id") % 2 == 0, "merged").otherwise("open").alias("status"), F.concat(F.lit("Found in "), "event_type").alias("title"),
+    )
+    return remote.recent_fixes(fixes, F.to_timestamp_ntz(F.lit("2024-01-31 00:00:00")))
+
+
+@query("model_readiness", f"SELECT w.name, k IS NOT NULL AS ready, CASE WHEN k IS NULL THEN concat('the model server at http://localhost:1 has no model ', w.name, ': pull it first') END AS message FROM {fixtures.sql('wanted')} w LEFT JOIN (SELECT DISTINCT regexp_replace(name, ':latest$', '') AS k FROM {fixtures.sql('offered')} o) o ON regexp_replace(w.name, ':latest$', '') = k")
+def model_readiness(spark, sf_dir):
+    return remote.readiness(fixtures.table(spark, "wanted"), fixtures.table(spark, "offered"), "http://localhost:1")
+
+
 @query("model_available", f"SELECT name FROM {fixtures.sql('wanted')} w WHERE regexp_replace(name, ':latest$', '') IN (SELECT regexp_replace(name, ':latest$', '') FROM {fixtures.sql('offered')} o)")
 def model_available(spark, sf_dir):
     return remote.available_models(fixtures.table(spark, "wanted"), fixtures.table(spark, "offered"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,14 +51,23 @@ def write_sarif(findings: DataFrame, path: str, tool: str = "quarryline", versio
     write_json(path, {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]})
 
 
-def table_lines(findings: DataFrame) -> list[str]:
-    """The table's lines and the summary, for a terminal."""
-    rows = report.table_rows(findings).collect()
+def summary(findings: DataFrame) -> str:
+    """The counts in one line: all findings, then each known severity that occurs."""
     counts = {r["severity"]: r["n"] for r in report.severity_summary(findings).orderBy("severity_rank").collect()}
     total = counts.pop("total")
-    head = f"{total} finding{'' if total == 1 else 's'}" if counts else "0 findings"
-    parts = ", ".join(f"{n} {s}" for s, n in counts.items())
-    out = []
-    for r in rows:
-        out += [f"{r['badge']} {r['location']}  {r['title']}", *([f"    {r['snippet']}"] if r["snippet"] else [])]
-    return [*out, f"{head}: {parts}" if parts else head]
+    return f"{total} total — " + ", ".join(f"{n} {s}" for s, n in counts.items()) if counts else "0 findings"
+
+
+def table_lines(findings: DataFrame) -> Iterator[str]:
+    """The table's lines and the summary, for a terminal; the driver holds one part of the sorted rows at a time."""
+    none = True
+    for r in report.table_rows(findings).toLocalIterator():
+        none = False
+        yield f"{r['badge']}  {r['location']}  {r['title']}"
+        if r["snippet"]:
+            yield f"       ↳ {r['snippet']}"
+    if none:
+        yield "✓ No security findings."
+    else:
+        yield ""
+        yield summary(findings)

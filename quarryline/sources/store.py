@@ -89,3 +89,16 @@ def unpack_vectors(rows: DataFrame, blob: str = "embedding", out: str = "embeddi
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields), pa.array(vectors, pa.list_(pa.float32()))], [*(f.name for f in fields), out])
 
     return rows.mapInArrow(run, schema)
+
+
+def pack_vectors(rows: DataFrame, vector: str = "embedding", out: str = "embedding") -> DataFrame:
+    """Arrays of floats to little-endian 32-bit floats, the inverse of ``unpack_vectors``; null stays null, an empty array gives an empty blob."""
+    fields = [f for f in rows.schema.fields if f.name not in (vector, out)]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{out}` binary"])
+
+    def run(batches):
+        for b in batches:
+            blobs = [None if x is None else np.array(x, "<f4").tobytes() for x in b.column(b.schema.names.index(vector)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields), pa.array(blobs, pa.binary())], [*(f.name for f in fields), out])
+
+    return rows.mapInArrow(run, schema)

@@ -30,6 +30,7 @@ class _Reader(DataSourceReader):
         self.root = os.path.abspath(options["path"])
         self.prefix = options.get("backupPrefix", scan.BACKUP_PREFIX)
         self.per_task = int(options.get("bytesPerTask", 64_000_000))
+        self.contents = options.get("contents", "true") == "true"
 
     def _walk(self) -> Iterator[tuple[str, int]]:
         """Files in lexical order that are small enough and of a known language. The root's own name counts too."""
@@ -60,11 +61,7 @@ class _Reader(DataSourceReader):
         for at in range(0, len(partition.paths), 64):
             paths, sizes, contents, errors = [], [], [], []
             for path, size in partition.paths[at : at + 64]:
-                try:
-                    with open(os.path.join(self.root, path), "rb") as f:
-                        content, error = f.read(), None
-                except OSError as e:  # an unreadable file is reported, never fatal
-                    content, error = None, str(e)
+                content, error = self._content(path) if self.contents else (None, None)
                 paths.append(path)
                 sizes.append(size)
                 contents.append(content)
@@ -72,6 +69,15 @@ class _Reader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(contents, pa.binary()), pa.array(errors, pa.string())], ["rel_path", "size", "content", "error"])
 
 
+    def _content(self, path: str) -> tuple[bytes | None, str | None]:
+        """The file's bytes, or why it can't be read: that is reported, never fatal."""
+        try:
+            with open(os.path.join(self.root, path), "rb") as f:
+                return f.read(), None
+        except OSError as e:
+            return None, str(e)
+
+
 class TreeSource(DataSource):
     """``spark.read.format("source_tree").load(path)``; the path must be readable on the driver and the executors."""
 
@@ -91,3 +97,9 @@ def read_tree(spark: SparkSession, path: str, **options: str) -> DataFrame:
     spark.dataSource.register(TreeSource)
     files = spark.read.format("source_tree").options(**options).load(path)
     return files.withColumns({"language": scan.language(F.col("rel_path")), "text": X.decoded(F.col("content"))})
+
+
+def list_tree(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """(rel_path, size): every eligible file, without opening any."""
+    spark.dataSource.register(TreeSource)
+    return spark.read.format("source_tree").options(**options, contents="false").load(path).select("rel_path", "size")

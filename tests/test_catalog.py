@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from quarryline.operators import scan
+from quarryline.operators import ordering, scan
 
 SQL = entry.oracle_sql()
 
@@ -85,9 +85,9 @@ def test_total_cap_of_files_in_the_root(spark):
     assert scan.total_cap(files.limit(0)).count() == 0
     # The window over all rows sees sums of ranges, never a row for each file.
     seen = []
-    real = scan.Window.orderBy
+    real = ordering.Window.orderBy
     with pytest.MonkeyPatch.context() as m:
-        m.setattr(scan.Window, "orderBy", staticmethod(lambda *c: seen.extend(c) or real(*c)))
+        m.setattr(ordering.Window, "orderBy", staticmethod(lambda *c: seen.extend(c) or real(*c)))
         scan.total_cap(files, 4000)
     assert seen == ["__range"]
     assert scan.total_cap(files, 10**9).count() == 3000

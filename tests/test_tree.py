@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from quarryline import api
 from quarryline.functions import vectors as V
-from quarryline.operators import chunking, index, scan, search
+from quarryline.operators import chunking, index, remote, scan, search
 from quarryline.sources import sinks
-from quarryline.sources.store import ChunkStore, StoreMismatch, unpack_vectors
-from quarryline.sources.tree import read_tree
+from quarryline.sources.store import ChunkStore, StoreMismatch, pack_vectors, unpack_vectors
+from quarryline.sources.tree import list_tree, read_tree
 from quarryline.streaming.incremental import index_stream
 
 
@@ -138,6 +138,29 @@ def test_vector_blobs(spark):
 
     df = spark.createDataFrame([(1, bytearray(np.array([1.5, -2], "<f4").tobytes())), (2, bytearray(b"abc")), (3, None)], "i int, embedding binary")
     assert {r["i"]: r["embedding"] for r in unpack_vectors(df).collect()} == {1: [1.5, -2.0], 2: None, 3: None}
+    arrays = spark.createDataFrame([(1, [0.1, -3.5]), (2, []), (3, None)], "i int, embedding array<float>")
+    packed = pack_vectors(arrays)
+    assert {r["i"]: r["embedding"] and bytes(r["embedding"]) for r in packed.collect()}[1] == np.array([0.1, -3.5], "<f4").tobytes()
+    assert sorted(map(tuple, unpack_vectors(packed).collect()), key=lambda r: r[0]) == sorted(map(tuple, arrays.collect()), key=lambda r: r[0])
+
+
+def test_search_json(spark):
+    rows = [(2, "h2", "b.go", "go", "lines", 31, 40, 0.25, "y"), (1, "h1", "a.py", "python", "lines", 1, 30, 0.5, "x")]
+    df = spark.createDataFrame(rows, "rank int, content_hash string, rel_path string, language string, kind string, line_start int, line_end int, score double, content_text string")
+    got = json.loads(search.as_json(df, "what", 2).first()["json"])
+    first = {"chunkId": "h1", "relPath": "a.py", "language": "python", "kind": "lines", "lineStart": 1, "lineEnd": 30, "score": 0.5, "content": "x"}
+    assert got["query"] == "what" and got["k"] == 2 and got["results"][0] == first and [r["chunkId"] for r in got["results"]] == ["h1", "h2"]
+
+
+def test_listing_opens_no_file(spark, tree):
+    os.chmod(tree / "thirty.py", 0)
+    listed = {r["rel_path"]: r["size"] for r in list_tree(spark, str(tree)).collect()}
+    assert listed == {r["rel_path"]: r["size"] for r in read_tree(spark, str(tree)).collect()}
+
+
+def test_unreachable_server(spark):
+    wanted = spark.createDataFrame([("m",)], "name string")
+    assert "can't reach" in remote.readiness(wanted, None, "http://localhost:1").first()["message"]
 
 
 def test_analyze_and_reports(spark, tmp_path):
@@ -157,7 +180,10 @@ def test_analyze_and_reports(spark, tmp_path):
     run = log["runs"][0]
     assert log["version"] == "2.1.0" and len(run["tool"]["driver"]["rules"]) == 1 and len(run["results"]) == 2
     assert run["tool"]["driver"]["rules"][0]["id"] == "secrets/aws-access-key" and run["results"][0]["level"] == "error"
-    assert sinks.table_lines(found)[-1] == "2 findings: 2 critical"
+    lines = list(sinks.table_lines(found))
+    assert lines[0].startswith("[CRITICAL]  config.ts:2  ") and lines[1].startswith("       ↳ ") and lines[-2:] == ["", "2 total — 2 critical"]
+    assert list(sinks.table_lines(found.limit(0))) == ["✓ No security findings."]
+    assert sinks.summary(found.withColumn("severity", F.lit("odd"))) == "0 findings"
     assert key not in out.read_text()
     sinks.write_ndjson(found, str(tmp_path / "nd"))
     assert spark.read.json(str(tmp_path / "nd")).count() == 2
