@@ -22,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WORD_AND_GAP = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 #: Most distinct sources; their quotas are broadcast (about 200 bytes each).
 MAX_SOURCES = 100_000
+#: Blocks of one source must stay below 2**40 (7e13 words): the permutation multiplies by parts of 20 bits in longs.
+BLOCK_BITS = 40
 WEIGHTS = (3.0, 1.0, 2.0)
 
 
@@ -89,23 +91,38 @@ def sainte_lague(votes: list[float], seats: int) -> list[int]:
 
 
 def _plan(sources: list[tuple[str | None, int]], mix: Mix) -> list[tuple]:
-    """(source, source_size, target, blocks, step, shift, quotas up to each shard), by source."""
+    """(number, source, source_size, target, blocks, step, shift, quotas up to each shard), by source.
+
+    A source's wish is counted in blocks of its own mean size, for its last block may be
+    short: a source of ten words has one block of ten.
+    """
     sizes = [n for _, n in sources]
     want = targets(sizes, mix)
     blocks = [-(-n // mix.block_words) for n in sizes]
-    seats = round(sum(want) / mix.block_words)
+    if max(blocks, default=0) >= 1 << BLOCK_BITS:
+        raise ValueError(f"a source has 2**{BLOCK_BITS} blocks or more")
+    votes = [w * b / n if n else 0.0 for w, b, n in zip(want, blocks, sizes, strict=True)]
+    seats = round(sum(votes))
     # Divisor methods are house-monotone: the seats of the first j shards are a prefix of all.
-    upto = [sainte_lague(want, seats * j // mix.shards) for j in range(1, mix.shards + 1)]
+    upto = [sainte_lague(votes, seats * j // mix.shards) for j in range(1, mix.shards + 1)]
     rng, rows = random.Random(mix.seed), []
     for i, (name, size) in enumerate(sources):
-        step = rng.randrange(1, 1 << 20)
+        # The step ranges over all blocks, so that neighbours are dealt far apart whatever their number.
+        step = rng.randrange(1, max(2, blocks[i]))
         while blocks[i] and math.gcd(step, blocks[i]) != 1:
-            step = rng.randrange(1, 1 << 20)
+            step = rng.randrange(1, max(2, blocks[i]))
         shift = rng.randrange(max(1, blocks[i]))
-        rows.append((name, size, want[i], blocks[i], step, shift, [min(u[i], mix.most * blocks[i]) for u in upto]))
+        rows.append((i, name, size, want[i], blocks[i], step, shift, [min(u[i], mix.most * blocks[i]) for u in upto]))
     return rows
 
 
+def _dealt(block: Column, step: Column, shift: Column, blocks: Column) -> Column:
+    """(block * step + shift) mod blocks, without overflow: the block's number is taken in two parts of 20 bits."""
+    half = F.lit(1 << (BLOCK_BITS // 2)).cast("long")
+    high = F.pmod(F.floor(block / half) * step, blocks)
+    return F.pmod(high * half + F.pmod(block, half) * step + shift, blocks)
+
+
 def mix_sources(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """All rows and columns of ``docs`` with ``size``, ``source_size``, ``target``, ``taken`` and ``pieces``.
 
@@ -130,18 +147,18 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text:
     sources = sorted(((r["source"], r["size"]) for r in by_source), key=lambda s: (s[0] is None, s[0] or ""))
     buckets = layout.bucket_count(max((r["n"] for r in by_source), default=0))
     bucket = F.pmod("__mx_key", F.lit(buckets)).cast("int")
-    starts = layout.offsets(narrow.withColumn("__mx_bucket", bucket), "source", "__mx_bucket", F.col("size"), "__mx_at")
-    if source != "source":
-        starts = starts.withColumnRenamed("source", source)
-    placed = layout.positions(rows.withColumn("__mx_bucket", bucket), starts, source, "__mx_bucket", ["__mx_key", "__mx_tie"], F.col("size"), "__mx_at")
-    plan = spark.createDataFrame(_plan(sources, mix), "__s string, source_size long, target double, __mx_blocks long, __mx_step long, __mx_shift long, __mx_quotas array<long>")
-    # At most MAX_SOURCES rows, checked above.
-    joined = placed.join(F.broadcast(plan), F.col(source).eqNullSafe(F.col("__s")))
+    plan = spark.createDataFrame(_plan(sources, mix), "__mx_source int, __s string, source_size long, target double, __mx_blocks long, __mx_step long, __mx_shift long, __mx_quotas array<long>")
+    # At most MAX_SOURCES rows, checked above. A source's number, unlike its name, is never null.
+    numbers = F.broadcast(plan.select(F.col("__s").alias("__n"), F.col("__mx_source")))
+    numbered = lambda t, name: t.join(numbers, F.col(name).eqNullSafe(F.col("__n"))).drop("__n").withColumn("__mx_bucket", bucket)
+    starts = layout.offsets(numbered(narrow, "source"), "__mx_source", "__mx_bucket", F.col("size"), "__mx_at")
+    placed = layout.positions(numbered(rows, source), starts, "__mx_source", "__mx_bucket", ["__mx_key", "__mx_tie"], F.col("size"), "__mx_at")
+    joined = placed.join(F.broadcast(plan), "__mx_source")
     width, at, end = F.lit(mix.block_words).cast("long"), F.col("__mx_at"), F.col("__mx_at") + F.col("size")
     first, last = F.floor(at / width), F.floor((end - 1) / width)
 
     def piece(again: Column, block: Column) -> Column:
-        index = F.pmod(block * F.col("__mx_step") + F.col("__mx_shift"), F.col("__mx_blocks")) + again * F.col("__mx_blocks")
+        index = _dealt(block, F.col("__mx_step"), F.col("__mx_shift"), F.col("__mx_blocks")) + again * F.col("__mx_blocks")
         shard = F.size(F.filter(F.col("__mx_quotas"), lambda q: q <= index))
         return F.struct(again.cast("int").alias("round"), shard.alias("shard"), block.alias("block"), (F.greatest(at, block * width) - at).alias("from_word"), (F.least(end, (block + 1) * width) - at).alias("to_word"))
 
@@ -149,7 +166,7 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", text:
     none = F.array().cast("array<struct<round:int,shard:int,block:bigint,from_word:bigint,to_word:bigint>>")
     out = joined.withColumn("pieces", F.when(F.col("size") > 0, F.filter(every, lambda p: p["shard"] < mix.shards)).otherwise(none))
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["to_word"] - p["from_word"])
-    return out.withColumn("taken", taken).drop("__s", "__mx_at", "__mx_key", "__mx_tie", "__mx_bucket", "__mx_blocks", "__mx_step", "__mx_shift", "__mx_quotas")
+    return out.withColumn("taken", taken).drop("__s", "__mx_source", "__mx_at", "__mx_key", "__mx_tie", "__mx_bucket", "__mx_blocks", "__mx_step", "__mx_shift", "__mx_quotas")
 
 
 def taken_documents(mixed: DataFrame, text: str = "text") -> DataFrame:
