@@ -20,6 +20,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     ``a`` and ``b`` are longs. Edges may repeat, run either way or join a node to
     itself; an edge with a null end counts for nothing. No edges: no rows.
     """
+    with scratch.passing(edges.sparkSession):
+        label, least = _labels(edges, a, b)
+    return label.join(least, "label").select("node", "component")
+
+
+def _labels(edges: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
+    """(node, label) and (label, component), two kept tables; the tables of the rounds go."""
     # xxhash64 maps single longs one to one, so hashed nodes stay distinct.
     ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     nodes = ends.select(F.explode(F.array(a, b)).alias("node")).distinct().select("node", F.xxhash64("node").alias("u"))
@@ -34,9 +41,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     label = nodes.withColumn("label", F.col("u"))
     for parent in steps:
         label = label.join(parent.select(F.col("u").alias("label"), "p"), "label", "left").select("node", F.coalesce("p", "label").alias("label"))
-    label = scratch.table(label.select("node", "label"), "labels")
-    least = scratch.table(label.groupBy("label").agg(F.min("node").alias("component")), "least")
-    return label.join(least, "label").select("node", "component")
+    label = scratch.table(label.select("node", "label"), "labels", kept=True)
+    return label, scratch.table(label.groupBy("label").agg(F.min("node").alias("component")), "least", kept=True)
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
