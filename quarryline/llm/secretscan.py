@@ -22,6 +22,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
 LEAST_ASSIGNED = 6
+#: Hits whose places are summed in one fold.
+BLOCK = 128
 
 #: Strings that may be secrets: long runs without white space, of one of three classes.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
@@ -48,18 +50,32 @@ class Entropy:
 
 
 def _starts(text: Column, hits: Column, pattern: str) -> Column:
-    """The start of each of ``hits``, the pattern's matches: what lies between them is what split() leaves."""
-    fold = lambda v: F.aggregate(
-        F.sequence(F.lit(0), F.size(hits) - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda s, i: F.struct(
-            (s["at"] + F.length(F.get(v["gaps"], i)) + F.length(F.get(hits, i))).alias("at"),
-            F.concat(s["out"], F.array(s["at"] + F.length(F.get(v["gaps"], i)))).alias("out"),
-        ),
+    """The start of each of ``hits``, the pattern's matches: what lies between them is what split() leaves.
+
+    Sums run inside blocks of ``BLOCK`` hits and over the blocks' sums: one fold over all
+    hits would copy what it has gathered at every step.
+    """
+    empty = F.array().cast("array<int>")
+    far = lambda x: x["gap"] + x["hit"]
+    steps = lambda v: F.transform(hits, lambda h, i: F.struct(F.length(F.get(v["gaps"], i)).alias("gap"), F.length(h).alias("hit")))
+    blocks = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / BLOCK).cast("int")), lambda b: F.slice(v["steps"], b * BLOCK + 1, BLOCK))
+    first = lambda v: F.aggregate(
+        F.transform(v["blocks"], lambda block: F.aggregate(block, F.lit(0), lambda n, x: n + far(x))),
+        F.struct(F.lit(0).alias("at"), empty.alias("out")),
+        lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")),
         lambda s: s["out"],
     )
-    at = layout.bound(fold, gaps=F.split(text, pattern, -1))
-    return F.when(F.size(hits) > 0, at).otherwise(F.array().cast("array<int>"))
+    within = lambda block, at: F.aggregate(
+        block,
+        F.struct(at.alias("at"), empty.alias("out")),
+        lambda s, x: F.struct((s["at"] + far(x)).alias("at"), F.concat(s["out"], F.array(s["at"] + x["gap"])).alias("out")),
+        lambda s: s["out"],
+    )
+    placed = lambda v: F.flatten(F.transform(v["blocks"], lambda block, b: within(block, F.get(v["first"], b))))
+    started = lambda v: layout.bound(placed, blocks=v["blocks"], first=first(v))
+    cut = lambda v: layout.bound(started, blocks=blocks(v))
+    stepped = lambda v: layout.bound(cut, steps=steps(v))
+    return F.when(F.size(hits) > 0, layout.bound(stepped, gaps=F.split(text, pattern, -1))).otherwise(empty)
 
 
 def _span(kind: int, start: Column, end: Column) -> Column:
@@ -140,7 +156,11 @@ def spans_text(findings: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", findings: str = "findings", mark: str = "[secret]") -> DataFrame:
-    """The texts with each found span, overlapping ones together, replaced by ``mark``."""
+    """The texts with each found span, overlapping ones together, replaced by ``mark``.
+
+    Texts without findings, null and empty ones stay; rows are independent, repeats give
+    repeats; an empty table stays empty; other columns stay as they are.
+    """
     cut = F.aggregate(
         findings,
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
