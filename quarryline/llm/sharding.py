@@ -144,5 +144,9 @@ def shard(docs: DataFrame, shards: int = 16, tolerance: float = 0.001, size: Col
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """Writes one folder per shard; rows carry their slot."""
+    """Writes one folder per shard; rows carry their slot.
+
+    Null and empty texts and repeated rows are written like any other; an empty table
+    writes no shard's folder. The path must not exist.
+    """
     sharded.write.partitionBy("shard").parquet(path)
