@@ -12,53 +12,107 @@ components only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm import layout, scratch
 from quarryline.llm.components import components
 
-#: Most edits between lines that count as one, and the least characters of a line that is compared by edits.
-EDITS, LEAST = 2, 25
+#: Lines count as one with at most one edit for each full ``PER_EDIT`` characters of the shorter, and at most ``EDITS``.
+EDITS, PER_EDIT = 2, 12
 #: A line with more than this part of all rows has its repeats set aside first; there are fewer than 1 / HOT such lines.
 HOT = 0.001
 #: Letters that are counted, to leave out pairs that no few edits can make equal.
 COUNTED = "etaoinsrhldum, E"
 
 
-def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start from 0, length) of each segment: near-equal parts, the longer ones last."""
-    part, short = F.floor(length / (edits + 1)).cast("int"), F.lit(edits + 1) - F.pmod(length, F.lit(edits + 1)).cast("int")
-    return [(part * i + F.greatest(F.lit(0), F.lit(i) - short), part + F.when(F.lit(i) >= short, 1).otherwise(0)) for i in range(edits + 1)]
+def wide(line: Column) -> Column:
+    """Four bytes a character: any stretch of such a line is cut without going through what stands before it."""
+    return F.encode(line, "UTF-32")
+
+
+def widened(lines: DataFrame) -> DataFrame:
+    """(h, line, n): wide lines and their lengths, columns of their own since they are used many times."""
+    return lines.select("h", wide(F.col("line")).alias("line")).withColumn("n", (F.octet_length("line") / 4).cast("int"))
+
+
+def _cut(wide_line: Column, start: Column, size: Column) -> Column:
+    """``size`` characters from ``start`` (from 0) on."""
+    return F.substring(wide_line, start * 4 + 1, size * 4)
+
+
+def allowed(length: Column, edits: int = EDITS, per_edit: int = PER_EDIT) -> Column:
+    """The edits that a line of so many characters may take."""
+    return F.least(F.lit(edits), F.floor(length / per_edit)).cast("int")
+
+
+def _keys(lines: DataFrame, looks: list[tuple[int, int, int, int]], edits: int, per_edit: int) -> DataFrame:
+    """(h, key) for each of ``looks`` (t, d, i, shift) that applies to a row (h, line, n) of wide lines.
+
+    Lines of t edits have t + 1 segments of near-equal length, the longer ones last. The
+    key stands for segment i of a line shorter by d, sought ``shift`` places off. Looks are
+    rows of a constant, so that one short expression makes all keys.
+    """
+    each = lines.select("h", "line", "n", F.inline(F.array(*[F.struct(*[F.lit(x).alias(name) for name, x in zip(("t", "d", "i", "shift"), look, strict=True)]) for look in looks])))
+    length, parts, i = F.col("n") - F.col("d"), F.col("t") + 1, F.col("i")
+    each = each.where(allowed(length, edits, per_edit) == F.col("t"))
+    part, short = F.floor(length / parts).cast("int"), parts - F.pmod(length, parts)
+    bounds = {"__size": part + F.when(i >= short, 1).otherwise(0), "__at": part * i + F.greatest(F.lit(0), i - short) + F.col("shift")}
+    inside = each.withColumns(bounds).where((F.col("__at") >= 0) & (F.col("__at") + F.col("__size") <= F.col("n")))
+    return inside.select("h", F.xxhash64("i", F.col("n") - F.col("d"), _cut(F.col("line"), F.col("__at"), F.col("__size"))).alias("key"))
+
+
+def index_keys(lines: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
+    """One key for each segment of each line: its number, the line's length and the segment."""
+    return _keys(lines, [(t, 0, i, 0) for t in range(1, edits + 1) for i in range(t + 1)], edits, per_edit)
+
 
+def probe_keys(lines: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
+    """The keys of lines of the same length or shorter that each line may be near to.
 
-def index_keys(line: Column, length: Column, edits: int = EDITS) -> Column:
-    """One key for each segment of the line: its number, the line's length and the segment."""
-    return F.array(*[F.xxhash64(F.lit(i), length, F.substring(line, at + 1, size)) for i, (at, size) in enumerate(_segments(length, edits))])
+    Segment i of a line shorter by d starts at most i places, and at most ``t - i``
+    places beyond d, from where it stands in the line, t being the edits that the
+    shorter line may take: edits before and after it add up.
+    """
+    shifts = lambda t, d, i: range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1)
+    return _keys(lines, [(t, d, i, s) for t in range(1, edits + 1) for d in range(t + 1) for i in range(t + 1) for s in shifts(t, d, i)], edits, per_edit)
 
 
-def probe_keys(line: Column, length: Column, edits: int = EDITS) -> Column:
-    """The keys of lines up to ``edits`` shorter that the line may be near to.
+def _common(a: Column, b: Column, most: Column, start: Callable[[Column, Column, Column], Column]) -> Column:
+    """How many characters, ``most`` at the utmost, ``a`` and ``b`` share from one end on, found by halving stretches.
 
-    Segment i of a line shorter by d starts at most i places, and at most ``edits - i``
-    places beyond d, from where it stands in the line: edits before and after it add up.
+    ``start(line, done, size)`` is where the next ``size`` characters begin after ``done``.
     """
-    keys = []
-    for d in range(edits + 1):
-        for i, (at, size) in enumerate(_segments(length - d, edits)):
-            for shift in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
-                start = at + shift
-                keys.append(F.when((start >= 0) & (start + size <= length), F.xxhash64(F.lit(i), length - d, F.substring(line, start + 1, size))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
-
-
-def edit_distance_within(a: Column, b: Column, edits: int = EDITS) -> Column:
-    """True if ``a`` becomes ``b`` by at most ``edits`` insertions, deletions and replacements of characters.
-
-    Hyyrö's banded form of Myers' bit vectors: of each column of the distance matrix only
-    the ``2 * edits + 1`` rows about the diagonal are kept, as bits of two longs that
-    mark rises and falls; the distance is followed down the diagonal, then along the
-    last row.
+    halves = F.transform(F.sequence(F.floor(F.log2(F.greatest(most, F.lit(1)))).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    same = lambda n, w: _cut(a, start(a, n, w), w) == _cut(b, start(b, n, w), w)
+    return F.aggregate(halves, F.lit(0), lambda n, w: F.when((n + w <= most) & same(n, w), n + w).otherwise(n))
+
+
+def _cores(a: Column, b: Column, keep: int, build: Callable[[Column], Column]) -> Column:
+    """``build(v)`` of v.pattern and v.text, the characters of wide lines ``a`` and ``b`` without what they share at their ends, after ``keep`` equal ones."""
+    size = lambda line: (F.octet_length(line) / 4).cast("int")
+    letters = lambda line, v: F.split(F.concat(F.lit(" " * keep), F.decode(_cut(line, v["head"], size(line) - v["head"] - v["tail"]), "UTF-32")), "")
+    tails = lambda v: _common(v["a"], v["b"], v["least"] - v["head"], lambda line, n, w: size(line) - n - w)
+    heads = lambda v: _common(v["a"], v["b"], v["least"], lambda line, n, w: n)
+    cut = lambda v: layout.bound(build, pattern=letters(v["a"], v), text=letters(v["b"], v))
+    tailed = lambda v: layout.bound(cut, a=v["a"], b=v["b"], head=v["head"], tail=tails(v))
+    headed = lambda v: layout.bound(tailed, a=v["a"], b=v["b"], least=v["least"], head=heads(v))
+    return layout.bound(headed, a=a, b=b, least=F.least(size(a), size(b)))
+
+
+def edit_distance_within(a: Column, b: Column, edits: int = EDITS, most: Column | None = None) -> Column:
+    """True if ``a`` becomes ``b`` by at most ``most`` (default and limit: ``edits``) insertions, deletions and replacements of characters.
+
+    What the lines share at their ends is left out. Then Hyyrö's banded form of Myers'
+    bit vectors: of each column of the distance matrix only the ``2 * edits + 1`` rows
+    about the diagonal are kept, as bits of two longs that mark rises and falls; the
+    distance is followed down the diagonal, then along the last row. On the diagonal it
+    never falls, and along the last row by ``2 * edits`` at most, so one that has risen
+    above three times ``edits`` is given up.
     """
     width = 2 * edits + 1
     full, top = (1 << width) - 1, 1 << (width - 1)
@@ -68,10 +122,11 @@ def edit_distance_within(a: Column, b: Column, edits: int = EDITS) -> Column:
     def step(v: Column, s: Column, j: Column) -> Column:
         equal, m = bit(0), v["m"]
         for k in range(width):
-            row = j - edits + k
+            row = j + (k - edits)
             equal = equal + F.when((row >= 0) & (row < m) & (F.get(v["pattern"], row) == F.get(v["text"], j)), bit(1 << k)).otherwise(bit(0))
         # Each value is bound before it is used again, for a lambda has no shared subexpressions.
-        return layout.bound(lambda e: advance(e, s, j - (m - edits)), equal=equal, up=s["up"], down=s["down"])
+        moved_on = layout.bound(lambda e: advance(e, s, j - (m - edits)), equal=equal, up=s["up"], down=s["down"])
+        return F.when(s["far"] > 3 * edits, s).otherwise(moved_on)
 
     def advance(e: Column, s: Column, last: Column) -> Column:
         """``last`` counts from 0 once the band's top has come to the last row, so many bits above it."""
@@ -97,10 +152,10 @@ def edit_distance_within(a: Column, b: Column, edits: int = EDITS) -> Column:
 
     start = F.struct(bit(((1 << (edits + 1)) - 1) << edits).alias("up"), bit(0).alias("down"), F.lit(edits).alias("far"))
     fold = lambda v: F.aggregate(F.sequence(F.lit(0), v["n"] - 1), start, lambda s, j: step(v, s, j), lambda s: s["far"])
-    m, n = F.length(a), F.length(b)
-    far = layout.bound(fold, pattern=F.split(a, ""), text=F.split(b, ""), m=m, n=n)
-    tiny = F.least(m, n) <= edits  # shorter than the band
-    return F.when(F.abs(m - n) > edits, False).when(tiny, F.levenshtein(a, b) <= edits).otherwise(far <= edits)
+    # The equal characters in front make either side longer than the band's reach.
+    sized = lambda v: layout.bound(fold, pattern=v["pattern"], text=v["text"], m=F.size(v["pattern"]), n=F.size(v["text"]))
+    far = _cores(wide(a), wide(b), edits + 1, sized)
+    return F.when(F.abs(F.length(a) - F.length(b)) > edits, False).otherwise(far <= (F.lit(edits) if most is None else most))
 
 
 def _counted(lines: DataFrame) -> DataFrame:
@@ -122,30 +177,52 @@ def _alike(edits: int) -> Column:
     return apart <= 2 * edits
 
 
-def _near(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
-    """The pairs (a, b) of hashes whose lines are within ``edits``."""
+def _near(pairs: DataFrame, lines: DataFrame, edits: int, per_edit: int) -> DataFrame:
+    """The pairs (a, b) of hashes whose lines are within the edits that the shorter may take."""
     left = pairs.join(_side(lines, "x").withColumnsRenamed({"h": "a", "line": "line_a"}), "a")
     right = _side(lines, "y").withColumnsRenamed({"h": "__b", "line": "line_b"})
     both = left.join(right, (F.col("b") == F.col("__b")) & _alike(edits)).select("a", "b", "line_a", "line_b")
-    return both.where(edit_distance_within(F.col("line_a"), F.col("line_b"), edits)).select("a", "b")
+    most = allowed(F.least(F.length("line_a"), F.length("line_b")), edits, per_edit)
+    return both.where(edit_distance_within(F.col("line_a"), F.col("line_b"), edits, most)).select("a", "b")
+
+
+def _letter_groups(edits: int) -> list[range]:
+    """Numbers of counted letters in ``2 * edits + 1`` groups. Lines within ``edits`` differ in ``2 * edits`` counts at most, so in one group they agree."""
+    return [range(g, len(COUNTED), 2 * edits + 1) for g in range(2 * edits + 1)]
+
+
+def _parted(rows: DataFrame, edits: int) -> DataFrame:
+    """``rows`` with counts, once for each group of letters ``g``; ``part`` stands for (key, group, its counts).
+
+    Pairs that meet by ``part`` miss none that are near, and lines of one frequent segment
+    meet only where they also use a group of letters alike.
+    """
+    parts = [F.struct(F.lit(g).alias("g"), F.xxhash64(F.lit(g), "key", *[f"c{i}" for i in letters]).alias("part")) for g, letters in enumerate(_letter_groups(edits))]
+    return rows.select("*", F.inline(F.array(*parts))).drop("key")
+
 
+def _first_part(edits: int) -> Column:
+    """Of sides x and y that meet by group ``g``: no earlier group agrees, so that a pair is listed once for a key."""
+    agree = [reduce(and_, [F.col(f"x{i}") == F.col(f"y{i}") for i in letters]) for letters in _letter_groups(edits)]
+    return ~reduce(or_, [(F.col("g") > g) & same for g, same in enumerate(agree)])
 
-def _groups(lines: DataFrame, edits: int) -> DataFrame:
-    """(node, component) of the lines with near ones; ``lines`` is (h, line), long enough ones only."""
-    # The length is a column of its own: it is used many times, and counting characters takes a pass.
-    sized = lines.withColumn("n", F.length("line"))
-    index = sized.select("h", F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
-    probes = sized.select("h", F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"))
+
+def _groups(lines: DataFrame, edits: int, per_edit: int) -> DataFrame:
+    """(node, component) of the lines with near ones; ``lines`` is (h, line)."""
+    long = lines.where(F.length("line") >= per_edit)
+    sized = widened(long)
+    index = scratch.table(index_keys(sized, edits, per_edit), "line-keys")
     first = scratch.table(index.groupBy("key").agg(F.min("h").alias("first")), "line-index")
-    hits = scratch.table(probes.join(first, "key").where("h <> first").select("key", "h", "first").distinct(), "line-hits")
+    # Each key is in the index once, so its side of the join is even and can be hashed.
+    hits = scratch.table(probe_keys(sized, edits, per_edit).join(first.hint("shuffle_hash"), "key").where("h <> first").select("key", "h", "first").distinct(), "line-hits")
     stars = scratch.table(hits.select(F.least("h", "first").alias("a"), F.greatest("h", "first").alias("b")).distinct(), "line-stars")
     entries = hits.select("key").distinct()
     # All lines of an entry that was hit: those indexed there and those that probe it.
     listed = scratch.table(index.join(entries, "key", "left_semi").select("key", "h").distinct(), "line-listed")
     wanted = stars.select(F.explode(F.array("a", "b")).alias("h")).union(listed.select("h")).distinct()
-    kept = layout.thinned(lines, "h", wanted).join(wanted, "h", "left_semi").dropDuplicates(["h"])
+    kept = layout.thinned(long, "h", wanted).join(wanted, "h", "left_semi").dropDuplicates(["h"])
     found_lines = scratch.table(_counted(kept), "line-found")
-    links = scratch.table(_near(stars, found_lines, edits), "line-links")
+    links = scratch.table(_near(stars, found_lines, edits, per_edit), "line-links")
     comps = scratch.table(components(links), "line-comps")
     named = lambda t: t.join(comps.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     of_index, of_probes = scratch.table(named(listed), "line-of-index"), scratch.table(named(hits.select("key", "h")), "line-of-probes")
@@ -156,11 +233,12 @@ def _groups(lines: DataFrame, edits: int) -> DataFrame:
         return comps
     # Counts are compared inside the join, so pairs of an entry that can't be near are never listed.
     counts = found_lines.drop("line")
-    left = _side(of_index.join(mixed, "key").join(counts, "h"), "x").withColumnsRenamed({"h": "a", "component": "ca"})
-    right = _side(of_probes.join(mixed, "key").join(counts, "h"), "y").withColumnsRenamed({"h": "b", "component": "cb", "key": "__key"})
-    near = (F.col("key") == F.col("__key")) & (F.col("ca") != F.col("cb")) & _alike(edits)
+    side = lambda t, name: scratch.table(_side(_parted(t.join(mixed, "key", "left_semi").join(counts, "h"), edits), name), f"line-{name}")
+    left = side(of_index, "x").withColumnsRenamed({"h": "a", "component": "ca"})
+    right = side(of_probes, "y").withColumnsRenamed({"h": "b", "component": "cb", "part": "__part"}).drop("g")
+    near = (F.col("part") == F.col("__part")) & (F.col("ca") != F.col("cb")) & _alike(edits) & _first_part(edits)
     across = left.join(right, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = scratch.table(_near(across.join(stars, ["a", "b"], "left_anti"), found_lines, edits), "line-more")
+    more = scratch.table(_near(across.join(stars, ["a", "b"], "left_anti"), found_lines, edits, per_edit), "line-more")
     return comps if more.isEmpty() else components(links.union(more))
 
 
@@ -170,35 +248,42 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
 
 
-def remove_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with the text without repeated lines, and ``n_lines``, ``n_removed``.
-
-    Equal lines, and lines of ``least`` characters or more that a chain of steps of at
-    most ``edits`` edits joins, are one line: it stays at its first place, by (doc_id,
-    position), and goes elsewhere. Lines of white space count for nothing and stay.
-
-    Null, empty and blank texts stay as they are. Rows without doc_id come after all
-    others in order. Rows equal in id and text count as one place and get one result. A
-    text that loses all its lines becomes empty (or what white space is left). An empty
-    table stays empty. Added columns replace those of the same name.
-    """
-    rows = docs.drop("n_lines", "n_removed").withColumns({"__id": F.col(doc_id).cast("long"), "__tie": F.xxhash64(text), "__text": F.col(text)})
+def _drops(rows: DataFrame, edits: int, per_edit: int) -> DataFrame:
+    """(__d, __t, __drop): the positions of the lines that go, by id and hash of the text; a kept table."""
     lines = _lines(rows)
     place = F.struct(F.col("__id").isNull().alias("last"), "__id", "__tie", "pos")
     seen = scratch.table(lines.select("__id", "__tie", "pos", "h"), "line-places")
     counts = scratch.table(seen.groupBy("h").agg(F.min(place).alias("at"), F.count("*").alias("n")), "line-counts")
     # Fewer than 1 / HOT lines, so a table of a fixed size.
     hot = counts.where(F.col("n") > F.lit(HOT) * max(1, seen.count())).select(F.col("h").alias("__hot"), "at")
-    alone = lines.where(F.length("line") >= least).join(F.broadcast(hot), F.col("h") == F.col("__hot"), "left").where(F.col("__hot").isNull() | (place == F.col("at")))
-    comps = _groups(alone.select("h", "line"), edits)
+    alone = lines.join(F.broadcast(hot), F.col("h") == F.col("__hot"), "left").where(F.col("__hot").isNull() | (place == F.col("at")))
+    comps = _groups(alone.select("h", "line"), edits, per_edit)
     groups = scratch.table(counts.join(comps.withColumnRenamed("node", "h"), "h", "left").select("h", "at", F.coalesce("component", "h").alias("g")), "line-groups")
     firsts = scratch.table(groups.groupBy("g").agg(F.min("at").alias("first")), "line-firsts")
     of_line = scratch.table(groups.join(firsts, "g").select("h", "first"), "line-of")
     gone = seen.join(of_line, "h").where(place != F.col("first"))
-    drops = scratch.table(gone.groupBy("__id", "__tie").agg(F.collect_set("pos").alias("__drop")).select(F.col("__id").alias("__d"), F.col("__tie").alias("__t"), "__drop"), "line-drops")
+    return scratch.table(gone.groupBy("__id", "__tie").agg(F.collect_set("pos").alias("__drop")).select(F.col("__id").alias("__d"), F.col("__tie").alias("__t"), "__drop"), "line-drops", kept=True)
+
+
+def remove_repeated_lines(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """All rows and columns of ``docs`` with the text without repeated lines, and ``n_lines``, ``n_removed``.
+
+    Equal lines are one line, and so are lines that a chain of steps joins, each of at
+    most one edit for every full ``per_edit`` characters of the shorter line and of at
+    most ``edits``. A line stays at its first place, by (doc_id, position), and goes
+    elsewhere. Lines of white space count for nothing and stay.
+
+    Null, empty and blank texts stay as they are. Rows without doc_id come after all
+    others in order. Rows equal in id and text count as one place and get one result. A
+    text that loses all its lines becomes empty (or what white space is left). An empty
+    table stays empty. Added columns replace those of the same name.
+    """
+    rows = docs.drop("n_lines", "n_removed").withColumns({"__id": F.col(doc_id).cast("long"), "__tie": F.xxhash64(text), "__text": F.col(text)})
+    with scratch.passing(docs.sparkSession):
+        drops = _drops(rows, edits, per_edit)
     joined = rows.join(drops, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__tie") == F.col("__t")), "left")
     all_ = F.split("__text", "\n", -1)
-    kept = F.filter(all_, lambda line, i: ~F.array_contains("__drop", i))
+    kept = layout.bound(lambda v: F.transform(v["left"], lambda i: F.get(v["lines"], i)), lines=all_, left=F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), "__drop"))
     out = joined.withColumns(
         {
             text: F.when(F.col("__drop").isNull(), F.col("__text")).otherwise(F.array_join(kept, "\n")),
