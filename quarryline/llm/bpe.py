@@ -7,10 +7,10 @@ logarithmic time, so a word of any length takes O(n log n).
 
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
 from pathlib import Path
 
 import numpy as np
@@ -20,10 +20,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Largest tokenizer file that is broadcast. A worker remembers words in two generations of at most so many.
+from quarryline.llm.batches import pieces
+
+#: Largest tokenizer file that is broadcast.
 MAX_FILE_BYTES = 64_000_000
-MAX_WORDS = 200_000
-ROWS = 500
+#: A worker remembers words in two generations of at most so many, none of more characters than this: about 20 MB.
+MAX_WORDS, MAX_LETTERS = 50_000, 64
+#: Texts of more characters are split into words one by one, and ids are decoded in stretches of so many.
+STRETCH = 1 << 18
 NONE = 1 << 60
 
 
@@ -94,6 +98,7 @@ class Codec(dict):
         super().__init__()
         self.older: dict[str, bytes] = {}
         spec = json.loads(file)
+        check(spec)
         model, suffix = spec["model"], spec["model"].get("end_of_word_suffix") or ""
         vocab: dict[str, int] = model["vocab"]
         letters = byte_letters()
@@ -107,13 +112,15 @@ class Codec(dict):
         self.special = {t: i.to_bytes(4, "little") for t, i in special.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         steps = spec["pre_tokenizer"]["pretokenizers"]
-        self.words = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")).findall
+        self.pattern = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
 
     def __missing__(self, word: str) -> bytes:
         out = self.older.get(word)
         if out is None:
             raw = word.encode()
             out = np.array(merge_word([*(self.first[b] for b in raw[:-1]), self.last[raw[-1]]], self.ranks), "<u4").tobytes()
+        if len(word) > MAX_LETTERS:
+            return out
         if len(self) >= MAX_WORDS:
             self.older = dict(self)
             self.clear()
@@ -125,43 +132,76 @@ class Codec(dict):
             text = unicodedata.normalize("NFC", text)
         # Each character alone: a final sigma is lowered like any other.
         text = text.lower() if "Σ" not in text else "".join(map(str.lower, text))
-        return b"".join(map(self.__getitem__, self.words(text)))
+        if len(text) <= STRETCH:
+            return b"".join(map(self.__getitem__, self.pattern.findall(text)))
+        # Word by word, for the list of all words would be many times the text.
+        out = bytearray()
+        for m in self.pattern.finditer(text):
+            out += self[m[0]]
+        return bytes(out)
 
     def encode(self, text: str) -> bytes:
-        if self.split is None or "<|" not in text:
+        if not any(t in text for t in self.special):
             return self._plain(text)
         return b"".join(self.special[part] if k % 2 else self._plain(part) for k, part in enumerate(self.split.split(text)))
 
     def decode(self, ids: bytes) -> str:
         """The ids' vocabulary strings, special ones included, joined by spaces."""
-        return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        numbers = np.frombuffer(ids, "<u4")
+        return " ".join(" ".join(map(self.names.__getitem__, numbers[at : at + STRETCH].tolist())) for at in range(0, len(numbers), STRETCH))
+
+
+def check(spec: dict) -> None:
+    """Refuses a tokenizer's file whose steps aren't the ones that are carried out here."""
+
+    def kinds(part: dict | None, inner: str) -> list[str]:
+        return [] if part is None else [x["type"] for x in part.get(inner, [part])]
+
+    normal, before = spec.get("normalizer"), spec.get("pre_tokenizer")
+    steps = before.get("pretokenizers", []) if before else []
+    model = spec["model"]
+    spaces = [x for x in (normal or {}).get("normalizers", []) if x["type"] == "Replace"]
+    wrong = [
+        ("model", model.get("type", "BPE") != "BPE" or bool(model.get("dropout")) or bool(model.get("continuing_subword_prefix")) or bool(model.get("ignore_merges")) or bool(model.get("byte_fallback"))),
+        ("normalizer", [k for k in kinds(normal, "normalizers") if k != "Replace"] != ["NFC", "Lowercase"] or any(x["pattern"] != {"Regex": "\\s+"} or x["content"] != " " for x in spaces)),
+        ("pre_tokenizer", [x["type"] for x in steps] != ["Split", "ByteLevel"] or not steps[0]["invert"] or steps[0]["behavior"] != "Removed" or steps[1]["add_prefix_space"]),
+        ("decoder", kinds(spec.get("decoder"), "decoders") != []),
+        ("added_tokens", any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec["added_tokens"])),
+    ]
+    if bad := [name for name, is_bad in wrong if is_bad]:
+        raise ValueError("this tokenizer's file isn't supported: " + ", ".join(bad))
 
 
-@cache
-def _codec(file: Broadcast | bytes) -> Codec:
-    return Codec(file if isinstance(file, bytes) else file.value)
+#: The worker's one tokenizer, by its file's digest: another file takes its place.
+_held: dict[str, Codec] = {}
 
 
-def load(spark: SparkSession, path: str) -> Broadcast:
-    """The tokenizer's file for the executors, which need not have it; its size is checked."""
+def _codec(file: Broadcast, digest: str) -> Codec:
+    if digest not in _held:
+        _held.clear()
+        _held[digest] = Codec(file.value)
+    return _held[digest]
+
+
+def load(spark: SparkSession, path: str) -> tuple[Broadcast, str]:
+    """The tokenizer's file for the executors, which need not have it, and its digest; its size and steps are checked."""
     file = Path(path).read_bytes()
     if len(file) > MAX_FILE_BYTES:
         raise ValueError(f"{path} is larger than {MAX_FILE_BYTES} bytes")
-    return spark.sparkContext.broadcast(file)
+    check(json.loads(file))
+    return spark.sparkContext.broadcast(file), hashlib.sha256(file).hexdigest()
 
 
-def _mapped(df: DataFrame, add: list[tuple[str, T.DataType, pa.DataType]], convert) -> DataFrame:
-    """``df`` with columns of ``add`` in place of any of these names, from ``convert(batch) -> lists``."""
+def _mapped(df: DataFrame, source: str, add: list[tuple[str, T.DataType, pa.DataType]], convert) -> DataFrame:
+    """``df`` with columns of ``add`` in place of any of these names, from ``convert(values of source) -> lists``."""
     names = [a[0] for a in add]
     schema = T.StructType([*(f for f in df.schema.fields if f.name not in names), *(T.StructField(n, t) for n, t, _ in add)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                kept = [n for n in batch.schema.names if n not in names]
-                made = [pa.array(v, kind) for v, (_, _, kind) in zip(convert(batch), add, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *made], names=[*kept, *names])
+        for batch in pieces(batches, source):
+            kept = [n for n in batch.schema.names if n not in names]
+            made = [pa.array(v, kind) for v, (_, _, kind) in zip(convert(batch.column(source).to_pylist()), add, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *made], names=[*kept, *names])
 
     return df.mapInArrow(run, schema)
 
@@ -172,24 +212,20 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
     With ``decoded``, the text that ``decode`` gives for these ids comes too, in one
     pass. A null text counts as empty and has no ids; texts of any length are encoded
     whole; special tokens' strings in a text become their ids. Equal rows give equal
-    ids; an empty table stays empty; columns with the added names are replaced.
+    ids; an empty table stays empty; columns with the added names are replaced. A
+    tokenizer's file with other steps than ``check`` allows is refused.
     """
-    file = load(docs.sparkSession, path)
+    held = load(docs.sparkSession, path)
 
-    def convert(batch: pa.RecordBatch) -> list[list]:
-        codec = _codec(file)
-        out = [codec.encode(t or "") for t in batch.column(text).to_pylist()]
+    def convert(texts: list[str | None]) -> list[list]:
+        codec = _codec(*held)
+        out = [codec.encode(t or "") for t in texts]
         return [out, *([[codec.decode(x) for x in out]] if decoded else [])]
 
-    return _mapped(docs, [(ids, T.BinaryType(), pa.binary()), *([(decoded, T.StringType(), pa.string())] if decoded else [])], convert)
+    return _mapped(docs, text, [(ids, T.BinaryType(), pa.binary()), *([(decoded, T.StringType(), pa.string())] if decoded else [])], convert)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """All rows and columns of ``tokens`` with ``text``, decoded from ``ids`` (null: empty)."""
-    file = load(tokens.sparkSession, path)
-
-    def convert(batch: pa.RecordBatch) -> list[list]:
-        codec = _codec(file)
-        return [[codec.decode(x or b"") for x in batch.column(ids).to_pylist()]]
-
-    return _mapped(tokens, [(text, T.StringType(), pa.string())], convert)
+    """All rows and columns of ``tokens`` with ``text``, decoded from ``ids`` (null or empty: empty); a column ``text`` is replaced."""
+    held = load(tokens.sparkSession, path)
+    return _mapped(tokens, ids, [(text, T.StringType(), pa.string())], lambda values: [[_codec(*held).decode(x or b"") for x in values]])

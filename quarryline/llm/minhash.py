@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm import layout, scratch, setsketch, shingles
+from quarryline.llm.batches import pieces
 from quarryline.llm.components import components
 
 #: 32 bands of 4 registers: a pair at 0.75 shares no band in 5 of a million cases.
@@ -27,7 +28,7 @@ BANDS = setsketch.REGISTERS // BAND
 LEAST_ESTIMATE = 0.59
 #: Most texts on either side of a block of comparisons.
 BLOCK = 512
-#: Texts hashed at once.
+#: Texts whose sets are made at once in a block.
 ROWS = 400
 
 
@@ -35,31 +36,44 @@ def _sketched(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     """(doc_id, node, n_shingles, regs); equal texts share ``node``, a 64-bit hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                sets = shingles.sets(batch.column(2), width)
-                regs = setsketch.registers(sets)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "node", "n_shingles", "regs"])
+        for batch in pieces(batches, "text"):
+            sets = shingles.sets(batch.column(2), width)
+            regs = setsketch.registers(sets)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "node", "n_shingles", "regs"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, node long, n_shingles long, regs binary")
 
 
+def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose registers make a similarity of ``LEAST_ESTIMATE`` or more the likeliest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                x, y = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint16).reshape(part.num_rows, -1) for k in (2, 3))
+                n_x, n_y = (part.column(k).to_numpy().astype(float) for k in (4, 5))
+                likely = setsketch.estimate((x > y).sum(-1), (x < y).sum(-1), n_x, n_y)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(likely >= LEAST_ESTIMATE))
+
+    side = lambda x: sketches.select(F.col("node").alias(x), F.col("regs").alias(f"regs_{x}"), F.col("n_shingles").alias(f"n_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "regs_a", "regs_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * common >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                a, b = batch.column(0), batch.column(1)
-                # b repeats (it is a bucket's smallest text): its set is made once in a batch.
-                b_first = {n: i for i, n in reversed(list(enumerate(b.to_pylist())))}
-                sets_a = shingles.sets(batch.column(2), width)
-                sets_b = dict(zip(b_first, shingles.sets(batch.column(3).take(pa.array(list(b_first.values()), pa.int64())), width), strict=True))
-                ok = [_similar(x, sets_b[n], percent) for x, n in zip(sets_a, b.to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for batch in pieces(batches, "text_a", "text_b"):
+            a, b = batch.column(0), batch.column(1)
+            # b repeats (it leads a bucket): its set is made once in a piece.
+            b_first = {n: i for i, n in reversed(list(enumerate(b.to_pylist())))}
+            sets_a = shingles.sets(batch.column(2), width)
+            sets_b = dict(zip(b_first, shingles.sets(batch.column(3).take(pa.array(list(b_first.values()), pa.int64())), width), strict=True))
+            ok = [_similar(x, sets_b[n], percent) for x, n in zip(sets_a, b.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
@@ -156,22 +170,28 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, doc_id:
 
 def _with_nodes(docs: DataFrame, percent: int, width: int, doc_id: str, text: str) -> DataFrame:
     """``near_duplicates`` with ``node``, the hash of the row's text."""
+    with scratch.passing(docs.sparkSession):
+        named, least = _named(docs, percent, width, doc_id, text)
+    return named.join(least, "group", "left").select(
+        "doc_id", "node", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def _named(docs: DataFrame, percent: int, width: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node, n_shingles, group) of each row and (group, component_id), two kept tables."""
     rows = scratch.table(_sketched(docs, doc_id, text, width), "near-rows")
     sketches = scratch.table(rows.where("n_shingles > 0").select("node", "n_shingles", "regs").dropDuplicates(["node"]), "near-sketches")
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 2 * BAND * i + 1, 2 * BAND)) for i in range(BANDS)])
     bands = sketches.select("node", F.explode(keys).alias("key"))
     buckets = scratch.table(bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n"), "near-buckets")
     members = scratch.table(bands.join(buckets, "key").select("key", "node", "n"), "near-members")
-    best = scratch.table(_partners(members), "near-best")
+    best = scratch.table(_likely(_partners(members), sketches), "near-best")
     texts = _texts_of(docs, rows, members, doc_id, text)
     links = scratch.table(_confirmed(best, texts, width, percent), "near-links")
     links = links.union(_across(members.select("key", "node"), sketches, texts, links, width, percent))
     found = scratch.table(components(scratch.table(links, "near-links")), "near-found")
-    named = scratch.table(rows.join(found, "node", "left").select("doc_id", "node", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("group")), "near-named")
-    least = scratch.table(named.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id")), "near-least")
-    return named.join(least, "group", "left").select(
-        "doc_id", "node", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    named = scratch.table(rows.join(found, "node", "left").select("doc_id", "node", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("group")), "near-named", kept=True)
+    return named, scratch.table(named.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id")), "near-least", kept=True)
 
 
 def _partners(members: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ from quarryline.llm.shingles import mixed
 
 REGISTERS = 128
 BASE, RATE, TOP = 1.001, 20.0, 65_535
+#: Elements that send out their points at once.
+PIECE = 1 << 18
 
 
 def registers(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
@@ -28,18 +30,20 @@ def registers(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
     while len(todo):
         # Points farther than ``reach`` can't be the nearest once every register has one.
         reach = slack / sizes[todo]
-        value = np.concatenate([sets[i] for i in todo])
-        row = np.repeat(np.arange(len(todo)), sizes[todo].astype(int))
+        all_values = np.concatenate([sets[i] for i in todo])
+        all_rows = np.repeat(np.arange(len(todo)), sizes[todo].astype(int))
         near = np.full(len(todo) * m, np.inf)
-        x, k = np.zeros(len(value)), 0
-        with np.errstate(over="ignore"):
-            while len(value):
-                k += 1
-                z = mixed(value + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))
-                x = x - np.log(((z >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / m
-                keep = x <= reach[row]
-                x, row, value, z = x[keep], row[keep], value[keep], z[keep]
-                np.minimum.at(near, row * m + (z % np.uint64(m)).astype(np.int64), x)
+        for at in range(0, len(all_values), PIECE):
+            value, row = all_values[at : at + PIECE], all_rows[at : at + PIECE]
+            x, k = np.zeros(len(value)), 0
+            with np.errstate(over="ignore"):
+                while len(value):
+                    k += 1
+                    z = mixed(value + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))
+                    x = x - np.log(((z >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / m
+                    keep = x <= reach[row]
+                    x, row, value, z = x[keep], row[keep], value[keep], z[keep]
+                    np.minimum.at(near, row * m + (z % np.uint64(m)).astype(np.int64), x)
         near = near.reshape(len(todo), m)
         full = np.isfinite(near).all(axis=1)
         out[todo[full]] = near[full]

@@ -12,6 +12,8 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LENGTH = _RNG.integers(1, 2**63, 65, dtype=np.uint64)
+#: Bytes whose hashes are made at once (a longer word goes alone), so that a text of any length takes few bytes a byte.
+PIECE = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -45,11 +47,20 @@ def word_table(texts: pa.Array) -> tuple[np.ndarray, ...]:
     first[inner] = word[inner]
     last[inner - 1] = word[inner - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), out=sums[1:])
+    hashes, at = np.empty(len(start), np.uint64), 0
+    power, inverse = _powers(_BASE, min(PIECE, len(data))), _powers(_INVERSE, min(PIECE, len(data)) + 1)
     with np.errstate(over="ignore"):
-        hashes = mixed((sums[end] - sums[start]) * _powers(_INVERSE, len(data) + 1)[start] + (end - start).astype(np.uint64))
-    return data, offsets, hashes, np.searchsorted(offsets, start, "right") - 1, start, end
+        while at < len(start):
+            to = max(at + 1, int(np.searchsorted(end, start[at] + PIECE, "right")))
+            low, high = start[at], end[to - 1]
+            if high - low > len(power):
+                power, inverse = _powers(_BASE, high - low), _powers(_INVERSE, high - low + 1)
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(_BYTE[data[low:high]] * power[: high - low], out=sums[1:])
+            a, b = start[at:to] - low, end[at:to] - low
+            hashes[at:to] = mixed((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64))
+            at = to
+    return data, offsets, hashes, (np.searchsorted(offsets, start, "right") - 1).astype(np.int32), start, end
 
 
 def sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
