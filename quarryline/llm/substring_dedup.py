@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm import scratch
-from quarryline.llm.shingles import _powers, mixed, word_table
+from quarryline.llm.batches import pieces
+from quarryline.llm.shingles import PIECE, _powers, mixed, word_table
 
 #: A run has at least two sentences and so many words.
 RUN_WORDS = 24
@@ -20,14 +21,15 @@ RUN_WORDS = 24
 LEAST_WORDS, MOST_WORDS = 3, 20
 #: In a longer sentence, of so many neighbouring words that with the least hash ends a part.
 CUT_WINDOW = 6
-ROWS = 400
+#: What ends a sentence: full stops, exclamation and question marks of several scripts.
+STOPS = ".!?。！？।؟"
 _BASE = 0xD6E8FEB86659FD93
 
 
 def sentences(texts: pa.Array) -> tuple[np.ndarray, ...]:
     """For each sentence of all texts: text number, first word, word after the last, first byte; then the words' hashes.
 
-    A sentence ends with a line, or with a word that ends in ``.``, ``!`` or ``?`` at
+    A sentence ends with a line, or with a word that ends in one of ``STOPS`` at
     least ``LEAST_WORDS`` words after the previous such word. One of more than
     ``MOST_WORDS`` words is cut where its words say so, see ``_inner_cuts``; equal
     stretches in such sentences have equal cuts but for ``CUT_WINDOW`` words at
@@ -39,10 +41,10 @@ def sentences(texts: pa.Array) -> tuple[np.ndarray, ...]:
         none = np.empty(0, np.int64)
         return none, none, none, none, word
     k = np.arange(n)
-    newline = np.concatenate(([0], np.cumsum(data == 10)))
+    feeds = np.flatnonzero(data == 10)
     last = np.concatenate((doc[1:] != doc[:-1], [True]))
-    line = last | (newline[np.concatenate((start[1:], [len(data)]))] > newline[end])
-    stop = np.isin(data[end - 1], np.frombuffer(b".!?", np.uint8)) | line
+    line = last | (np.searchsorted(feeds, np.concatenate((start[1:], [len(data)]))) > np.searchsorted(feeds, end))
+    stop = _stopped(data, start, end) | line
     before = np.concatenate(([-1], np.maximum.accumulate(np.where(stop, k, -1))[:-1]))
     full = line | (stop & (k - before >= LEAST_WORDS))
     full |= _inner_cuts(word, full)
@@ -51,6 +53,17 @@ def sentences(texts: pa.Array) -> tuple[np.ndarray, ...]:
     return doc[starts], starts, stops, start[starts], word
 
 
+def _stopped(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each word whether its last character is one of ``STOPS``."""
+    out = np.zeros(len(end), bool)
+    for mark in map(str.encode, STOPS):
+        same = end - start >= len(mark)
+        for k, byte in enumerate(mark):
+            same &= data[np.maximum(end - (len(mark) - k), 0)] == byte
+        out |= same
+    return out
+
+
 def _inner_cuts(word: np.ndarray, full: np.ndarray) -> np.ndarray:
     """For each word whether a part of a sentence of more than ``MOST_WORDS`` words ends with it.
 
@@ -70,13 +83,16 @@ def _inner_cuts(word: np.ndarray, full: np.ndarray) -> np.ndarray:
     at = at[at + CUT_WINDOW <= n]
     at = at[sentence[at] == sentence[at + CUT_WINDOW - 1]]
     # The last word of a document ends a sentence, so no window spans two documents.
-    rank = mixed(word)
-    least, where = rank[at], at.copy()
-    for step in range(1, CUT_WINDOW):
-        here = rank[at + step]
-        lower = here <= least
-        least, where = np.where(lower, here, least), np.where(lower, at + step, where)
-    chosen = np.unique(where)
+    rank, parts = mixed(word), []
+    for low in range(0, len(at), PIECE):
+        first = at[low : low + PIECE]
+        least, where = rank[first], first.copy()
+        for step in range(1, CUT_WINDOW):
+            here = rank[first + step]
+            lower = here <= least
+            least, where = np.where(lower, here, least), np.where(lower, first + step, where)
+        parts.append(np.unique(where))
+    chosen = np.unique(np.concatenate(parts)) if parts else at
     if len(chosen):
         near = np.concatenate(([False], (np.diff(chosen) < LEAST_WORDS) & (np.diff(sentence[chosen]) == 0)))
         k = np.arange(len(chosen))
@@ -104,15 +120,13 @@ def runs(doc: np.ndarray, first: np.ndarray, after: np.ndarray, word: np.ndarray
 
 def _runs_of(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                doc, first, after, _, word = sentences(batch.column(2))
-                key, a, b = runs(doc, first, after, word)
-                text = doc[a] if len(a) else a
-                base = np.searchsorted(doc, text)
-                rows = batch.select([0, 1]).take(pa.array(text))
-                yield pa.RecordBatch.from_arrays([pa.array(key), *rows.columns, pa.array((a - base).astype(np.int32)), pa.array((b - base).astype(np.int32))], ["run", "doc_id", "tie", "a", "b"])
+        for batch in pieces(batches, "text"):
+            doc, first, after, _, word = sentences(batch.column(2))
+            key, a, b = runs(doc, first, after, word)
+            text = doc[a] if len(a) else a
+            base = np.searchsorted(doc, text)
+            rows = batch.select([0, 1]).take(pa.array(text))
+            yield pa.RecordBatch.from_arrays([pa.array(key), *rows.columns, pa.array((a - base).astype(np.int32)), pa.array((b - base).astype(np.int32))], ["run", "doc_id", "tie", "a", "b"])
 
     return docs.mapInArrow(run, "run long, doc_id long, tie long, a int, b int")
 
@@ -121,39 +135,37 @@ def _cut(docs: DataFrame, fields: str) -> DataFrame:
     """Drops the covered sentences from ``text``; adds counts and the removed parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                names = batch.schema.names
-                column = batch.column(names.index("__text"))
-                doc, first, after, byte, _ = sentences(column)
-                bounds = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-                text, count, gone, words, cut = [], [], [], [], []
-                for i, (value, spans) in enumerate(zip(column.to_pylist(), batch.column(names.index("__spans")).to_pylist(), strict=True)):
-                    lo, hi = bounds[i], bounds[i + 1]
-                    drop = np.zeros(hi - lo, bool)
-                    for s in spans or []:
-                        drop[s["a"] : s["b"] + 1] = True
-                    raw = None if value is None else value.encode()
-                    if drop.any():
-                        edges = np.concatenate((byte[lo:hi] - byte[lo], [0]))
-                        head = len(raw) - len(raw.lstrip(b" \t\n\v\f\r"))
-                        edges = edges + head
-                        edges[-1] = len(raw)
-                        pieces = [raw[:head] if not drop[0] else b""] + [raw[edges[j] : edges[j + 1]] for j in np.flatnonzero(~drop)]
-                        cut.append([raw[edges[j] : edges[j + 1]].decode().strip() for j in np.flatnonzero(drop)])
-                        value = b"".join(pieces).decode()
-                    else:
-                        cut.append([])
-                    text.append(value)
-                    count.append(hi - lo)
-                    gone.append(int(drop.sum()))
-                    words.append(int((after[lo:hi] - first[lo:hi])[drop].sum()))
-                kept = [c for n, c in zip(names, batch.columns, strict=True) if n not in ("__text", "__spans")]
-                yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(count, pa.int64()), pa.array(gone, pa.int64()), pa.array(words, pa.int64()), pa.array(cut, pa.list_(pa.string())), pa.array(text, pa.string())],
-                    [*(n for n in names if n not in ("__text", "__spans")), "n_sentences", "n_removed", "removed_words", "removed", "text"],
-                )
+        for batch in pieces(batches, "__text"):
+            names = batch.schema.names
+            column = batch.column(names.index("__text"))
+            doc, first, after, byte, _ = sentences(column)
+            bounds = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            text, count, gone, words, cut = [], [], [], [], []
+            for i, (value, spans) in enumerate(zip(column.to_pylist(), batch.column(names.index("__spans")).to_pylist(), strict=True)):
+                lo, hi = bounds[i], bounds[i + 1]
+                drop = np.zeros(hi - lo, bool)
+                for s in spans or []:
+                    drop[s["a"] : s["b"] + 1] = True
+                raw = None if value is None else value.encode()
+                if drop.any():
+                    edges = np.concatenate((byte[lo:hi] - byte[lo], [0]))
+                    head = len(raw) - len(raw.lstrip(b" \t\n\v\f\r"))
+                    edges = edges + head
+                    edges[-1] = len(raw)
+                    left = [raw[:head] if not drop[0] else b""] + [raw[edges[j] : edges[j + 1]] for j in np.flatnonzero(~drop)]
+                    cut.append([raw[edges[j] : edges[j + 1]].decode().strip() for j in np.flatnonzero(drop)])
+                    value = b"".join(left).decode()
+                else:
+                    cut.append([])
+                text.append(value)
+                count.append(hi - lo)
+                gone.append(int(drop.sum()))
+                words.append(int((after[lo:hi] - first[lo:hi])[drop].sum()))
+            kept = [c for n, c in zip(names, batch.columns, strict=True) if n not in ("__text", "__spans")]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(count, pa.int64()), pa.array(gone, pa.int64()), pa.array(words, pa.int64()), pa.array(cut, pa.list_(pa.string())), pa.array(text, pa.string())],
+                [*(n for n in names if n not in ("__text", "__spans")), "n_sentences", "n_removed", "removed_words", "removed", "text"],
+            )
 
     return docs.mapInArrow(run, fields)
 
