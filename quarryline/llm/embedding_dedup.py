@@ -35,27 +35,38 @@ def spherical_kmeans(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 11)
     return np.unique(centres, axis=0)
 
 
-def _celled(distinct: DataFrame, centres: np.ndarray, gap: float) -> DataFrame:
+#: A cell's number is the vectors' length times this, plus the number of the nearest centre of that length.
+CELLS = 1 << 20
+
+
+def _visits(x: np.ndarray, centres: np.ndarray, gap: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The own cell of each unit row, and (rows, cells) of its visits: lower cells whose plane is within ``gap``."""
+    near = x @ centres.T
+    own = near.argmax(axis=1)
+    # Rounding may only make centres seem farther apart, which lets more visits through.
+    space = np.sqrt(np.maximum(2 - 2 * centres[own] @ centres.T, 0) + 1e-12)
+    behind = (near[np.arange(len(x)), own][:, None] - near) / space
+    return own, *np.nonzero((behind <= gap + 1e-9) & (np.arange(len(centres))[None, :] < own[:, None]))
+
+
+def _celled(distinct: DataFrame, centres: dict[int, np.ndarray], gap: float) -> DataFrame:
     """A row (cell, visitor, node, n, vector) for the own cell of each vector and for each lower cell that it visits."""
     held = distinct.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = held.value
-        apart = np.sqrt(np.maximum(((c[:, None, :] - c[None, :, :]) ** 2).sum(-1), 1e-12)) if len(c) <= 512 else None
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                x = vectors.unit(vectors.matrix(batch.column(2)))
-                near = x @ c.T
-                own = near.argmax(axis=1)
-                space = apart[own] if apart is not None else np.sqrt(np.maximum(2 - 2 * c[own] @ c.T, 1e-12))
-                behind = (near[np.arange(len(x)), own][:, None] - near) / space
-                i, cell = np.nonzero((behind <= gap + 1e-9) & (np.arange(len(c))[None, :] < own[:, None]))
-                rows, cell = np.concatenate((np.arange(len(x)), i)), np.concatenate((own, cell))
-                taken = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(np.arange(len(rows)) >= len(x)), *taken.columns], ["cell", "visitor", "node", "n", "vector"])
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                for d, rows in vectors.by_length(batch.column(2)).items():
+                    part = batch.take(pa.array(rows))
+                    x = vectors.unit(vectors.matrix(part.column(2)))
+                    # A length without centres of its own has one cell.
+                    own, i, other = _visits(x, held.value.get(d, np.eye(1, d)), gap)
+                    taken = part.take(pa.array(np.concatenate((np.arange(len(x)), i))))
+                    cell = d * CELLS + np.concatenate((own, other))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.arange(len(cell)) >= len(x)), *taken.columns], ["cell", "visitor", "node", "n", "vector"])
 
-    return distinct.select("node", "n", "vector").mapInArrow(run, f"cell int, visitor boolean, node long, n long, vector {distinct.schema['vector'].dataType.simpleString()}")
+    return distinct.select("node", "n", "vector").mapInArrow(run, f"cell long, visitor boolean, node long, n long, vector {distinct.schema['vector'].dataType.simpleString()}")
 
 
 def _linked(pairs: DataFrame, least: float) -> DataFrame:
@@ -115,26 +126,32 @@ def near_vectors(df: DataFrame, least: float = 0.9, vec_id: str = "vec_id", vect
     smallest vec_id reachable and ``kept`` marks the row that bears it.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with
-    nothing, nor do those whose length is not the most usual one. Equal vectors link. A
-    null vec_id takes part, is never kept, and its component is null where no other id
+    nothing; vectors of any other kind are compared with those of their own length. Equal
+    vectors link. A null vec_id takes part, is never kept, and its component is null where no other id
     is reachable. An empty table gives an empty result. Other columns are ignored. The
     centres are fitted on at most ``vectors.MAX_SAMPLE`` vectors.
     """
-    size = vectors.usual_length(df, vector)
-    usable = vectors.finite(vector) & (F.size(vector) == size)
+    with scratch.passing(df.sparkSession):
+        named, smallest = _named(df, least, vec_id, vector, block, per_cell)
+    return named.join(smallest, "group", "left").select(
+        "vec_id", "n_links", F.when(F.col("group").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"),
+    ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _named(df: DataFrame, least: float, vec_id: str, vector: str, block: int, per_cell: int) -> tuple[DataFrame, DataFrame]:
+    """(vec_id, n_links, group) of each row and (group, component_id), two kept tables."""
+    usable = vectors.finite(vector)
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.when(usable, F.xxhash64(vector)).alias("node"), F.when(usable, F.col(vector)).alias("vector"))
     distinct = scratch.table(rows.where("node is not null").groupBy("node").agg(F.first("vector").alias("vector"), F.count("*").alias("n")), "embed-distinct")
     count = distinct.count()
     fitted = vectors.sample(distinct, "vector", count)
-    cells = max(1, min(MAX_CELLS, len(fitted), round(count / per_cell)))
-    centres = spherical_kmeans(vectors.unit(fitted), cells) if len(fitted) else np.zeros((1, max(1, size)))
+    known = sum(map(len, fitted.values()))
+    cells = {d: max(1, min(MAX_CELLS, len(x), round(count * len(x) / known / per_cell))) for d, x in fitted.items()}
+    centres = {d: spherical_kmeans(vectors.unit(x), cells[d]) for d, x in fitted.items()}
     celled = scratch.table(_celled(distinct, centres, math.sqrt(max(0.0, 2 - 2 * least))), "embed-cells")
     linked = scratch.table(_linked(_pairs(celled, block), least), "embed-links")
     links = scratch.table(linked.groupBy("node").agg(F.sum("links").alias("links")).join(distinct.select("node", "n"), "node", "right").select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "embed-counts")
     found = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     info = scratch.table(links.join(found, "node", "left").select("node", "n_links", F.coalesce("component", "node").alias("group")), "embed-groups")
-    named = scratch.table(rows.select("vec_id", "node").join(info, "node", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "group"), "embed-named")
-    smallest = scratch.table(named.where("group is not null").groupBy("group").agg(F.min("vec_id").alias("component_id")), "embed-least")
-    return named.join(smallest, "group", "left").select(
-        "vec_id", "n_links", F.when(F.col("group").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    named = scratch.table(rows.select("vec_id", "node").join(info, "node", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "group"), "embed-named", kept=True)
+    return named, scratch.table(named.where("group is not null").groupBy("group").agg(F.min("vec_id").alias("component_id")), "embed-least", kept=True)

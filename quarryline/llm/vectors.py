@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +19,6 @@ def finite(vector: str) -> Column:
     return F.coalesce(good & F.exists(value, lambda x: x != 0), F.lit(False))
 
 
-def usual_length(df: DataFrame, vector: str) -> int:
-    """The most frequent length of the usable vectors (ties: the smaller); 0 if there are none."""
-    sizes = df.where(finite(vector)).groupBy(F.size(vector).alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    return sizes["d"] if sizes else 0
-
-
 def matrix(column: pa.Array) -> np.ndarray:
     """Rows of doubles from lists of one length."""
     n = len(column)
@@ -37,8 +32,19 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def sample(df: DataFrame, vector: str, rows: int, most: int = MAX_SAMPLE) -> np.ndarray:
-    """About ``most`` of ``rows`` vectors, at most so many, chosen by a hash of their values."""
-    part = max(1, -(-rows // most))
-    got = df.where(F.pmod(F.xxhash64(vector, F.lit(5)), F.lit(part)) == 0).select(F.col(vector).cast("array<double>").alias("v")).limit(most).toArrow()
-    return matrix(got.column("v").combine_chunks()) if got.num_rows else np.empty((0, 0))
+def by_length(column: pa.Array) -> dict[int, np.ndarray]:
+    """For each length of the lists the positions that have it."""
+    length = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    return {int(d): np.flatnonzero(length == d) for d in np.unique(length)}
+
+
+def sample(df: DataFrame, vector: str, rows: int, most: int = MAX_SAMPLE) -> dict[int, np.ndarray]:
+    """By length, some of ``rows`` vectors, at most ``most``, chosen by a hash of their values.
+
+    All are taken where there are no more than ``most``; else a tenth of the bound is left
+    for the hash's scatter, so the bound itself doesn't choose.
+    """
+    part = 1.0 if rows <= most else 0.9 * most / rows
+    chosen = F.pmod(F.xxhash64(vector, F.lit(5)), F.lit(10**9)) < F.lit(int(part * 10**9))
+    got = df.where(chosen).select(F.col(vector).cast("array<double>").alias("v")).limit(most).toArrow().column("v").combine_chunks()
+    return {d: matrix(got.take(pa.array(at))) for d, at in by_length(got).items()}
