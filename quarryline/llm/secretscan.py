@@ -140,7 +140,9 @@ def find_secrets(docs: DataFrame, rule: Entropy = Entropy(), text: str = "text",
     for n, kind in enumerate(KINDS[:3]):
         spans = F.transform(f"__ss_{kind}_at", whole(n))
         if kind == "assign":
-            spans = F.filter(spans, lambda s, i: F.length(F.get("__ss_value", i)) >= LEAST_ASSIGNED)
+            # Bound, for a lambda that names a column may be given the column's whole expression.
+            long = lambda v: F.filter(v["spans"], lambda s, i: F.length(F.get(v["values"], i)) >= LEAST_ASSIGNED)
+            spans = layout.bound(long, spans=spans, values=F.col("__ss_value"))
         base.append(F.when(F.size(f"__ss_{kind}") > 0, spans).otherwise(none))
     suspect = lambda s: ~F.exists(F.array(*[F.lit(p) for p in rule.allowed]), lambda p: F.regexp_like(s, p))
     candidates = F.filter("__ss_entropy_at", lambda x: suspect(x["hit"]))
