@@ -24,8 +24,8 @@ from quarryline.llm.batches import pieces
 
 #: Largest tokenizer file that is broadcast.
 MAX_FILE_BYTES = 64_000_000
-#: A worker remembers words in two generations of at most so many, none of more characters than this: about 20 MB.
-MAX_WORDS, MAX_LETTERS = 50_000, 64
+#: A worker remembers words in two generations of at most so many, none of more characters than this: about 40 MB.
+MAX_WORDS, MAX_LETTERS = 100_000, 64
 #: Texts of more characters are split into words one by one, and ids are decoded in stretches of so many.
 STRETCH = 1 << 18
 NONE = 1 << 60
