@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import bpe, embedding_dedup, hashing_search, line_dedup, minhash, mixing, quality, secretscan, sharding, substring_dedup
+from quarryline.llm import bpe, byte_bpe, embedding_dedup, hashing_search, line_dedup, minhash, mixing, quality, secretscan, sharding, substring_dedup
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +82,12 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(docs).select("doc_id", "n_sentences", "n_removed", "removed_words", "removed", "text")
 
 
+def op13_monoid_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's byte-level ids and of the bytes decoded from them."""
+    out = byte_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, decoded="decoded")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_histogram_sort": op1_histogram_sort,
@@ -93,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_random_indexing_quality": op8_random_indexing_quality,
         "op9_multi_index_hashing": op9_multi_index_hashing,
         "op10_sentence_spans": op10_sentence_spans,
+        "op13_monoid_byte_bpe": op13_monoid_byte_bpe,
     }
 
 
