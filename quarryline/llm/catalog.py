@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import bpe, byte_bpe, embedding_dedup, hashing_search, line_dedup, minhash, mixing, quality, secretscan, sharding, substring_dedup
+from quarryline.llm import bpe, byte_bpe, embedding_dedup, hashing_search, line_dedup, minhash, mixing, phrases, quality, secretscan, sharding, substring_dedup
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -82,6 +82,11 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(docs).select("doc_id", "n_sentences", "n_removed", "removed_words", "removed", "text")
 
 
+def op11_count_min_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 collocations of all documents."""
+    return phrases.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op13_monoid_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's byte-level ids and of the bytes decoded from them."""
     out = byte_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, decoded="decoded")
@@ -100,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_random_indexing_quality": op8_random_indexing_quality,
         "op9_multi_index_hashing": op9_multi_index_hashing,
         "op10_sentence_spans": op10_sentence_spans,
+        "op11_count_min_phrases": op11_count_min_phrases,
         "op13_monoid_byte_bpe": op13_monoid_byte_bpe,
     }
 
@@ -133,7 +139,23 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, doc_id) AS comp
 FROM sizes LEFT JOIN least_of ON doc_id = id
 """
 
+PHRASES_SQL = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words FROM p),
+t AS (SELECT lang, CAST(sum(len(words)) AS HUGEINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, words, unnest(range(1, len(words) - k + 2)) AS i FROM (SELECT lang, words, unnest(range(1, 6)) AS k FROM w)),
+f AS (SELECT lang, k, array_to_string(words[i : i + k - 1], ' ') AS phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM f WHERE k >= 2),
+s AS (SELECT c.lang, c.phrase, c.a, cut, x.a AS l, y.a AS r, t.n, (CAST(1000 AS HUGEINT) * c.a * t.n) // (CAST(x.a AS HUGEINT) * y.a) AS score
+      FROM c JOIN t USING (lang) JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1 : cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1 : c.k], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS f FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT lang, string_split(phrase, ' ') AS w, a, k, unnest(range(2, k)) AS m FROM f WHERE k >= 3)) GROUP BY ALL),
+kept AS (SELECT b.* FROM b LEFT JOIN longer USING (lang, phrase) WHERE f IS NULL OR 100 * f < 100 * a)
+SELECT lang, CAST(row_number() OVER o AS BIGINT) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER o <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The queries whose whole result SQL can give at table size; the others are tested against brute force."""
-    return {"op3_spherical_kmeans_dedup": VECTORS_SQL, "op4_setsketch_near_duplicates": DOCUMENTS_SQL}
+    return {"op3_spherical_kmeans_dedup": VECTORS_SQL, "op4_setsketch_near_duplicates": DOCUMENTS_SQL, "op11_count_min_phrases": PHRASES_SQL}
