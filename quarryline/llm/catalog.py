@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import bpe, byte_bpe, embedding_dedup, hashing_search, line_dedup, minhash, mixing, phrases, quality, secretscan, sharding, substring_dedup
+from quarryline.llm import bpe, byte_bpe, conversations, embedding_dedup, hashing_search, line_dedup, minhash, mixing, phrases, quality, secretscan, sharding, substring_dedup
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -87,6 +87,17 @@ def op11_count_min_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
 
 
+def op12_earley_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after damage, its cheapest repair and the digest of what is repaired."""
+    rows = _table(spark, sf_dir, "conversations")
+    summary, lines = conversations.repair(conversations.damaged(rows))
+    same = lambda other: F.col("conv_id").eqNullSafe(F.col(other))
+    every = rows.select("conv_id").distinct().join(summary.withColumnRenamed("conv_id", "__s"), same("__s"), "left")
+    every = every.join(conversations.digests(lines).withColumnRenamed("conv_id", "__d"), same("__d"), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def op13_monoid_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's byte-level ids and of the bytes decoded from them."""
     out = byte_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, decoded="decoded")
@@ -106,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_multi_index_hashing": op9_multi_index_hashing,
         "op10_sentence_spans": op10_sentence_spans,
         "op11_count_min_phrases": op11_count_min_phrases,
+        "op12_earley_repair": op12_earley_repair,
         "op13_monoid_byte_bpe": op13_monoid_byte_bpe,
     }
 
