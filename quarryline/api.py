@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.operators import chunking, index, report, scan, search, secrets
-from quarryline.sources import git
+from quarryline.sources import git, staging
 from quarryline.sources.store import ChunkStore
 from quarryline.sources.tree import list_tree, read_tree
 
@@ -25,10 +25,12 @@ class Analysis:
 
 def analyze(spark: SparkSession, path: str, fail_on: str = "high", most: int = scan.MAX_TOTAL_BYTES) -> Analysis:
     """Findings of a tree; at most ``most`` bytes are scanned, in path order."""
-    listed = list_tree(spark, path).persist()
-    taken = scan.total_cap(listed, most).select("rel_path").persist()
-    found = secrets.findings(read_tree(spark, path).join(taken, "rel_path").where("text is not null").select("rel_path", "text")).persist()
-    scanned = taken.count()
+    listed = list_tree(spark, path).select("rel_path", "size")
+    taken = scan.total_cap(listed, most)
+    last, scanned = taken.agg(F.max("rel_path"), F.count("*")).first()
+    # What is taken is a beginning of the order of paths, so the files to open are known by the last of them.
+    some = read_tree(spark, path).where(F.col("rel_path") <= F.lit(last) if last is not None else F.lit(False))
+    found = staging.table(secrets.findings(some.where("text is not null").select("rel_path", "text")), "findings")
     return Analysis(found, scanned, scanned < listed.count(), report.gate(found, fail_on))
 
 

@@ -1,73 +1,157 @@
-"""A source tree as rows (rel_path, size, content), read by a Python data source.
+"""A source tree as rows (rel_path, size, language, content), read by a Python data source.
 
 Spark's own file listing drops names that begin with a dot or an underscore, so the tree
-is walked here: folders are pruned before they are entered, links are never followed.
+is walked here: folders are pruned before they are entered, links are never followed. The
+driver looks for folders only, breadth first and no more than it takes to busy the tasks; files
+are listed and opened by the tasks, and only those that the pushed filters leave.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import zlib
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
+    StringStartsWith,
+)
 
 from quarryline.functions import text as X
 from quarryline.operators import scan
 
-SCHEMA = "rel_path string, size long, content binary, error string"
+SCHEMA = "rel_path string, size long, language string, content binary, error string"
+#: Folders that the driver finds at most, tasks, and files of one folder that a task gets, about.
+FOLDERS, TASKS, FILES = 4096, 1024, 4096
 
 
-class _Files(InputPartition):
-    def __init__(self, paths: list[tuple[str, int]]):
-        self.paths = paths
+class _Folders(InputPartition):
+    """(folder, with all below it, share, shares): the files of a share are those whose names hash to it."""
+
+    def __init__(self, units: list[tuple[str, bool, int, int]]):
+        self.units = units
+
+
+#: For each pushed filter: whether a value passes, and whether a folder, by the least path in it and the end of its paths, may hold one that does.
+_TESTS: dict[type, tuple[Callable, Callable]] = {
+    EqualTo: (lambda v, f: v == f.value, lambda low, high, f: low <= f.value < high),
+    In: (lambda v, f: v in f.value, lambda low, high, f: any(low <= x < high for x in f.value if x is not None)),
+    LessThan: (lambda v, f: v < f.value, lambda low, high, f: low < f.value),
+    LessThanOrEqual: (lambda v, f: v <= f.value, lambda low, high, f: low <= f.value),
+    GreaterThan: (lambda v, f: v > f.value, lambda low, high, f: high > f.value),
+    GreaterThanOrEqual: (lambda v, f: v >= f.value, lambda low, high, f: high > f.value),
+    StringStartsWith: (lambda v, f: v.startswith(f.value), lambda low, high, f: low.startswith(f.value) or f.value.startswith(low)),
+    IsNotNull: (lambda v, f: True, lambda low, high, f: True),
+}
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root = os.path.abspath(options["path"])
         self.prefix = options.get("backupPrefix", scan.BACKUP_PREFIX)
-        self.per_task = int(options.get("bytesPerTask", 64_000_000))
+        self.folders, self.tasks, self.files = (int(options.get(k, v)) for k, v in (("folders", FOLDERS), ("tasks", TASKS), ("files", FILES)))
         self.contents = options.get("contents", "true") == "true"
-
-    def _walk(self) -> Iterator[tuple[str, int]]:
-        """Files in lexical order that are small enough and of a known language. The root's own name counts too."""
-        skip = lambda name: name in scan.SKIPPED or name.startswith(self.prefix)
-        if os.path.islink(self.root) or skip(os.path.basename(self.root)):
+        self.filters: list[Filter] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Takes comparisons of path, size and language, which none of the rows lack; Spark keeps the others."""
+        for f in filters:
+            known = type(f) in _TESTS and f.attribute in (("rel_path",), ("size",), ("language",))
+            if known and (isinstance(f, IsNotNull) or f.value is not None):
+                self.filters.append(f)
+            else:
+                yield f
+
+    def _skipped(self, name: str) -> bool:
+        return name in scan.SKIPPED or name.startswith(self.prefix)
+
+    def _look(self, folder: str) -> tuple[list[str], int]:
+        """The folders to enter in one folder, and how many entries it has besides."""
+        below, others = [], 0
+        try:
+            with os.scandir(os.path.join(self.root, folder)) as entries:
+                for e in entries:
+                    if e.is_dir(follow_symlinks=False):
+                        path = f"{folder}/{e.name}" if folder else e.name
+                        if not self._skipped(e.name) and self._may_hold(path):
+                            below.append(path)
+                    else:
+                        others += 1
+        except OSError:  # a folder that can't be read has no files, as in any walk
+            return [], 0
+        return below, others
+
+    def _may_hold(self, folder: str) -> bool:
+        low, high = folder + "/", folder + "0"  # "0" is what follows "/"
+        return all(_TESTS[type(f)][1](low, high, f) for f in self.filters if f.attribute == ("rel_path",))
+
+    def _files(self, folder: str, share: int, shares: int) -> Iterator[tuple[str, int, str]]:
+        """(rel_path, size, language) of a folder's own files that are small enough, of a known language, and pass the filters."""
+        try:
+            with os.scandir(os.path.join(self.root, folder)) as entries:
+                for e in entries:
+                    name = e.name
+                    language = scan.LANGUAGES.get(name[name.rindex(".") :].lower()) if "." in name else None
+                    if language is None or zlib.crc32(os.fsencode(name)) % shares != share or not e.is_file(follow_symlinks=False):
+                        continue
+                    row = {"rel_path": f"{folder}/{name}" if folder else name, "language": language}
+                    if not self._passes(row):
+                        continue
+                    row["size"] = e.stat(follow_symlinks=False).st_size
+                    if row["size"] <= scan.MAX_FILE_BYTES and self._passes(row):
+                        yield row["rel_path"], row["size"], language
+        except OSError:
             return
-        for folder, below, names in os.walk(self.root, followlinks=False):
-            below[:] = sorted(d for d in below if not skip(d) and not os.path.islink(os.path.join(folder, d)))
-            for name in sorted(names):
-                path = os.path.join(folder, name)
-                if os.path.islink(path) or not os.path.isfile(path) or "." not in name or name[name.rindex(".") :].lower() not in scan.LANGUAGES:
-                    continue
-                size = os.lstat(path).st_size
-                if size <= scan.MAX_FILE_BYTES:
-                    yield os.path.relpath(path, self.root), size
 
-    def partitions(self) -> list[InputPartition]:
-        parts, some, held = [], [], 0
-        for path, size in self._walk():
-            some.append((path, size))
-            held += size + 4096
-            if held >= self.per_task:
-                parts.append(_Files(some))
-                some, held = [], 0
-        return [*parts, _Files(some)] if some or not parts else parts
-
-    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(partition.paths), 64):
-            paths, sizes, contents, errors = [], [], [], []
-            for path, size in partition.paths[at : at + 64]:
-                content, error = self._content(path) if self.contents else (None, None)
-                paths.append(path)
-                sizes.append(size)
-                contents.append(content)
-                errors.append(error)
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(contents, pa.binary()), pa.array(errors, pa.string())], ["rel_path", "size", "content", "error"])
+    def _passes(self, row: dict) -> bool:
+        return all(_TESTS[type(f)][0](row[f.attribute[0]], f) for f in self.filters if f.attribute[0] in row)
 
+    def partitions(self) -> list[InputPartition]:
+        if os.path.islink(self.root) or self._skipped(os.path.basename(self.root)):
+            return [_Folders([])]
+        waiting, units = deque([""]), []
+        while waiting and len(waiting) + len(units) < self.folders:
+            folder = waiting.popleft()
+            below, others = self._look(folder)
+            shares = -(-others // self.files)
+            units += [(folder, False, k, shares) for k in range(shares)]
+            waiting.extend(below)
+        units += [(folder, True, 0, 1) for folder in waiting]
+        n = max(1, min(self.tasks, len(units)))
+        return [_Folders(units[k::n]) for k in range(n)]
+
+    def _walk(self, units: list[tuple[str, bool, int, int]]) -> Iterator[tuple[str, int, str]]:
+        for folder, deep, share, shares in units:
+            left = [folder]
+            while left:
+                at = left.pop()
+                yield from self._files(at, share, shares)
+                if deep:
+                    left += self._look(at)[0]
+
+    def read(self, partition: _Folders) -> Iterator[pa.RecordBatch]:
+        some = []
+        for found in self._walk(partition.units):
+            some.append((*found, *(self._content(found[0]) if self.contents else (None, None))))
+            if len(some) == 64:
+                yield _batch(some)
+                some = []
+        if some:
+            yield _batch(some)
 
     def _content(self, path: str) -> tuple[bytes | None, str | None]:
         """The file's bytes, or why it can't be read: that is reported, never fatal."""
@@ -78,6 +162,11 @@ class _Reader(DataSourceReader):
             return None, str(e)
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [("rel_path", pa.string()), ("size", pa.int64()), ("language", pa.string()), ("content", pa.binary()), ("error", pa.string())]
+    return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, (_, kind) in zip(zip(*rows), kinds)], [name for name, _ in kinds])
+
+
 class TreeSource(DataSource):
     """``spark.read.format("source_tree").load(path)``; the path must be readable on the driver and the executors."""
 
@@ -92,14 +181,21 @@ class TreeSource(DataSource):
         return _Reader(self.options)
 
 
-def read_tree(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """(rel_path, size, content, error, language, text): every eligible file; ``text`` is null where the bytes aren't UTF-8."""
+def _loaded(spark: SparkSession, path: str, options: dict[str, str]) -> DataFrame:
+    """The source, which takes filters where the session lets Python sources do so: that is switched on here."""
     spark.dataSource.register(TreeSource)
-    files = spark.read.format("source_tree").options(**options).load(path)
-    return files.withColumns({"language": scan.language(F.col("rel_path")), "text": X.decoded(F.col("content"))})
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("source_tree").options(**options).load(path)
+
+
+def read_tree(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """(rel_path, size, language, content, error, text): every eligible file; ``text`` is null where the bytes aren't UTF-8.
+
+    Filters on path, size and language decide which folders are entered and which files are opened.
+    """
+    return _loaded(spark, path, options).withColumn("text", X.decoded(F.col("content")))
 
 
 def list_tree(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """(rel_path, size): every eligible file, without opening any."""
-    spark.dataSource.register(TreeSource)
-    return spark.read.format("source_tree").options(**options, contents="false").load(path).select("rel_path", "size")
+    """(rel_path, size, language): every eligible file, without opening any."""
+    return _loaded(spark, path, options | {"contents": "false"}).select("rel_path", "size", "language")

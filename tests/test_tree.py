@@ -7,12 +7,14 @@ import os
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
 from quarryline import api
 from quarryline.functions import vectors as V
 from quarryline.operators import chunking, index, remote, scan, search
 from quarryline.sources import sinks
+from quarryline.sources import tree as tree_source
 from quarryline.sources.store import ChunkStore, StoreMismatch, pack_vectors, unpack_vectors
 from quarryline.sources.tree import list_tree, read_tree
 from quarryline.streaming.incremental import index_stream
@@ -158,6 +160,88 @@ def test_listing_opens_no_file(spark, tree):
     assert listed == {r["rel_path"]: r["size"] for r in read_tree(spark, str(tree)).collect()}
 
 
+def walked(root, **kept):
+    """Eligible files by a plain walk."""
+    out = {}
+    for folder, below, names in os.walk(root):
+        below[:] = [d for d in below if d not in scan.SKIPPED and not d.startswith(".backup-")]
+        for name in names:
+            path = os.path.join(folder, name)
+            suffix = name[name.rindex(".") :].lower() if "." in name else ""
+            if suffix in scan.LANGUAGES and not os.path.islink(path) and os.path.getsize(path) <= scan.MAX_FILE_BYTES:
+                out[os.path.relpath(path, root)] = os.path.getsize(path)
+    return out
+
+
+@pytest.fixture
+def wide(tmp_path):
+    """Folders of many depths and a folder of many files."""
+    root = tmp_path / "wide"
+    for k in range(400):
+        at = root / "/".join(f"d{(k >> j) % 3}" for j in range(k % 6))
+        at.mkdir(parents=True, exist_ok=True)
+        (at / f"f{k}.{('py', 'go', 'txt', 'md')[k % 4]}").write_text("x\n" * (k % 50))
+    return root
+
+
+@pytest.mark.parametrize("folders", ["1", "3", "20", "100000"])
+def test_walk_is_shared_out_by_folders(spark, wide, folders):
+    want = walked(wide)
+    got = list_tree(spark, str(wide), folders=folders, files="10", tasks="7").collect()
+    assert {r["rel_path"]: r["size"] for r in got} == want and len(got) == len(want)
+    reader = tree_source._Reader({"path": str(wide), "folders": folders, "files": "10", "tasks": "7"})
+    units = [u for p in reader.partitions() for u in p.units]
+    assert len(units) <= int(folders) + 3 + 40 and not any(name in str(units) for name in want if name.count("/") == 0)
+    assert all(os.path.isdir(wide / u[0]) for u in units)
+
+
+def opened(monkeypatch, root, filters, **options):
+    """The files that a reader with these filters opens, all in this process."""
+    seen = []
+    monkeypatch.setattr(tree_source._Reader, "_content", lambda self, path: (seen.append(path), (b"", None))[1])
+    reader = tree_source._Reader({"path": str(root), **options})
+    assert list(reader.pushFilters(filters)) == []
+    for p in reader.partitions():
+        list(reader.read(p))
+    return sorted(seen)
+
+
+def test_only_wanted_files_are_opened(monkeypatch, wide):
+    every, at = walked(wide), ("rel_path",)
+    paths = sorted(every)
+    assert opened(monkeypatch, wide, []) == paths
+    assert opened(monkeypatch, wide, [], contents="false") == []
+    assert opened(monkeypatch, wide, [ds.EqualTo(("language",), "go")]) == [p for p in paths if p.endswith(".go")]
+    assert opened(monkeypatch, wide, [ds.In(("language",), ("go", "markdown")), ds.LessThan(("size",), 20)]) == [p for p in paths if p.endswith((".go", ".md")) and every[p] < 20]
+    for cut in (paths[0], paths[57], "d1", "d1/", "d1/d2/f", paths[-1]):
+        assert opened(monkeypatch, wide, [ds.LessThanOrEqual(at, cut)]) == [p for p in paths if p <= cut]
+        assert opened(monkeypatch, wide, [ds.LessThan(at, cut)]) == [p for p in paths if p < cut]
+        assert opened(monkeypatch, wide, [ds.GreaterThan(at, cut)]) == [p for p in paths if p > cut]
+        assert opened(monkeypatch, wide, [ds.GreaterThanOrEqual(at, cut)]) == [p for p in paths if p >= cut]
+        assert opened(monkeypatch, wide, [ds.StringStartsWith(at, cut)]) == [p for p in paths if p.startswith(cut)]
+        assert opened(monkeypatch, wide, [ds.EqualTo(at, cut)]) == [p for p in paths if p == cut]
+    left = [ds.EqualNullSafe(at, "x"), ds.EqualTo(("content",), b"")]
+    assert list(tree_source._Reader({"path": str(wide)}).pushFilters(left)) == left
+
+
+def test_folders_beyond_a_bound_are_not_entered(monkeypatch, wide):
+    looked = []
+    real = os.scandir
+    monkeypatch.setattr(tree_source.os, "scandir", lambda p: (looked.append(os.path.relpath(p, wide)), real(p))[1])
+    opened(monkeypatch, wide, [ds.LessThanOrEqual(("rel_path",), "d0/f")])
+    assert looked and all(p == "." or p.startswith("d0") for p in looked)
+
+
+def test_filters_reach_the_source(spark, wide):
+    every = walked(wide)
+    got = read_tree(spark, str(wide)).where("language = 'go' AND rel_path <= 'd1/f' AND size < 40 AND text IS NOT NULL")
+    assert {r["rel_path"] for r in got.collect()} == {p for p, n in every.items() if p.endswith(".go") and p <= "d1/f" and n < 40}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "source_tree" in plan and not any(x in plan for x in ("= go", "<= d1/f", "< 40"))  # only the filter on text is left above the scan
+    result = api.analyze(spark, str(wide), most=200)
+    assert result.truncated and result.scanned_files == sum(sum(every[q] for q in sorted(every)[: k + 1]) <= 200 for k in range(len(every)))
+
+
 def test_unreachable_server(spark):
     wanted = spark.createDataFrame([("m",)], "name string")
     assert "can't reach" in remote.readiness(wanted, None, "http://localhost:1").first()["message"]
