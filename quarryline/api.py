@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.operators import chunking, index, report, scan, search, secrets
 from quarryline.sources import git, staging
-from quarryline.sources.store import ChunkStore
+from quarryline.sources.store import PART, ChunkStore
 from quarryline.sources.tree import list_tree, read_tree
 
 
@@ -34,20 +34,18 @@ def analyze(spark: SparkSession, path: str, fail_on: str = "high", most: int = s
     return Analysis(found, scanned, scanned < listed.count(), report.gate(found, fail_on))
 
 
-def index_tree(spark: SparkSession, path: str, store_folder: str, embedder: index.Embedder | None = None, model: str = "hashing-64", batch: int = index.BATCH) -> dict[str, int]:
+def index_tree(spark: SparkSession, path: str, store_folder: str, embedder: index.Embedder | None = None, model: str = "hashing-64", batch: int = index.BATCH, part: int = PART) -> dict[str, int]:
     """Adds a tree's new chunks to a store; counts of files, chunks, unchanged, embedded and failed ones."""
     embedder = embedder or index.hashing_embedder()
     store = ChunkStore(spark, store_folder, model, len(embedder(["hello"])[0]))
-    files = read_tree(spark, git.root(path))
-    chunks = chunking.chunk_lines(files.select("rel_path", "language", "text"))
-    stats = chunking.corpus_stats(files, chunks).first()
-    fresh = index.new_chunks(chunks, store.chunks())
-    done = index.embed(fresh, embedder, batch).persist()
-    by = {r["status"]: r["n"] for r in index.index_counts(done).collect()}
-    store.add(done)
+    seen = Observation("files")
+    files = read_tree(spark, git.root(path)).observe(seen, F.count(F.lit(1)).alias("n"))
+    # The tree is read once: written chunks serve the counts, the look into the store and the model.
+    chunks = staging.table(chunking.chunk_lines(files.select("rel_path", "language", "text")), "chunks")
+    total = chunks.count()
+    done = store.fill(chunks, embedder, batch, part)
     store.mark_indexed(git.head(path))
-    done.unpersist()
-    return {"files": stats["files"], "chunks": stats["chunks"], "unchanged": stats["chunks"] - sum(by.values()), "embedded": by.get("embedded", 0), "failed": by.get("failed", 0)}
+    return {"files": seen.get["n"], "chunks": total, "unchanged": total - sum(done.values()), **done}
 
 
 def search_store(spark: SparkSession, store_folder: str, query: str, k: int = 10, languages: list[str] | None = None, embedder: index.Embedder | None = None, model: str = "hashing-64") -> DataFrame:
@@ -55,4 +53,4 @@ def search_store(spark: SparkSession, store_folder: str, query: str, k: int = 10
     if not query.strip():
         raise ValueError("an empty query")
     vector = (embedder or index.hashing_embedder())([query.strip()])[0]
-    return search.search(ChunkStore(spark, store_folder, model, len(vector)).chunks(), vector, k, languages).orderBy("rank").withColumn("query", F.lit(query.strip()))
+    return search.search(ChunkStore(spark, store_folder, model, len(vector)).chunks(), vector, k, languages, norm="norm").orderBy("rank").withColumn("query", F.lit(query.strip()))

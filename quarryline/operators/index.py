@@ -61,15 +61,40 @@ def hashing_embedder(dim: int = 64) -> Embedder:
     return embed
 
 
+def _model_batches(parts: Iterator[pa.RecordBatch], batch: int) -> Iterator[pa.RecordBatch]:
+    """The rows again, one model batch at a time: those of one number in ``batch`` if there is that column, else ``batch`` rows that follow each other."""
+    held: list[pa.RecordBatch] = []
+    now, seen = None, 0
+    for part in parts:
+        if "batch" in part.schema.names:
+            numbers = part.column("batch").to_numpy(zero_copy_only=False)
+        else:
+            numbers, seen = np.arange(seen, seen + part.num_rows) // batch, seen + part.num_rows
+        cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), part.num_rows]
+        for at, to in zip(cuts, cuts[1:]):
+            if at == to:
+                continue
+            if held and numbers[at] != now:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            now = numbers[at]
+            held.append(part.slice(at, to - at))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def embed(chunks: DataFrame, embedder: Embedder, batch: int = BATCH, text: str = "content_text") -> DataFrame:
     """Adds ``embedding``, ``status`` ("embedded" or "failed") and ``error``.
 
-    Texts go to the model in batches, in order; where a batch fails or returns another
+    Texts go to the model in the batches that ``batches`` has numbered, wherever its
+    columns are there, and else in runs of ``batch`` rows. Where a batch fails or returns another
     number of vectors, its texts are tried one by one, and only those that fail alone
     are marked.
     """
     if batch < 1:
         raise ValueError("a batch needs at least one row")
+    if {"batch", "place"} <= set(chunks.columns):
+        chunks = chunks.repartition("batch").sortWithinPartitions("batch", "place")
     rows = chunks.withColumn("__input", embed_input(F.col(text)))
     names = [f.name for f in chunks.schema.fields]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema.fields), "embedding array<float>, status string, error string"])
@@ -81,24 +106,20 @@ def embed(chunks: DataFrame, embedder: Embedder, batch: int = BATCH, text: str =
         return got
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            inputs = part.column(part.schema.names.index("__input")).to_pylist()
-            vectors, errors = [], []
-            for at in range(0, len(inputs), batch):
-                some = inputs[at : at + batch]
-                try:
-                    vectors += one(some)
-                    errors += [None] * len(some)
-                except Exception:  # a batch that fails is retried text by text
-                    for text_ in some:
-                        try:
-                            vectors += one([text_])
-                            errors.append(None)
-                        except Exception as e:
-                            vectors.append(None)
-                            errors.append(str(e))
+        for some in _model_batches(parts, batch):
+            inputs, vectors, errors = some.column("__input").to_pylist(), [], []
+            try:
+                vectors, errors = one(inputs), [None] * len(inputs)
+            except Exception:  # a batch that fails is retried text by text
+                for text_ in inputs:
+                    try:
+                        vectors += one([text_])
+                        errors.append(None)
+                    except Exception as e:
+                        vectors.append(None)
+                        errors.append(str(e))
             made = [pa.array(vectors, pa.list_(pa.float32())), pa.array(["failed" if e is not None else "embedded" for e in errors]), pa.array(errors, pa.string())]
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *made], [*names, "embedding", "status", "error"])
+            yield pa.RecordBatch.from_arrays([*(some.column(n) for n in names), *made], [*names, "embedding", "status", "error"])
 
     return rows.mapInArrow(run, schema)
 

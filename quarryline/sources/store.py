@@ -1,28 +1,40 @@
-"""The chunk store: Parquet by language, and a manifest that commits model and dimension."""
+"""The chunk store: Parquet in buckets of content hashes below languages, and a manifest that commits model and dimension."""
 
 from __future__ import annotations
 
+import fcntl
+import hashlib
 import json
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import UTC, datetime
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.functions import vectors as V
 from quarryline.operators import index
+from quarryline.sources import staging
 
 SCHEMA = (
     "content_hash string, rel_path string, kind string, line_start int, line_end int, content_text string,"
-    " embedding array<float>, created_at timestamp, language string"
+    " embedding array<float>, norm double, created_at timestamp, language string"
 )
-VERSION = 1
+VERSION = 2
+#: Buckets of a new store, and batches that are stored together.
+BUCKETS, PART = 16, 4096
 
 
 class StoreMismatch(ValueError):
-    """The store holds vectors of another model or dimension."""
+    """The store holds vectors of another model or dimension, or has another layout."""
+
+
+class StoreBusy(RuntimeError):
+    """Another process adds to the store."""
 
 
 def write_json(path: str | Path, value: object) -> None:
@@ -34,16 +46,24 @@ def write_json(path: str | Path, value: object) -> None:
 
 
 class ChunkStore:
-    """A store in a folder that the driver and the executors reach by the same path."""
+    """A store in a folder that the driver and the executors reach by the same path.
+
+    Rows lie in ``buckets`` buckets by their hash, a number that the manifest keeps, so a
+    look for known hashes moves the new chunks to the buckets and leaves the store where
+    it is. Choose it by the size to come: a bucket is read by one task.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str, model: str, dim: int):
-        self.spark, self.folder = spark, Path(folder)
-        self.folder.mkdir(parents=True, exist_ok=True)
+    def __init__(self, spark: SparkSession, folder: str, model: str, dim: int, buckets: int = BUCKETS):
+        self.spark, self.folder = spark, Path(folder).resolve()
+        (self.folder / "chunks").mkdir(parents=True, exist_ok=True)
         known = self.manifest()
         if known and (known.get("model"), known.get("dim")) != (model, dim):
             raise StoreMismatch(f"the store holds {known.get('model')} vectors of {known.get('dim')} numbers, not {model} of {dim}")
+        if known and known.get("schema_version") != VERSION:
+            raise StoreMismatch(f"the store has the layout of version {known.get('schema_version')}, not {VERSION}: index the tree anew")
         if not known:
-            write_json(self.folder / "manifest.json", {"schema_version": VERSION, "model": model, "dim": dim, "created_at": _now(), "last_indexed_sha": "", "last_indexed_at": ""})
+            write_json(self.folder / "manifest.json", {"schema_version": VERSION, "model": model, "dim": dim, "buckets": buckets, "created_at": _now(), "last_indexed_sha": "", "last_indexed_at": ""})
+        self.buckets = self.manifest()["buckets"]
 
     def manifest(self) -> dict:
         """Empty if there is none or it can't be read; it is then written anew."""
@@ -53,20 +73,60 @@ class ChunkStore:
             return {}
         return found if isinstance(found, dict) else {}
 
+    def _table(self) -> str:
+        """The name by which this session knows the folder's rows, with the language folders that are there now."""
+        name = "chunks_" + hashlib.sha256(str(self.folder).encode()).hexdigest()[:24]
+        if not self.spark.catalog.tableExists(name):
+            at = str(self.folder / "chunks").replace("'", "\\'")
+            self.spark.sql(f"CREATE TABLE {name} ({SCHEMA}) USING parquet PARTITIONED BY (language) CLUSTERED BY (content_hash) INTO {self.buckets} BUCKETS LOCATION '{at}'")
+        self.spark.catalog.recoverPartitions(name)
+        self.spark.catalog.refreshTable(name)
+        return name
+
     def chunks(self) -> DataFrame:
-        """The stored rows; a filter on ``language`` reads its folders only."""
-        path = self.folder / "chunks"
-        if not path.exists():
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(str(path))
+        """The stored rows; a filter on ``language`` reads its folders only, and a join by ``content_hash`` doesn't move them."""
+        return self.spark.table(self._table())
 
     def count(self) -> int:
         return self.chunks().count()
 
+    @contextmanager
+    def _adding(self) -> Iterator[None]:
+        """One writer at a time looks for known hashes and appends; the lock goes with its process, however that ends."""
+        with open(self.folder / "lock", "w") as f:
+            try:
+                fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+            except OSError:
+                raise StoreBusy(f"another process adds to {self.folder}") from None
+            yield
+
+    def _append(self, embedded: DataFrame) -> None:
+        rows = embedded.where("status = 'embedded'").withColumns({"created_at": F.current_timestamp(), "norm": V.norm(F.col("embedding"))})
+        name = self._table()
+        rows.select(*self.spark.table(name).columns).repartition(self.buckets, "content_hash").write.insertInto(name)
+
     def add(self, embedded: DataFrame) -> None:
         """Appends embedded rows whose hash isn't stored. Run again after a failure, it adds what is missing."""
-        rows = index.new_chunks(embedded.where("status = 'embedded'"), self.chunks())
-        rows.withColumn("created_at", F.current_timestamp()).select("content_hash", "rel_path", "kind", "line_start", "line_end", "content_text", "embedding", "created_at", "language").write.mode("append").partitionBy("language").parquet(str(self.folder / "chunks"))
+        with self._adding():
+            self._append(index.new_chunks(embedded, self.chunks()))
+
+    def fill(self, chunks: DataFrame, embedder: index.Embedder, batch: int = index.BATCH, part: int = PART) -> dict[str, int]:
+        """Embeds and stores the chunks whose hash isn't stored, ``part`` batches at a time; the numbers that were embedded and that failed.
+
+        Each part is stored when it is done. A run that stops has stored the parts before,
+        and the next one takes up the rest; a lost executor costs its own batches.
+        """
+        with self._adding():
+            fresh = index.batches(index.new_chunks(chunks, self.chunks()), batch).withColumn("part", F.floor(F.col("batch") / part))
+            path, done = staging.write(fresh, "parts", "part"), {"embedded": 0, "failed": 0}
+            last = self.spark.read.schema(fresh.schema).parquet(path).agg(F.max("part")).first()[0]
+            for k in range(last + 1 if last is not None else 0):
+                seen = Observation(f"part-{k}")
+                rows = index.embed(self.spark.read.schema(fresh.drop("part").schema).parquet(f"{path}/part={k}"), embedder, batch)
+                self._append(rows.observe(seen, *[F.count_if(F.col("status") == s).alias(s) for s in done]))
+                done = {s: n + seen.get[s] for s, n in done.items()}
+            staging.drop(self.spark, path)
+        return done
 
     def mark_indexed(self, sha: str) -> None:
         """Only after a run that is complete, or that had nothing to do."""

@@ -16,7 +16,6 @@ def index_stream(files: DataFrame, store: ChunkStore, embedder: index.Embedder,
     """
 
     def add(batch_df: DataFrame, _: int) -> None:
-        fresh = index.new_chunks(chunking.chunk_lines(batch_df), store.chunks())
-        store.add(index.embed(fresh, embedder, batch))
+        store.fill(chunking.chunk_lines(batch_df), embedder, batch)
 
     return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -15,7 +15,7 @@ from quarryline.functions import vectors as V
 from quarryline.operators import chunking, index, remote, scan, search
 from quarryline.sources import sinks
 from quarryline.sources import tree as tree_source
-from quarryline.sources.store import ChunkStore, StoreMismatch, pack_vectors, unpack_vectors
+from quarryline.sources.store import ChunkStore, StoreBusy, StoreMismatch, pack_vectors, unpack_vectors
 from quarryline.sources.tree import list_tree, read_tree
 from quarryline.streaming.incremental import index_stream
 
@@ -109,8 +109,78 @@ def test_stream(spark, tmp_path):
     assert store.count() == 2
 
 
+def _chunks(spark, n, first=0):
+    rows = spark.range(first, first + n).selectExpr("sha2(cast(id AS string), 256) AS content_hash", "concat('f', id % 7, '.py') AS rel_path", "'lines' AS kind", "cast(id AS int) AS line_start", "cast(id AS int) AS line_end", "concat('word', id, ' text') AS content_text", "'python' AS language")
+    return rows
+
+
+def test_a_stopped_run_keeps_its_parts(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"), "hashing-64", 64)
+    model, calls = index.hashing_embedder(), spark.sparkContext.accumulator(0)
+    order = [r["content_text"] for r in _chunks(spark, 100).orderBy("rel_path", "line_start", "content_hash").collect()]
+
+    def stops(texts):
+        if order[70] in texts:
+            raise SystemExit("the power went")
+        calls.add(len(texts))
+        return model(texts)
+
+    def counts(texts):
+        calls.add(len(texts))
+        assert texts == order[order.index(texts[0]) :][: len(texts)] and len(texts) in (4, 1)
+        return model(texts)
+
+    with pytest.raises(Exception, match="power|worker|exit"):
+        store.fill(_chunks(spark, 100), stops, batch=4, part=5)
+    assert store.count() == 60  # three whole parts of 5 batches of 4
+    before = calls.value
+    assert store.fill(_chunks(spark, 100), counts, batch=4, part=5) == {"embedded": 40, "failed": 0}
+    assert calls.value - before == 40 and store.count() == 100
+    assert store.fill(_chunks(spark, 100), counts) == {"embedded": 0, "failed": 0}
+
+
+def test_the_store_stays_where_it_is(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "it's a store"), "hashing-64", 64, buckets=5)
+    assert store.count() == 0
+    store.fill(_chunks(spark, 300), index.hashing_embedder())
+    store.add(index.embed(_chunks(spark, 400), index.hashing_embedder()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fresh = index.new_chunks(_chunks(spark, 500), store.chunks())
+        assert fresh.count() == 100
+        text = fresh._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = text.split("\n")
+    scan_at = next(i for i, x in enumerate(lines) if "FileScan parquet" in x and "content_hash" in x)
+    indent, above = len(lines[scan_at]) - len(lines[scan_at].lstrip(" :+-*()0123456789")), []
+    for x in reversed(lines[:scan_at]):
+        here = len(x) - len(x.lstrip(" :+-*()0123456789"))
+        if here < indent:
+            indent = here
+            above.append(x)
+    assert "Bucketed: true" in lines[scan_at] and above and not any("Exchange" in x for x in above)
+    other = ChunkStore(spark.newSession(), str(tmp_path / "it's a store"), "hashing-64", 64)
+    assert other.buckets == 5 and other.count() == 400
+    with store._adding(), pytest.raises(StoreBusy):
+        other.add(index.embed(_chunks(spark, 1), index.hashing_embedder()))
+
+
+def test_search_reads_texts_of_the_found_only(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"), "hashing-64", 64)
+    store.fill(_chunks(spark, 200), index.hashing_embedder())
+    vector = index.hashing_embedder()(["word17 text"])[0]
+    plan = search.scored(store.chunks(), vector, 3, norm="norm")._jdf.queryExecution().executedPlan().toString()
+    assert "content_text" not in plan and "embedding" in plan
+    got = search.search(store.chunks(), vector, 3, norm="norm").orderBy("rank").collect()
+    plain = search.search(store.chunks(), vector, 3).orderBy("rank").collect()
+    assert got[0]["content_text"] == "word17 text" and round(got[0]["score"], 6) == 1 and [r["content_hash"] for r in got] == [r["content_hash"] for r in plain]
+    found = search.search(store.chunks(), vector, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(content_hash" in found
+
+
 def test_search_edges(spark):
-    rows = [("a", [1.0, 0.0]), ("b", [-1.0, 0.0]), ("c", [0.0, 2.0]), ("d", [0.0, 0.0]), ("e", [1.0]), ("f", [2.0, 0.0])]
+    rows = [("g", [1.0, float("nan")]), ("h", [None, 1.0]), ("i", None), ("a", [1.0, 0.0]), ("b", [-1.0, 0.0]), ("c", [0.0, 2.0]), ("d", [0.0, 0.0]), ("e", [1.0]), ("f", [2.0, 0.0])]
     store = spark.createDataFrame([(k, "go", v) for k, v in rows], "content_hash string, language string, embedding array<float>")
     got = search.search(store, [1.0, 0.0], 10).orderBy("rank").collect()
     assert [(r["content_hash"], round(r["score"], 6)) for r in got] == [("a", 1.0), ("f", 1.0), ("c", 0.0), ("b", -1.0)]
