@@ -26,8 +26,8 @@ from quarryline.llm.batches import pieces
 LEAST, WORDS, TOP = 100, 5, 2000
 #: Sizes of n-grams that share a sketch, in the order of the passes; each needs the ones before.
 LEVELS = ((1,), (2,), (3, 4, 5))
-#: Rows of a sketch; cells of a row are a power of two near an eighth of the words, between these two: at most 128 MB a worker and 4 MB of bits.
-ROWS, FEWEST, MOST = 4, 1 << 20, 1 << 23
+#: Rows of a sketch; cells of a row are a power of two near a 32nd of the words, between these two: 16 to 256 MB a worker, and 2 to 32 MB of bits.
+ROWS, FEWEST, MOST = 2, 1 << 23, 1 << 27
 #: Cells of a slice, the piece in which sketches are merged.
 SLICE = 1 << 16
 #: Rows and bytes of texts that are counted at once.
@@ -136,35 +136,40 @@ def _sketch(docs: DataFrame, sizes: tuple[int, ...], done: Broadcast, cells: int
     Counts are cut at ``least`` when they leave a task; sums of cut counts reach ``least`` just
     where the whole sums do.
     """
-    width = "u1" if least < 256 else "<u4"
+    width, sparse = np.dtype("u1" if least < 256 else "<u4"), SLICE // 8
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters, counts = _Filters(done.value, cells), None
         for batch in _texts(batches):
-            counts = np.zeros((ROWS, cells), np.uint32) if counts is None else counts
+            counts = np.zeros((ROWS, cells), width) if counts is None else counts
             for k, h, where in filters.alive(batch, sizes):
                 if k in sizes:
-                    some = h[where]
-                    for row in range(ROWS):
-                        np.add.at(counts[row], _cells(some, row, cells), 1)
-            np.minimum(counts, 1 << 31, out=counts)
+                    some, n = np.unique(h[where], return_counts=True)
+                    for row in range(ROWS if len(some) else 0):
+                        cell = _cells(some, row, cells)
+                        order = np.argsort(cell)
+                        cell, first = np.unique(cell[order], return_index=True)
+                        counts[row][cell] = np.minimum(counts[row][cell] + np.add.reduceat(n[order], first), least)
         if counts is None:
             return
         for at, part in enumerate(counts.reshape(-1, SLICE)):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.minimum(part, least).astype(width).tobytes()], pa.binary())], ["slice", "cells"])
+            where = np.flatnonzero(part)
+            if len(where):
+                # Places of 16 bits and their counts, or all counts where many are set.
+                packed = [where.astype("<u2").tobytes(), part[where].tobytes()] if len(where) < sparse else [b"", part.tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], ["slice", "places", "cells"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for at, part in zip(b.column("slice").to_pylist(), b.column("cells")):
-                held = sums.setdefault(at, np.zeros(SLICE, np.uint32))
-                held += np.frombuffer(part.as_buffer(), width)
+            for at, places, part in zip(b.column("slice").to_pylist(), b.column("places"), b.column("cells")):
+                held = sums.setdefault(at, np.zeros(SLICE, np.uint64))
+                held[np.frombuffer(places.as_buffer(), "<u2") if places.as_buffer().size else slice(None)] += np.frombuffer(part.as_buffer(), width)
                 np.minimum(held, least, out=held)
         for at, held in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(held >= least, bitorder="little").tobytes()], pa.binary())], ["slice", "bits"])
 
-    parts = docs.mapInArrow(count, "slice int, cells binary").repartition("slice").mapInArrow(merge, "slice int, bits binary")
+    parts = docs.mapInArrow(count, "slice int, places binary, cells binary").repartition("slice").mapInArrow(merge, "slice int, bits binary")
     out = bytearray(ROWS * cells // 8)
     for r in parts.collect():  # ROWS * cells bits at most
         out[r["slice"] * SLICE // 8 : (r["slice"] + 1) * SLICE // 8] = r["bits"]
@@ -209,7 +214,7 @@ def counts(docs: DataFrame, least: int = LEAST, cells: int | None = None) -> Dat
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     if cells is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        cells = min(MOST, max(FEWEST, 1 << (size // 48).bit_length()))
+        cells = min(MOST, max(FEWEST, 1 << (size // 192).bit_length()))
     if cells < SLICE or cells & (cells - 1):
         raise ValueError(f"the cells of a row must be a power of two, {SLICE} at least")
     context, bits = docs.sparkSession.sparkContext, []
