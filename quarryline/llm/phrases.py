@@ -32,6 +32,8 @@ ROWS, FEWEST, MOST = 2, 1 << 23, 1 << 27
 SLICE = 1 << 16
 #: Rows and bytes of texts that are counted at once.
 BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
+#: Phrases whose counts a task holds before it hands them on.
+HELD = 500_000
 #: Shares in which a language's phrases are ranked before the last ranking sees the best of each.
 SHARES = 32
 
@@ -180,25 +182,34 @@ def _exact(docs: DataFrame, done: Broadcast, cells: int) -> DataFrame:
     """(lang, words, phrase, n): counts of the surviving n-grams, and of all words as ``words`` 0; phrases are told apart by their words, not by hashes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = _Filters(done.value, cells)
+        filters, seen = _Filters(done.value, cells), {}
         for batch in _texts(batches):
-            seen = np.bincount(batch.lang, minlength=len(batch.langs))
-            yield _rows(batch.langs, [0] * len(seen), [""] * len(seen), seen)
-            before, ids = None, batch.lang
+            for lang, n in zip(batch.langs, np.bincount(batch.lang, minlength=len(batch.langs)).tolist()):
+                held = seen.setdefault((lang, 0), {})
+                held[b""] = held.get(b"", 0) + n
+            ids = batch.lang
             for k, _, where in filters.alive(batch, (WORDS,)):
                 at = np.flatnonzero(where)
                 if not len(at):
                     break
                 # The number of the first k - 1 words, and the word after them.
                 key = ids[at] << 32 | batch.word[at + k - 1]
-                _, first, number, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+                _, first, number, counted = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
                 ids = np.full(len(batch.word), -1, np.int64)
                 ids[at] = number
                 words = [list(map(batch.names.__getitem__, batch.word[at[first] + j].tolist())) for j in range(k)]
-                yield _rows([batch.langs[x] for x in batch.lang[at[first]]], [k] * len(n), [b" ".join(w).decode() for w in zip(*words)], n)
-
-    def _rows(langs: list[str], words: list[int], phrases: list[str], n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.int32()), pa.array(phrases, pa.string()), pa.array(n, pa.int64())], ["lang", "words", "phrase", "n"])
+                for lang, phrase, n in zip(batch.lang[at[first]].tolist(), map(b" ".join, zip(*words)), counted.tolist()):
+                    held = seen.setdefault((batch.langs[lang], k), {})
+                    held[phrase] = held.get(phrase, 0) + n
+            if sum(map(len, seen.values())) > HELD:
+                yield from rows(seen)
+                seen = {}
+        yield from rows(seen)
+
+    def rows(seen: dict[tuple[str, int], dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+        for (lang, k), held in seen.items():
+            columns = [pa.array([lang] * len(held), pa.string()), pa.array([k] * len(held), pa.int32()), pa.array(map(bytes.decode, held), pa.string()), pa.array(held.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "phrase", "n"])
 
     return docs.mapInArrow(count, "lang string, words int, phrase string, n long").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
 
