@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import paths as P
@@ -36,6 +36,58 @@ def patch_files(patches: DataFrame) -> DataFrame:
     return files.join(bad, "patch_id").select("patch_id", "path", "first_pos", "unsafe")
 
 
+_HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+
+
+def hunk_lines(patches: DataFrame) -> DataFrame:
+    """(patch_id, pos, hunk, path, creates, kind, old_line, text): the lines inside hunks, kind "context", "delete" or "add".
+
+    A hunk holds as many lines as its header counts, so text in it that looks like a
+    header isn't one. ``old_line`` is the line's number in the file as it was, null for added
+    ones; ``path`` is the new name, or the old one of a file that goes; ``creates`` is true
+    where there was none.
+    """
+    upto = Window.partitionBy("patch_id").orderBy("pos")
+    inside = Window.partitionBy("patch_id", "hunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    part = lambda k: F.regexp_extract("line", _HUNK, k)
+    count = lambda k: F.when(part(k) == "", 1).otherwise(part(k).try_cast("int"))
+    header = F.col("line").rlike(_HUNK)
+    rows = _lines(patches).withColumn("hunk", F.count_if(header).over(upto))
+    first = lambda c: F.first(c).over(Window.partitionBy("patch_id", "hunk").orderBy("pos"))
+    sign = F.left("line", F.lit(1))
+    before = lambda *signs: F.coalesce(F.count_if(sign.isin(*signs) & ~header).over(inside), F.lit(0))
+    rows = rows.withColumns({"__old": before(" ", "-", ""), "__new": before(" ", "+", ""), "__at": first(part(1).try_cast("int")), "__olds": first(count(2)), "__news": first(count(4))})
+    body = (F.col("hunk") > 0) & ~header & ((F.col("__old") < F.col("__olds")) | (F.col("__new") < F.col("__news")))
+    name = lambda c: F.when(~F.col("__body") & F.col("line").startswith(c), X.trimmed(F.regexp_replace(F.regexp_replace(F.substring("line", 5, 1 << 30), "^[ab]/", ""), r"^([^\t]+)\t[\s\S]*\z", "$1")))
+    rows = rows.withColumn("__body", body)
+    named = rows.withColumns({"__from": F.last(name("--- "), ignorenulls=True).over(upto), "__to": F.last(name("+++ "), ignorenulls=True).over(upto)})
+    kept = named.where(F.col("__body") & ~F.col("line").startswith("\\"))
+    kind = F.when(sign == "+", "add").when(sign == "-", "delete").otherwise("context")
+    return kept.select(
+        "patch_id", "pos", "hunk", F.when(F.col("__to") == "/dev/null", F.col("__from")).otherwise(F.col("__to")).alias("path"), (F.col("__from") == "/dev/null").alias("creates"),
+        kind.alias("kind"), F.when(sign != "+", F.col("__at") + F.col("__old")).cast("int").alias("old_line"), F.substring("line", 2, 1 << 30).alias("text"),
+    )
+
+
+def applicable(patches: DataFrame, files: DataFrame) -> DataFrame:
+    """(patch_id, verdict, path, line): as ``verdicts``, and "doesn't apply" with the first line of the patch that the files (path, text) don't bear out.
+
+    Old lines must stand at the numbers that the hunks give; a file that is created must not
+    be there, which fails at line 0. Lines are matched by a join on path and number, and
+    only files that some patch names are cut into lines.
+    """
+    wanted = hunk_lines(patches)
+    old = wanted.where("old_line IS NOT NULL")
+    there = files.join(wanted.select("path").distinct(), "path", "left_semi")
+    lines = there.select("path", F.posexplode(F.split("text", "\n", -1)).alias("__k", "__text")).select("path", (F.col("__k") + 1).alias("old_line"), "__text")
+    missed = old.join(lines, ["path", "old_line"], "left").where(F.col("__text").isNull() | (F.col("__text") != F.col("text"))).select("patch_id", "pos", "path", "old_line")
+    made = wanted.where("creates").groupBy("patch_id", "path").agg(F.min("pos").alias("pos")).join(there.select("path"), "path", "left_semi").select("patch_id", "pos", "path", F.lit(0).alias("old_line"))
+    first = missed.unionByName(made).groupBy("patch_id").agg(F.min(F.struct("pos", "path", "old_line")).alias("__miss"))
+    said = verdicts(patches).join(first, "patch_id", "left")
+    fails = (F.col("verdict") == "ok") & F.col("__miss").isNotNull()
+    return said.select("patch_id", F.when(fails, "doesn't apply").otherwise(F.col("verdict")).alias("verdict"), F.when(fails, F.col("__miss.path")).alias("path"), F.when(fails, F.col("__miss.old_line")).alias("line"))
+
+
 def line_kind(line: Column) -> Column:
     return F.when(line.startswith("+++") | line.startswith("---") | line.startswith("diff "), "header").when(line.startswith("+"), "add").when(line.startswith("-"), "delete").otherwise("other")
 

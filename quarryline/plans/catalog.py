@@ -473,6 +473,31 @@ def patch_verdicts(spark, sf_dir):
     return patches.verdicts(fixtures.table(spark, "patches"))
 
 
+#: A patch for each document of two lines or more, to the file that it is: one line in two is changed. Some name the old line wrongly, some its place or the file, and some create a file that is there.
+_EDIT = """
+concat(CASE WHEN doc_id % 13 = 5 THEN '--- /dev/null' ELSE concat('--- a/', named) END, chr(10), '+++ b/', named, chr(10),
+       CASE WHEN doc_id % 13 = 5 THEN concat('@@ -0,0 +1 @@', chr(10), '+new') ELSE concat('@@ -', CAST(shown AS STRING), ',2 +', CAST(shown AS STRING), ',2 @@', chr(10), ' ', one, chr(10), '-', two, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE '' END, chr(10), '+', two, '!', chr(10)) END)
+"""
+_EDITED = ["doc_id", "rel_path", "concat(rel_path, CASE WHEN doc_id % 11 = 3 THEN '.gone' ELSE '' END) AS named", "ls", "1 + doc_id % (n - 1) AS spot", "1 + doc_id % (n - 1) + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS shown"]
+_FILE_LINES_SQL = f"(SELECT {', '.join(_EDITED)} FROM (SELECT *, len(ls) AS n FROM (SELECT doc_id, rel_path, string_split(text, chr(10)) AS ls FROM {FILES_SQL} f)) WHERE n > 1)"
+
+
+def document_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = files(spark, sf_dir).select("doc_id", "rel_path", F.split("text", "\n", -1).alias("ls")).withColumn("n", F.size("ls")).where("n > 1")
+    placed = lines.selectExpr(*_EDITED)
+    return placed.withColumns({"one": F.expr("ls[CAST(spot - 1 AS INT)]"), "two": F.expr("ls[CAST(spot AS INT)]")}).select(F.col("doc_id").cast("string").alias("patch_id"), F.expr(_EDIT).alias("patch"))
+
+
+@query("patch_applies", f"""
+SELECT CAST(doc_id AS VARCHAR) AS patch_id, CASE WHEN bad THEN 'doesn''t apply' ELSE 'ok' END AS verdict, CASE WHEN bad THEN named END AS path, CASE WHEN bad THEN line END AS line
+FROM (SELECT doc_id, named, doc_id % 13 = 5 AND named = rel_path OR doc_id % 13 <> 5 AND (named <> rel_path OR first_bad OR second_bad) AS bad,
+             CAST(CASE WHEN doc_id % 13 = 5 THEN 0 WHEN named <> rel_path OR first_bad THEN shown ELSE shown + 1 END AS INT) AS line
+      FROM (SELECT *, ls[shown] IS DISTINCT FROM ls[spot] AS first_bad, ls[shown + 1] IS DISTINCT FROM concat(ls[spot + 1], CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE '' END) AS second_bad FROM {_FILE_LINES_SQL} l))""")
+def patch_applies(spark, sf_dir):
+    """Patches made from every document, held against the files that the documents are."""
+    return patches.applicable(document_patches(spark, sf_dir), files(spark, sf_dir).select(F.col("rel_path").alias("path"), "text"))
+
+
 @query("patch_line_stats", f"SELECT patch_id, CASE WHEN starts_with(line, '+++') OR starts_with(line, '---') OR starts_with(line, 'diff ') THEN 'header' WHEN starts_with(line, '+') THEN 'add' WHEN starts_with(line, '-') THEN 'delete' ELSE 'other' END AS kind, count(*) AS n FROM {_PATCH_LINES} l GROUP BY ALL")
 def patch_line_stats(spark, sf_dir):
     return patches.patch_line_stats(fixtures.table(spark, "patches"))
