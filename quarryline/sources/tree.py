@@ -9,6 +9,7 @@ are listed and opened by the tasks, and only those that the pushed filters leave
 from __future__ import annotations
 
 import os
+import time
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
+    DataSourceStreamReader,
     EqualTo,
     Filter,
     GreaterThan,
@@ -99,8 +101,8 @@ class _Reader(DataSourceReader):
         low, high = folder + "/", folder + "0"  # "0" is what follows "/"
         return all(_TESTS[type(f)][1](low, high, f) for f in self.filters if f.attribute == ("rel_path",))
 
-    def _files(self, folder: str, share: int, shares: int) -> Iterator[tuple[str, int, str]]:
-        """(rel_path, size, language) of a folder's own files that are small enough, of a known language, and pass the filters."""
+    def _files(self, folder: str, share: int, shares: int) -> Iterator[tuple[str, int, str, int]]:
+        """(rel_path, size, language, time of change) of a folder's own files that are small enough, of a known language, and pass the filters."""
         try:
             with os.scandir(os.path.join(self.root, folder)) as entries:
                 for e in entries:
@@ -111,9 +113,10 @@ class _Reader(DataSourceReader):
                     row = {"rel_path": f"{folder}/{name}" if folder else name, "language": language}
                     if not self._passes(row):
                         continue
-                    row["size"] = e.stat(follow_symlinks=False).st_size
+                    known = e.stat(follow_symlinks=False)
+                    row["size"] = known.st_size
                     if row["size"] <= scan.MAX_FILE_BYTES and self._passes(row):
-                        yield row["rel_path"], row["size"], language
+                        yield row["rel_path"], row["size"], language, known.st_mtime_ns
         except OSError:
             return
 
@@ -134,7 +137,8 @@ class _Reader(DataSourceReader):
         n = max(1, min(self.tasks, len(units)))
         return [_Folders(units[k::n]) for k in range(n)]
 
-    def _walk(self, units: list[tuple[str, bool, int, int]]) -> Iterator[tuple[str, int, str]]:
+    def changes(self, units: list[tuple[str, bool, int, int]]) -> Iterator[tuple[str, int, str, int]]:
+        """(rel_path, size, language, time of change in nanoseconds) of the units' files."""
         for folder, deep, share, shares in units:
             left = [folder]
             while left:
@@ -144,8 +148,11 @@ class _Reader(DataSourceReader):
                     left += self._look(at)[0]
 
     def read(self, partition: _Folders) -> Iterator[pa.RecordBatch]:
+        return self.batches(found[:3] for found in self.changes(partition.units))
+
+    def batches(self, files: Iterable[tuple[str, int, str]]) -> Iterator[pa.RecordBatch]:
         some = []
-        for found in self._walk(partition.units):
+        for found in files:
             some.append((*found, *(self._content(found[0]) if self.contents else (None, None))))
             if len(some) == 64:
                 yield _batch(some)
@@ -167,6 +174,38 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, (_, kind) in zip(zip(*rows), kinds)], [name for name, _ in kinds])
 
 
+class _Stream(DataSourceStreamReader):
+    """Files by (time of change, path): a batch has those after the last one's end. The driver keeps the latest only, and lists no file for the tasks."""
+
+    def __init__(self, options: dict[str, str]):
+        self.settle = float(options.get("settleSeconds", 0))
+        self.reader = _Reader(options)
+
+    def initialOffset(self) -> dict:
+        return {"mtime": -1, "path": ""}
+
+    def latestOffset(self) -> dict:
+        last = (-1, "")
+        until = time.time_ns() - int(self.settle * 1e9)
+        for path, _, _, changed in self.reader.changes([("", True, 0, 1)]):
+            if last < (changed, path) and changed <= until:
+                last = (changed, path)
+        return {"mtime": last[0], "path": last[1]}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        parts = self.reader.partitions()
+        for p in parts:
+            p.span = ((start["mtime"], start["path"]), (end["mtime"], end["path"]))
+        return parts
+
+    def read(self, partition: _Folders) -> Iterator[pa.RecordBatch]:
+        after, until = partition.span
+        return self.reader.batches((path, size, language) for path, size, language, changed in self.reader.changes(partition.units) if after < (changed, path) <= until)
+
+    def commit(self, end: dict) -> None:
+        """Nothing is kept for batches that are done."""
+
+
 class TreeSource(DataSource):
     """``spark.read.format("source_tree").load(path)``; the path must be readable on the driver and the executors."""
 
@@ -180,6 +219,9 @@ class TreeSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _Stream(self.options)
+
 
 def _loaded(spark: SparkSession, path: str, options: dict[str, str]) -> DataFrame:
     """The source, which takes filters where the session lets Python sources do so: that is switched on here."""
@@ -188,6 +230,17 @@ def _loaded(spark: SparkSession, path: str, options: dict[str, str]) -> DataFram
     return spark.read.format("source_tree").options(**options).load(path)
 
 
+def stream_tree(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """``read_tree`` as a stream: each micro-batch has the files that were added or changed since the last one.
+
+    The offset is the (time of change, path) of the last file; a file that is moved in with
+    an older time isn't seen. Files changed within the last ``settleSeconds`` wait for the
+    next batch. What was read stays read across restarts, by the query's checkpoint.
+    """
+    spark.dataSource.register(TreeSource)
+    return spark.readStream.format("source_tree").options(**options).load(path).withColumn("text", X.decoded(F.col("content")))
+
+
 def read_tree(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """(rel_path, size, language, content, error, text): every eligible file; ``text`` is null where the bytes aren't UTF-8.
 

@@ -16,7 +16,7 @@ from quarryline.operators import chunking, index, remote, scan, search
 from quarryline.sources import sinks
 from quarryline.sources import tree as tree_source
 from quarryline.sources.store import ChunkStore, StoreBusy, StoreMismatch, pack_vectors, unpack_vectors
-from quarryline.sources.tree import list_tree, read_tree
+from quarryline.sources.tree import list_tree, read_tree, stream_tree
 from quarryline.streaming.incremental import index_stream
 
 
@@ -179,6 +179,38 @@ def test_search_reads_texts_of_the_found_only(spark, tmp_path):
     assert "PushedFilters: [In(content_hash" in found
 
 
+def test_a_folder_is_followed(spark, tmp_path):
+    root, opened_files = tmp_path / "code", []
+    put = lambda name, text: ((root / name).parent.mkdir(parents=True, exist_ok=True), (root / name).write_text(text))
+    for k in range(5):
+        put(f"d{k % 2}/f{k}.py", f"x = {k}\n")
+    put("d0/skip.txt", "no")
+    store = ChunkStore(spark, str(tmp_path / "store"), "hashing-64", 64)
+
+    def run():
+        files = stream_tree(spark, str(root))
+        seen = []
+        counted = files.writeStream.foreachBatch(lambda df, _: seen.extend(r["rel_path"] for r in df.select("rel_path").collect())).option("checkpointLocation", str(tmp_path / "seen")).trigger(availableNow=True).start()
+        counted.awaitTermination()
+        index_stream(files.select("rel_path", "language", "text"), store, index.hashing_embedder(), str(tmp_path / "check")).awaitTermination()
+        return sorted(seen)
+
+    assert run() == ["d0/f0.py", "d0/f2.py", "d0/f4.py", "d1/f1.py", "d1/f3.py"] and store.count() == 5
+    assert run() == [] and store.count() == 5
+    put("d1/new/f9.go", "package x\n")
+    put("d0/f0.py", "x = 'changed'\n")
+    assert run() == ["d0/f0.py", "d1/new/f9.go"] and store.count() == 7
+    # Files of one moment are told apart by their paths.
+    reader = tree_source._Stream({"path": str(root)})
+    for name in ("d0/f2.py", "d0/f4.py", "d1/f3.py"):
+        os.utime(root / name, ns=(10**18, 10**18))
+    start, end = {"mtime": 10**18, "path": "d0/f2.py"}, {"mtime": 10**18, "path": "d1/f3.py"}
+    reader.reader._content = lambda path: (opened_files.append(path), (b"", None))[1]
+    got = [p for part in reader.partitions(start, end) for b in reader.read(part) for p in b.column("rel_path").to_pylist()]
+    assert sorted(got) == sorted(opened_files) == ["d0/f4.py", "d1/f3.py"]
+    assert tree_source._Stream({"path": str(root), "settleSeconds": "3600"}).latestOffset() == {"mtime": 10**18, "path": "d1/f3.py"}
+
+
 def test_search_edges(spark):
     rows = [("g", [1.0, float("nan")]), ("h", [None, 1.0]), ("i", None), ("a", [1.0, 0.0]), ("b", [-1.0, 0.0]), ("c", [0.0, 2.0]), ("d", [0.0, 0.0]), ("e", [1.0]), ("f", [2.0, 0.0])]
     store = spark.createDataFrame([(k, "go", v) for k, v in rows], "content_hash string, language string, embedding array<float>")
