@@ -55,19 +55,24 @@ def indent(text: Column, prefix: str) -> Column:
     return F.when(text == "", "").otherwise(F.concat(F.lit(prefix), F.replace(body, F.lit("\n"), F.lit("\n" + prefix))))
 
 
-def relative_age(at: Column, as_of: Column) -> Column:
-    """"just now", minutes, hours or days before ``as_of``; from 30 days on the date."""
+def relative_age(at: Column, as_of: Column, date: Column | None = None) -> Column:
+    """"just now", minutes, hours or days before ``as_of``; from 30 days on the date, that of the session's zone where ``date`` doesn't give it."""
     seconds = F.floor((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(at.cast("timestamp"))) / 1_000_000)
     count = lambda unit, letter: F.concat(F.floor(seconds / unit).cast("long").cast("string"), F.lit(f"{letter} ago"))
     return (
         F.when(seconds < 60, "just now").when(seconds < 3600, count(60, "m")).when(seconds < 86_400, count(3600, "h"))
-        .when(seconds < 30 * 86_400, count(86_400, "d")).otherwise(F.date_format(at, "yyyy-MM-dd"))
+        .when(seconds < 30 * 86_400, count(86_400, "d")).otherwise(F.date_format(at, "yyyy-MM-dd") if date is None else date)
     )
 
 
+#: A date, a time and an offset, as RFC 3339 has them.
+STAMP = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.,][0-9]+)?(?:Z|[+-][0-9]{2}:[0-9]{2})\z"
+
+
 def relative_age_of_text(iso: Column, as_of: Column) -> Column:
-    """As ``relative_age`` for an ISO timestamp as text; what can't be parsed stays."""
-    return F.coalesce(relative_age(F.try_to_timestamp(iso), as_of), iso)
+    """As ``relative_age`` for an RFC 3339 stamp as text, whose date is that of its own offset; what isn't one stays."""
+    at = F.when(iso.rlike(STAMP), F.try_to_timestamp(F.replace(iso, F.lit(","), F.lit("."))))
+    return F.when(at.isNull(), iso).otherwise(relative_age(at, as_of, F.left(iso, F.lit(10))))
 
 
 def compact_utc(at: Column) -> Column:

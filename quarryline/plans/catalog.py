@@ -11,7 +11,7 @@ from quarryline.functions import findings as N
 from quarryline.functions import paths as P
 from quarryline.functions import text as X
 from quarryline.functions import vectors as V
-from quarryline.operators import chunking, index, patches, remote, report, scan, search, secrets
+from quarryline.operators import chunking, index, ordering, patches, remote, report, scan, search, secrets
 from quarryline.plans import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,52 @@ def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return list(row[0]) if row else []
 
 
+# ---- typed rows, and rows of the same shape that each table gives
+
+#: Relation -> (table, its columns): the rows of a table that join the typed ones of ``fixtures``; the same text serves Spark and DuckDB.
+DERIVED: dict[str, tuple[str, dict[str, str]]] = {
+    "paths": ("documents", {"path": f"concat(CASE doc_id % 7 WHEN 0 THEN '/' WHEN 1 THEN '../' WHEN 2 THEN 'up/../../' WHEN 3 THEN 'C:' WHEN 4 THEN './in/../' WHEN 5 THEN 'a' ELSE '' END, CASE doc_id % 5 WHEN 0 THEN 'x/../' ELSE '' END, {FILES})"}),
+    "report_paths": ("documents", {"path": f"concat(CASE doc_id % 6 WHEN 0 THEN '/etc/' WHEN 1 THEN '/var/../usr/bin/' WHEN 2 THEN '/tmp/../tmp/' WHEN 3 THEN './' WHEN 4 THEN '/./sys//' ELSE '' END, {FILES})"}),
+    "origins": ("pages", {"origin": "CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN concat('git@', source_host, ':', 'team/repo', CAST(page_id AS STRING), '.git') WHEN 2 THEN concat(' ', url, '.git ') WHEN 3 THEN '' ELSE concat('ssh://git@', source_host, '/o/', CAST(page_id AS STRING)) END".replace("source_host", "split_part(url, '/', 3)"), "root": "concat('/home/p', CAST(page_id AS STRING))"}),
+    "existing": ("documents", {"path": FILES}),
+    "backups": ("events", {"name": "concat(CASE event_id % 3 WHEN 0 THEN 'backup-' WHEN 1 THEN '.backup-' ELSE '.backup-old' END, CAST(20200000 + user_id AS STRING), 'T', CAST(100000 + event_id % 86400 AS STRING), 'Z')"}),
+    "entries": ("documents", {"rel_path": f"concat({FILES}, CASE doc_id % 3 WHEN 0 THEN '.was-absent' ELSE '' END)"}),
+    "sources": ("documents", {"a": "CASE doc_id % 4 WHEN 0 THEN '' ELSE concat('Owner/', source) END", "b": "CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN upper(concat('owner/', source)) WHEN 2 THEN concat('owner/', lang) ELSE concat('owner/', source) END"}),
+    "thresholds": ("events", {"threshold": FINDINGS["severity"]}),
+    "wanted": ("documents", {"name": "concat(source, CASE doc_id % 4 WHEN 0 THEN ':latest' WHEN 1 THEN ':7b' WHEN 2 THEN concat('-', lang) ELSE '' END)"}),
+    "offered": ("documents", {"name": "concat(source, CASE doc_id % 3 WHEN 0 THEN ':latest' WHEN 1 THEN ':13b' ELSE '' END)"}),
+}
+
+
+def rows_sql(name: str) -> str:
+    if name == "patches":
+        return f"(SELECT * FROM {fixtures.sql('patches')} x UNION ALL SELECT CAST(doc_id AS VARCHAR), {_EDIT.replace('STRING', 'VARCHAR')} FROM (SELECT *, ls[spot] AS one, ls[spot + 1] AS two FROM {_FILE_LINES_SQL} y) z)"
+    table, columns = DERIVED[name]
+    return f"(SELECT * FROM {fixtures.sql(name)} x UNION ALL SELECT {', '.join(columns.values()).replace('STRING', 'VARCHAR')} FROM {table})"
+
+
+def rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "patches":
+        return fixtures.table(spark, name).unionByName(document_patches(spark, sf_dir))
+    table, columns = DERIVED[name]
+    return fixtures.table(spark, name).unionByName(read(spark, sf_dir, table).select(*[F.expr(e).alias(c) for c, e in columns.items()]))
+
+
+#: A patch for each document of two lines or more, to the file that it is: one line in two is changed. Some name the old line wrongly, some its place or the file, and some create a file that is there.
+_EDIT = """
+concat(CASE WHEN doc_id % 13 = 5 THEN '--- /dev/null' ELSE concat('--- a/', named) END, chr(10), '+++ b/', named, chr(10),
+       CASE WHEN doc_id % 13 = 5 THEN concat('@@ -0,0 +1 @@', chr(10), '+new') ELSE concat('@@ -', CAST(shown AS STRING), ',2 +', CAST(shown AS STRING), ',2 @@', chr(10), ' ', one, chr(10), '-', two, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE '' END, chr(10), '+', two, '!', chr(10)) END)
+"""
+_EDITED = ["doc_id", "rel_path", "concat(rel_path, CASE WHEN doc_id % 11 = 3 THEN '.gone' ELSE '' END) AS named", "ls", "1 + doc_id % (n - 1) AS spot", "1 + doc_id % (n - 1) + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS shown"]
+_FILE_LINES_SQL = f"(SELECT {', '.join(_EDITED)} FROM (SELECT *, len(ls) AS n FROM (SELECT doc_id, rel_path, string_split(text, chr(10)) AS ls FROM {FILES_SQL} f)) WHERE n > 1)"
+
+
+def document_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = files(spark, sf_dir).select("doc_id", "rel_path", F.split("text", "\n", -1).alias("ls")).withColumn("n", F.size("ls")).where("n > 1")
+    placed = lines.selectExpr(*_EDITED)
+    return placed.withColumns({"one": F.expr("ls[CAST(spot - 1 AS INT)]"), "two": F.expr("ls[CAST(spot AS INT)]")}).select(F.col("doc_id").cast("string").alias("patch_id"), F.expr(_EDIT).alias("patch"))
+
+
 # ---- scans
 
 
@@ -120,15 +166,17 @@ def scan_size_cap(spark, sf_dir):
     return grown.where(F.col("size") <= scan.MAX_FILE_BYTES).select("doc_id", "rel_path", "size")
 
 
-@query("scan_total_cap", f"SELECT rel_path, CAST(size AS BIGINT) AS size, CAST(t AS BIGINT) AS total_bytes FROM (SELECT rel_path, size, sum(size) OVER (ORDER BY rel_path ROWS UNBOUNDED PRECEDING) AS t FROM {FILES_SQL} f) WHERE t <= {scan.MAX_TOTAL_BYTES}")
+@query("scan_total_cap", f"SELECT rel_path, CAST(size AS BIGINT) AS size, CAST(t AS BIGINT) AS total_bytes FROM (SELECT rel_path, size, sum(size) OVER (ORDER BY rel_path ROWS UNBOUNDED PRECEDING) AS t FROM {FILES_SQL} f) WHERE t <= (SELECT sum(size) // 3 FROM {FILES_SQL} g)")
 def scan_total_cap(spark, sf_dir):
-    return scan.total_cap(files(spark, sf_dir).select("rel_path", "size")).select("rel_path", "size", "total_bytes")
+    """With a bound of a third of all bytes, so that it cuts at every size."""
+    some = files(spark, sf_dir).select("rel_path", "size")
+    return scan.total_cap(some, (some.agg(F.sum("size")).first()[0] or 0) // 3).select("rel_path", "size", "total_bytes")
 
 
 @query("scan_total_cap_default", f"SELECT rel_path, CAST(size AS BIGINT) AS size, CAST(t AS BIGINT) AS total_bytes FROM (SELECT rel_path, size, sum(size) OVER (ORDER BY rel_path ROWS UNBOUNDED PRECEDING) AS t FROM {FILES_SQL} f) WHERE t <= {scan.MAX_TOTAL_BYTES}")
 def scan_total_cap_default(spark, sf_dir):
-    """The same by its former name."""
-    return scan_total_cap(spark, sf_dir)
+    """With the bound that scans have by default."""
+    return scan.total_cap(files(spark, sf_dir).select("rel_path", "size")).select("rel_path", "size", "total_bytes")
 
 
 @query("text_lines", f"SELECT doc_id, CAST(len(lines) AS INT) AS n_lines, array_to_string(lines, chr(30)) AS joined FROM (SELECT doc_id, {LINES_SQL} AS lines FROM documents)")
@@ -224,19 +272,34 @@ _HITS = " UNION ALL ".join(
 )
 
 
-@query("secret_regex", f"WITH l AS {_LINES_OF}, h AS ({_HITS}) SELECT line_id, CAST(seq AS INT) AS seq, pattern_id, severity, match FROM h WHERE NOT EXISTS (SELECT 1 FROM h k WHERE k.line_id = h.line_id AND k.seq < h.seq AND contains(k.match, h.match))")
+#: A line for each document that holds a key of one shape or another, assembled from digests, or just misses it.
+_KEYED = """
+CASE doc_id % 6 WHEN 0 THEN concat('id = AK', 'IA', upper(left(md5(CAST(doc_id AS STRING)), 16))) WHEN 1 THEN concat('t: gh', 'p_', left(sha256_hex, 36), ' end') WHEN 2 THEN concat('sk_', 'live_', left(sha256_hex, 40))
+     WHEN 3 THEN concat('heroku ', left(sha256_hex, 8), '-0000-4000-8000-', right(sha256_hex, 12)) WHEN 4 THEN concat('AK', 'IA', left(sha256_hex, 9)) ELSE left(text, 80) END
+"""
+_KEYED_SQL = f"(SELECT 'document' AS origin, doc_id AS id, CAST(0 AS INT) AS line_no, {_KEYED.replace('STRING', 'VARCHAR')} AS text FROM (SELECT *, sha256(text) AS sha256_hex FROM documents) UNION ALL SELECT 'fixture', CAST(line_id AS BIGINT), CAST(1 AS INT), text FROM {_LINES_OF} f)"
+_ALL_HITS = _HITS.replace("SELECT line_id,", "SELECT origin, id, line_no,")
+_KEPT_HITS = "SELECT origin, id, line_no, CAST(seq AS INT) AS seq, pattern_id, severity, match FROM h WHERE NOT EXISTS (SELECT 1 FROM h k WHERE k.origin = h.origin AND k.id = h.id AND k.line_no = h.line_no AND k.seq < h.seq AND contains(k.match, h.match))"
+
+
+def _fixed_lines(spark: SparkSession) -> DataFrame:
+    return fixtures.table(spark, "secret_lines").select(F.lit("fixture").alias("origin"), F.col("line_id").cast("long").alias("id"), F.lit(1).alias("line_no"), "text")
+
+
+@query("secret_regex", f"WITH l AS {_KEYED_SQL}, h AS ({_ALL_HITS}) {_KEPT_HITS}")
 def secret_regex(spark, sf_dir):
-    return secrets.by_pattern(fixtures.table(spark, "secret_lines")).select("line_id", "seq", "pattern_id", "severity", "match")
+    """The rules over a line for each document that has a key or nearly, and over the fixture's lines."""
+    keyed = read(spark, sf_dir, "documents").withColumn("sha256_hex", F.sha2("text", 256)).select(F.lit("document").alias("origin"), F.col("doc_id").alias("id"), F.lit(0).alias("line_no"), F.expr(_KEYED).alias("text"))
+    return secrets.by_pattern(_fixed_lines(spark).unionByName(keyed)).select("origin", "id", "line_no", "seq", "pattern_id", "severity", "match")
 
 
 _ALL_LINES = f"(SELECT 'fixture' AS origin, CAST(line_id AS BIGINT) AS id, CAST(1 AS INT) AS line_no, text FROM {_LINES_OF} f UNION ALL SELECT 'document', doc_id, CAST(i AS INT), lines[i] FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, {LINES_SQL} AS lines FROM documents)))"
-_ALL_HITS = _HITS.replace("SELECT line_id,", "SELECT origin, id, line_no,")
 
 
-@query("secret_regex_all", f"WITH l AS {_ALL_LINES}, h AS ({_ALL_HITS}) SELECT origin, id, line_no, CAST(seq AS INT) AS seq, pattern_id, severity, match FROM h WHERE NOT EXISTS (SELECT 1 FROM h k WHERE k.origin = h.origin AND k.id = h.id AND k.line_no = h.line_no AND k.seq < h.seq AND contains(k.match, h.match))")
+@query("secret_regex_all", f"WITH l AS {_ALL_LINES}, h AS ({_ALL_HITS}) {_KEPT_HITS}")
 def secret_regex_all(spark, sf_dir):
     """The rules over every line of every document, and over the fixture's lines."""
-    fixed = fixtures.table(spark, "secret_lines").select(F.lit("fixture").alias("origin"), F.col("line_id").cast("long").alias("id"), F.lit(1).alias("line_no"), "text")
+    fixed = _fixed_lines(spark)
     lines = read(spark, sf_dir, "documents").select(F.lit("document").alias("origin"), F.col("doc_id").alias("id"), F.posexplode(X.lines(F.col("text"))).alias("at", "text"))
     every = fixed.unionByName(lines.select("origin", "id", (F.col("at") + 1).alias("line_no"), "text"))
     return secrets.by_pattern(every).select("origin", "id", "line_no", "seq", "pattern_id", "severity", "match")
@@ -255,17 +318,12 @@ def severity_rank(spark, sf_dir):
     return findings(spark, sf_dir).select("seq", "severity", N.severity_rank(F.col("severity")).alias("severity_rank"))
 
 
-_THRESHOLDS = "(SELECT * FROM (VALUES ('critical'), ('high'), ('medium'), ('low'), ('any'), ('bogus')) v(threshold))"
 _LIMIT = "CASE threshold WHEN 'critical' THEN 0 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 WHEN 'any' THEN 3 ELSE 1 END"
 
 
-def _thresholds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in ("critical", "high", "medium", "low", "any", "bogus")], "threshold string")
-
-
-@query("threshold_rank", f"SELECT threshold, CAST({_LIMIT} AS INT) AS limit_rank FROM {_THRESHOLDS} t")
+@query("threshold_rank", f"SELECT threshold, CAST({_LIMIT} AS INT) AS limit_rank FROM {rows_sql('thresholds')} t")
 def threshold_rank(spark, sf_dir):
-    return _thresholds(spark).select("threshold", N.threshold_rank(F.col("threshold")).alias("limit_rank"))
+    return rows(spark, sf_dir, "thresholds").select("threshold", N.threshold_rank(F.col("threshold")).alias("limit_rank"))
 
 
 @query("fail_on_count", " UNION ALL ".join(f"SELECT '{t}' AS threshold, count(*) FILTER (WHERE {RANK_SQL} <= {n}) AS n FROM {FINDINGS_SQL} f" for t, n in (("critical", 0), ("high", 1), ("medium", 2), ("low", 3), ("any", 3), ("bogus", 1))))
@@ -283,11 +341,11 @@ def _rest(counts: list[DataFrame], names: tuple[str, ...]) -> DataFrame:
     return out
 
 
-@query("findings_sorted", f"SELECT seq, severity, file_path, line_start, CAST(row_number() OVER (PARTITION BY severity ORDER BY file_path, line_start, seq) AS INT) AS place FROM {FINDINGS_SQL} f")
+@query("findings_sorted", f"SELECT seq, severity, file_path, line_start, row_number() OVER (ORDER BY {RANK_SQL}, file_path, line_start, seq) AS place FROM {FINDINGS_SQL} f")
 def findings_sorted(spark, sf_dir):
-    """Every finding as the table orders them, with its place among those of its severity."""
-    place = F.expr("CAST(row_number() OVER (PARTITION BY severity ORDER BY file_path, line_start, seq) AS INT)")
-    return report.sorted_findings(findings(spark, sf_dir)).withColumn("place", place).select("seq", "severity", "file_path", "line_start", "place")
+    """Every finding with its place in the table's order, counted over sorted ranges."""
+    ranked = findings(spark, sf_dir).select("seq", "severity", "file_path", "line_start").withColumn("rank", N.severity_rank(F.col("severity")))
+    return ordering.running(ranked, "rank", ["file_path", "line_start", "seq"], F.lit(1), "place").drop("rank")
 
 
 @query("findings_all_sorted", f"SELECT seq, severity, CAST({RANK_SQL} AS INT) AS severity_rank, file_path, line_start FROM {FINDINGS_SQL} f ORDER BY {RANK_SQL}, file_path, line_start, seq")
@@ -391,10 +449,10 @@ _LOW = f"coalesce(list_min(list_transform(range(1, len({_SEGMENTS}) + 1), lambda
 PROBLEM_SQL = f"CASE WHEN path = '' THEN 'empty' WHEN starts_with(path, '/') THEN 'absolute' WHEN path[2] = ':' THEN 'drive' WHEN contains(path, chr(92)) THEN 'backslash' WHEN {_LOW} < 0 THEN 'escapes' END"
 
 
-@query("path_validate", f"SELECT path, problem IS NULL AS ok, problem FROM (SELECT path, {PROBLEM_SQL} AS problem FROM {fixtures.sql('paths')} p)")
+@query("path_validate", f"SELECT path, problem IS NULL AS ok, problem FROM (SELECT path, {PROBLEM_SQL} AS problem FROM {rows_sql('paths')} p)")
 def path_validate(spark, sf_dir):
     problem = P.path_problem(F.col("path"))
-    return fixtures.table(spark, "paths").select("path", problem.isNull().alias("ok"), problem.alias("problem"))
+    return rows(spark, sf_dir, "paths").select("path", problem.isNull().alias("ok"), problem.alias("problem"))
 
 
 #: An absolute path without dots and double slashes, built segment by segment; a relative one stays.
@@ -402,9 +460,9 @@ _CLEAN = f"CASE WHEN starts_with(path, '/') THEN list_reduce(list_prepend('', {_
 _SYSTEM = " OR ".join(f"starts_with(clean, '{p}')" for p in P.SYSTEM_PREFIXES)
 
 
-@query("sarif_path_guard", f"SELECT path, path <> '' AND NOT ({_SYSTEM}) AS ok FROM (SELECT path, {_CLEAN} AS clean FROM {fixtures.sql('report_paths')} p)")
+@query("sarif_path_guard", f"SELECT path, path <> '' AND NOT ({_SYSTEM}) AS ok FROM (SELECT path, {_CLEAN} AS clean FROM {rows_sql('report_paths')} p)")
 def sarif_path_guard(spark, sf_dir):
-    return fixtures.table(spark, "report_paths").select("path", P.report_path_allowed(F.col("path")).alias("ok"))
+    return rows(spark, sf_dir, "report_paths").select("path", P.report_path_allowed(F.col("path")).alias("ok"))
 
 
 TRIM_SQL = f"regexp_replace({{}}, '^[{X.SPACE}]+|[{X.SPACE}]+$', '', 'g')"
@@ -433,14 +491,15 @@ def base_url(spark, sf_dir):
     return both.select("url", P.base_url(F.col("url")).alias("base"))
 
 
-@query("or_default", f"SELECT origin, root, coalesce(nullif({TRIM_SQL.format('origin')}, ''), root) AS value FROM {fixtures.sql('origins')} o")
+@query("or_default", f"SELECT origin, root, coalesce(nullif({TRIM_SQL.format('origin')}, ''), root) AS value FROM {rows_sql('origins')} o")
 def or_default(spark, sf_dir):
-    return fixtures.table(spark, "origins").select("origin", "root", X.or_default(F.col("origin"), F.col("root")).alias("value"))
+    return rows(spark, sf_dir, "origins").select("origin", "root", X.or_default(F.col("origin"), F.col("root")).alias("value"))
 
 
-@query("store_count", f"SELECT count(*) AS n, count(DISTINCT rel_path) AS files FROM {CHUNKS_SQL} c WHERE doc_id % 2 = 0")
+@query("store_count", f"SELECT count(*) AS n, count(DISTINCT rel_path) AS files FROM {CHUNKS_SQL} c")
 def store_count(spark, sf_dir):
-    return stored(spark, sf_dir).agg(F.count("*").alias("n"), F.count_distinct("rel_path").alias("files"))
+    """Rows and files of a store that all chunks were put into at once."""
+    return chunks(spark, sf_dir).agg(F.count("*").alias("n"), F.count_distinct("rel_path").alias("files"))
 
 
 @query("store_count_all", f"SELECT count(*) AS n, count(DISTINCT rel_path) AS files FROM {CHUNKS_SQL} c")
@@ -449,43 +508,28 @@ def store_count_all(spark, sf_dir):
     return index.upserted(stored(spark, sf_dir), chunks(spark, sf_dir)).agg(F.count("*").alias("n"), F.count_distinct("rel_path").alias("files"))
 
 
-@query("origin_base", f"SELECT origin, CASE WHEN starts_with(b, 'git@') AND contains(b, ':') THEN substr(b, instr(b, ':') + 1) WHEN len(string_split(b, '/')) >= 2 THEN concat(string_split(b, '/')[-2], '/', string_split(b, '/')[-1]) ELSE '' END AS base FROM (SELECT origin, regexp_replace({TRIM_SQL.format('origin')}, '[.]git$', '') AS b FROM {fixtures.sql('origins')} o)")
+@query("origin_base", f"SELECT origin, CASE WHEN starts_with(b, 'git@') AND contains(b, ':') THEN substr(b, instr(b, ':') + 1) WHEN len(string_split(b, '/')) >= 2 THEN concat(string_split(b, '/')[-2], '/', string_split(b, '/')[-1]) ELSE '' END AS base FROM (SELECT origin, regexp_replace({TRIM_SQL.format('origin')}, '[.]git$', '') AS b FROM {rows_sql('origins')} o)")
 def origin_base(spark, sf_dir):
-    return fixtures.table(spark, "origins").select("origin", P.origin_base(F.col("origin")).alias("base"))
+    return rows(spark, sf_dir, "origins").select("origin", P.origin_base(F.col("origin")).alias("base"))
 
 
-@query("project_key", f"SELECT origin, root, left(sha256(coalesce(nullif({TRIM_SQL.format('origin')}, ''), concat('root:', root))), 16) AS project_key FROM {fixtures.sql('origins')} o")
+@query("project_key", f"SELECT origin, root, left(sha256(coalesce(nullif({TRIM_SQL.format('origin')}, ''), concat('root:', root))), 16) AS project_key FROM {rows_sql('origins')} o")
 def project_key(spark, sf_dir):
-    return fixtures.table(spark, "origins").select("origin", "root", P.project_key(F.col("origin"), F.col("root")).alias("project_key"))
+    return rows(spark, sf_dir, "origins").select("origin", "root", P.project_key(F.col("origin"), F.col("root")).alias("project_key"))
 
 
-_PATCH_LINES = f"(SELECT patch_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS line FROM (SELECT patch_id, string_split(patch, chr(10)) AS ls FROM {fixtures.sql('patches')} p))"
+_PATCH_LINES = f"(SELECT patch_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS line FROM (SELECT patch_id, string_split(patch, chr(10)) AS ls FROM {rows_sql('patches')} p))"
 _TOUCHED = f"(SELECT patch_id, path, CAST(min(pos) AS INT) AS first_pos FROM (SELECT patch_id, pos, {TRIM_SQL.format("regexp_replace(regexp_replace(line[5:], '^b/', ''), '^([^' || chr(9) || ']+)' || chr(9) || '(.|[' || chr(13) || '])*$', '\\1')")} AS path FROM {_PATCH_LINES} l WHERE starts_with(line, '+++ ')) WHERE path NOT IN ('', '/dev/null') GROUP BY ALL)"
 
 
 @query("patch_files", f"SELECT patch_id, path, first_pos, bool_or({PROBLEM_SQL} IS NOT NULL) OVER (PARTITION BY patch_id) AS unsafe FROM {_TOUCHED} t")
 def patch_files(spark, sf_dir):
-    return patches.patch_files(patches.usable(fixtures.table(spark, "patches")))
+    return patches.patch_files(patches.usable(rows(spark, sf_dir, "patches")))
 
 
-@query("patch_verdicts", f"SELECT p.patch_id, coalesce(n, 0) AS n_files, CASE WHEN {TRIM_SQL.format('patch')} = '' THEN 'empty' WHEN n IS NULL THEN 'touches no files' WHEN unsafe THEN 'unsafe path' ELSE 'ok' END AS verdict FROM {fixtures.sql('patches')} p LEFT JOIN (SELECT patch_id, count(*) AS n, bool_or({PROBLEM_SQL} IS NOT NULL) AS unsafe FROM {_TOUCHED} t GROUP BY patch_id) f ON p.patch_id = f.patch_id")
+@query("patch_verdicts", f"SELECT p.patch_id, coalesce(n, 0) AS n_files, CASE WHEN {TRIM_SQL.format('patch')} = '' THEN 'empty' WHEN n IS NULL THEN 'touches no files' WHEN unsafe THEN 'unsafe path' ELSE 'ok' END AS verdict FROM {rows_sql('patches')} p LEFT JOIN (SELECT patch_id, count(*) AS n, bool_or({PROBLEM_SQL} IS NOT NULL) AS unsafe FROM {_TOUCHED} t GROUP BY patch_id) f ON p.patch_id = f.patch_id")
 def patch_verdicts(spark, sf_dir):
-    return patches.verdicts(fixtures.table(spark, "patches"))
-
-
-#: A patch for each document of two lines or more, to the file that it is: one line in two is changed. Some name the old line wrongly, some its place or the file, and some create a file that is there.
-_EDIT = """
-concat(CASE WHEN doc_id % 13 = 5 THEN '--- /dev/null' ELSE concat('--- a/', named) END, chr(10), '+++ b/', named, chr(10),
-       CASE WHEN doc_id % 13 = 5 THEN concat('@@ -0,0 +1 @@', chr(10), '+new') ELSE concat('@@ -', CAST(shown AS STRING), ',2 +', CAST(shown AS STRING), ',2 @@', chr(10), ' ', one, chr(10), '-', two, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE '' END, chr(10), '+', two, '!', chr(10)) END)
-"""
-_EDITED = ["doc_id", "rel_path", "concat(rel_path, CASE WHEN doc_id % 11 = 3 THEN '.gone' ELSE '' END) AS named", "ls", "1 + doc_id % (n - 1) AS spot", "1 + doc_id % (n - 1) + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS shown"]
-_FILE_LINES_SQL = f"(SELECT {', '.join(_EDITED)} FROM (SELECT *, len(ls) AS n FROM (SELECT doc_id, rel_path, string_split(text, chr(10)) AS ls FROM {FILES_SQL} f)) WHERE n > 1)"
-
-
-def document_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = files(spark, sf_dir).select("doc_id", "rel_path", F.split("text", "\n", -1).alias("ls")).withColumn("n", F.size("ls")).where("n > 1")
-    placed = lines.selectExpr(*_EDITED)
-    return placed.withColumns({"one": F.expr("ls[CAST(spot - 1 AS INT)]"), "two": F.expr("ls[CAST(spot AS INT)]")}).select(F.col("doc_id").cast("string").alias("patch_id"), F.expr(_EDIT).alias("patch"))
+    return patches.verdicts(rows(spark, sf_dir, "patches"))
 
 
 @query("patch_applies", f"""
@@ -500,35 +544,35 @@ def patch_applies(spark, sf_dir):
 
 @query("patch_line_stats", f"SELECT patch_id, CASE WHEN starts_with(line, '+++') OR starts_with(line, '---') OR starts_with(line, 'diff ') THEN 'header' WHEN starts_with(line, '+') THEN 'add' WHEN starts_with(line, '-') THEN 'delete' ELSE 'other' END AS kind, count(*) AS n FROM {_PATCH_LINES} l GROUP BY ALL")
 def patch_line_stats(spark, sf_dir):
-    return patches.patch_line_stats(fixtures.table(spark, "patches"))
+    return patches.patch_line_stats(rows(spark, sf_dir, "patches"))
 
 
-@query("backup_plan", f"SELECT patch_id, t.path, CASE WHEN e.path IS NULL THEN 'mark_absent' ELSE 'copy' END AS action, CASE WHEN e.path IS NULL THEN concat(t.path, '.was-absent') ELSE t.path END AS target FROM {_TOUCHED} t LEFT JOIN {fixtures.sql('existing')} e ON t.path = e.path")
+@query("backup_plan", f"SELECT patch_id, t.path, CASE WHEN e.path IS NULL THEN 'mark_absent' ELSE 'copy' END AS action, CASE WHEN e.path IS NULL THEN concat(t.path, '.was-absent') ELSE t.path END AS target FROM {_TOUCHED} t LEFT JOIN {rows_sql('existing')} e ON t.path = e.path")
 def backup_plan(spark, sf_dir):
-    return patches.backup_plan(patches.patch_files(fixtures.table(spark, "patches")), fixtures.table(spark, "existing"))
+    return patches.backup_plan(patches.patch_files(rows(spark, sf_dir, "patches")), rows(spark, sf_dir, "existing"))
 
 
-@query("latest_backup", f"SELECT max(name) AS name FROM {fixtures.sql('backups')} b WHERE starts_with(name, '.backup-')")
+@query("latest_backup", f"SELECT max(name) AS name FROM {rows_sql('backups')} b WHERE starts_with(name, '.backup-')")
 def latest_backup(spark, sf_dir):
-    return patches.latest_backup(fixtures.table(spark, "backups"), scan.BACKUP_PREFIX)
+    return patches.latest_backup(rows(spark, sf_dir, "backups"), scan.BACKUP_PREFIX)
 
 
-_PLAN = f"(SELECT rel_path, CASE WHEN ends_with(rel_path, '.was-absent') THEN 'delete' ELSE 'restore' END AS action, CASE WHEN ends_with(rel_path, '.was-absent') THEN rel_path[:-12] ELSE rel_path END AS target FROM {fixtures.sql('entries')} e)"
+_PLAN = f"(SELECT rel_path, CASE WHEN ends_with(rel_path, '.was-absent') THEN 'delete' ELSE 'restore' END AS action, CASE WHEN ends_with(rel_path, '.was-absent') THEN rel_path[:-12] ELSE rel_path END AS target FROM {rows_sql('entries')} e)"
 
 
 @query("restore_plan", f"SELECT * FROM {_PLAN} p")
 def restore_plan(spark, sf_dir):
-    return patches.restore_plan(fixtures.table(spark, "entries"))
+    return patches.restore_plan(rows(spark, sf_dir, "entries"))
 
 
 @query("restore_counts", f"SELECT count(*) FILTER (WHERE action = 'restore') AS restored, count(*) FILTER (WHERE action = 'delete') AS deleted FROM {_PLAN} p")
 def restore_counts(spark, sf_dir):
-    return patches.restore_counts(patches.restore_plan(fixtures.table(spark, "entries")))
+    return patches.restore_counts(patches.restore_plan(rows(spark, sf_dir, "entries")))
 
 
-@query("source_mismatch", f"SELECT a, b, a <> '' AND b <> '' AND lower(a) <> lower(b) AS mismatch FROM {fixtures.sql('sources')} s")
+@query("source_mismatch", f"SELECT a, b, a <> '' AND b <> '' AND lower(a) <> lower(b) AS mismatch FROM {rows_sql('sources')} s")
 def source_mismatch(spark, sf_dir):
-    return fixtures.table(spark, "sources").select("a", "b", patches.source_mismatch(F.col("a"), F.col("b")).alias("mismatch"))
+    return rows(spark, sf_dir, "sources").select("a", "b", patches.source_mismatch(F.col("a"), F.col("b")).alias("mismatch"))
 
 
 _SECONDS = "CAST(floor((epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(ts)) / 1000000) AS BIGINT)"
@@ -543,13 +587,39 @@ def relative_age(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", X.relative_age(F.col("ts"), as_of).alias("age"), X.compact_utc(F.col("ts")).alias("stamp"))
 
 
-_BODY = "CASE event_id % 4 WHEN 0 THEN concat('{\"ok\":true,\"data\":', props, '}') WHEN 1 THEN '{\"ok\":false,\"error\":{\"code\":\"rate\",\"message\":\"slow down\"}}' WHEN 2 THEN '{\"ok\":false}' ELSE 'not json' END"
+_BODY = """
+CASE event_id % 8 WHEN 0 THEN concat('{"ok":true,"data":', props, '}') WHEN 1 THEN concat('{"ok":false,"error":{"code":"rate","message":"slow down ', CAST(event_id AS STRING), '"}}') WHEN 2 THEN '{"ok":false}' WHEN 3 THEN concat('not json ', props)
+     WHEN 4 THEN concat('{"OK":true,"Data":', props, '}') WHEN 5 THEN concat('{"ok":"true","data":', props, '}') WHEN 6 THEN '{"ok":true}' ELSE concat('{"error":{"Code":"c', CAST(event_id AS STRING), '","message":null}}') END
+"""
+_BODIES_SQL = f"(SELECT event_id, {_BODY.replace('STRING', 'VARCHAR')} AS body FROM events UNION ALL SELECT -1, body FROM {fixtures.sql('bodies')} x)"
+_ANY_CASE = "coalesce({0}->'$.{1}', {0}->'$.{2}', {0}->'$.{3}')"
+_OF_KIND = "({0} IS NULL OR json_type({0}) IN ('{1}', 'NULL'))"
+
+
+@query("json_envelope", f"""
+WITH b AS (SELECT event_id, body, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM {_BODIES_SQL} x),
+m AS (SELECT *, {_ANY_CASE.format('j', 'ok', 'OK', 'Ok')} AS o, {_ANY_CASE.format('j', 'error', 'ERROR', 'Error')} AS e, {_ANY_CASE.format('j', 'data', 'Data', 'DATA')} AS d FROM b),
+k AS (SELECT *, {_ANY_CASE.format('e', 'code', 'Code', 'CODE')} AS c, {_ANY_CASE.format('e', 'message', 'MESSAGE', 'Message')} AS t FROM m),
+r AS (SELECT *, CASE WHEN j IS NULL OR json_type(j) NOT IN ('OBJECT', 'NULL') OR NOT ({_OF_KIND.format('o', 'BOOLEAN')} AND {_OF_KIND.format('e', 'OBJECT')} AND {_OF_KIND.format('c', 'VARCHAR')} AND {_OF_KIND.format('t', 'VARCHAR')}) THEN 'invalid'
+  WHEN coalesce(o->>'$', 'false') <> 'true' THEN CASE WHEN e IS NULL OR json_type(e) = 'NULL' THEN 'unknown error' ELSE concat(c->>'$', ': ', t->>'$') END WHEN d IS NULL THEN 'no data' ELSE 'ok' END AS outcome FROM k)
+SELECT event_id, body, CASE WHEN outcome <> 'invalid' THEN coalesce(o->>'$', 'false') = 'true' END AS ok, CASE WHEN outcome = 'ok' THEN CAST(d->>'$.k' AS BIGINT) END AS k, outcome FROM r""")
+def json_envelope(spark, sf_dir):
+    """Answers of all shapes, made of the events' properties, and the typed ones."""
+    bodies = read(spark, sf_dir, "events").select("event_id", F.expr(_BODY).alias("body")).unionByName(fixtures.table(spark, "bodies").select(F.lit(-1).cast("long").alias("event_id"), "body"))
+    return remote.envelopes(bodies).select("event_id", "body", "ok", F.get_json_object("data", "$.k").try_cast("long").alias("k"), "outcome")
 
 
-@query("json_envelope", f"SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE json_extract_string(j, '$.ok') = 'true' END AS ok, CAST(json_extract_string(j, '$.data.k') AS BIGINT) AS k, CASE WHEN event_id % 4 = 3 THEN 'invalid' WHEN json_extract_string(j, '$.ok') = 'true' THEN 'ok' WHEN json_extract_string(j, '$.error.code') IS NOT NULL THEN concat(json_extract_string(j, '$.error.code'), ': ', json_extract_string(j, '$.error.message')) ELSE 'failed' END AS outcome FROM (SELECT event_id, CASE WHEN event_id % 4 < 3 THEN {_BODY} ELSE '{{}}' END AS j FROM events)")
-def json_envelope(spark, sf_dir):
-    bodies = read(spark, sf_dir, "events").select("event_id", F.expr(_BODY).alias("body"))
-    return remote.envelopes(bodies).select("event_id", "ok", F.get_json_object("data", "$.k").cast("long").alias("k"), "outcome")
+_STAMPED = "CASE event_id % 6 WHEN 0 THEN concat({0}, 'Z') WHEN 1 THEN concat({0}, '-05:00') WHEN 2 THEN concat({0}, '.123456789+02:00') WHEN 3 THEN replace({0}, 'T', ' ') WHEN 4 THEN left({0}, 4) ELSE concat({0}, ',5Z') END"
+
+
+@query("relative_age_text", f"""
+SELECT event_id, iso, CASE WHEN event_id % 6 IN (3, 4) THEN iso WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN concat(s // 60, 'm ago') WHEN s < 86400 THEN concat(s // 3600, 'h ago') WHEN s < 2592000 THEN concat(s // 86400, 'd ago') ELSE left(iso, 10) END AS age
+FROM (SELECT event_id, {_STAMPED.format("strftime(ts, '%Y-%m-%dT%H:%M:%S')")} AS iso, CAST(floor((epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(date_trunc('second', ts)) - CASE event_id % 6 WHEN 1 THEN 18000000000 WHEN 2 THEN 123456 - 7200000000 WHEN 5 THEN 500000 ELSE 0 END) / 1000000.0) AS BIGINT) AS s FROM events)""")
+def relative_age_text(spark, sf_dir):
+    """Ages of stamps as text: with offsets, fractions, and ones that aren't stamps."""
+    plain = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\")"
+    stamped = read(spark, sf_dir, "events").select("event_id", F.expr(_STAMPED.format(plain)).alias("iso"))
+    return stamped.withColumn("age", X.relative_age_of_text(F.col("iso"), F.to_timestamp_ntz(F.lit("2024-01-31 00:00:00"))))
 
 
 @query("proposed_fixes", "SELECT fix_id, status FROM (SELECT event_id AS fix_id, CASE event_id % 3 WHEN 0 THEN 'proposed' WHEN 1 THEN 'applied' ELSE 'closed' END AS status FROM events) WHERE status = 'proposed' ORDER BY fix_id LIMIT 20")
@@ -560,27 +630,55 @@ def proposed_fixes(spark, sf_dir):
 
 @query("recent_runs", f"SELECT event_id AS run_id, {_AGE} AS age, concat('a rather long project name ', '…') AS project, 'done' AS status, CASE WHEN event_id % 2 = 0 THEN '-' ELSE event_type END AS branch, event_id % 9 AS findings, event_id % 4 AS fixes FROM (SELECT *, {_SECONDS} AS s FROM events ORDER BY ts DESC, event_id LIMIT 5)")
 def recent_runs(spark, sf_dir):
-    runs = read(spark, sf_dir, "events").select(
+    return remote.recent_runs(_runs(spark, sf_dir), F.to_timestamp_ntz(F.lit("2024-01-31 00:00:00")))
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select(
         F.col("event_id").alias("run_id"), F.col("ts").alias("created_at"), F.lit("a rather long project name that goes on").alias("project"), F.lit("done").alias("status"),
         F.when(F.col("event_id") % 2 == 0, "").otherwise(F.col("event_type")).alias("branch"), (F.col("event_id") % 9).alias("findings"), (F.col("event_id") % 4).alias("fixes"),
     )
-    return remote.recent_runs(runs, F.to_timestamp_ntz(F.lit("2024-01-31 00:00:00")))
 
 
 @query("recent_fixes", f"SELECT {_AGE} AS age, 'a rather long project n…' AS project, concat('#', event_id) AS number, CASE event_id % 2 WHEN 0 THEN 'merged' ELSE 'open' END AS status, concat('Found in ', event_type) AS title FROM (SELECT *, {_SECONDS} AS s FROM events ORDER BY ts DESC, event_id LIMIT 5)")
 def recent_fixes(spark, sf_dir):
-    fixes = read(spark, sf_dir, "events").select(
+    return remote.recent_fixes(_fixes(spark, sf_dir), F.to_timestamp_ntz(F.lit("2024-01-31 00:00:00")))
+
+
+def _fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select(
         F.col("event_id").alias("fix_id"), F.col("ts").alias("created_at"), F.lit("a rather long project name that goes on").alias("project"),
         F.when(F.col("event_id") % 2 == 0, "merged").otherwise("open").alias("status"), F.concat(F.lit("Found in "), "event_type").alias("title"),
     )
-    return remote.recent_fixes(fixes, F.to_timestamp_ntz(F.lit("2024-01-31 00:00:00")))
 
 
-@query("model_readiness", f"SELECT w.name, k IS NOT NULL AS ready, CASE WHEN k IS NULL THEN concat('the model server at http://localhost:1 has no model ', w.name, ': pull it first') END AS message FROM {fixtures.sql('wanted')} w LEFT JOIN (SELECT DISTINCT regexp_replace(name, ':latest$', '') AS k FROM {fixtures.sql('offered')} o) o ON regexp_replace(w.name, ':latest$', '') = k")
+_LATEST = "(SELECT *, row_number() OVER (ORDER BY ts DESC, event_id) AS place, {seconds} AS s FROM events ORDER BY ts DESC, event_id LIMIT 5)".format(seconds=_SECONDS)
+_CELLS = {
+    "Recent runs": (3, ["WHEN", "PROJECT", "STATUS", "BRANCH", "FINDINGS", "FIXES"], [_AGE, "concat('a rather long project name ', '…')", "'done'", "CASE WHEN event_id % 2 = 0 THEN '-' ELSE event_type END", "CAST(event_id % 9 AS VARCHAR)", "CAST(event_id % 4 AS VARCHAR)"]),
+    "Recent fix PRs": (205, ["WHEN", "PROJECT", "PR", "STATUS", "TITLE"], [_AGE, "'a rather long project n…'", "concat('#', event_id)", "CASE event_id % 2 WHEN 0 THEN 'merged' ELSE 'open' END", "concat('Found in ', event_type)"]),
+}
+
+
+def _page_sql(title: str) -> str:
+    at, heads, cells = _CELLS[title]
+    names = [f"c{k}" for k in range(len(heads))]
+    rows_ = "SELECT 0 AS place, " + ", ".join(f"'{'  ' * (k == 0)}{h}' AS c{k}" for k, h in enumerate(heads)) + " UNION ALL SELECT place, " + ", ".join(f"concat('{'  ' * (k == 0)}', {c})" for k, c in enumerate(cells)) + f" FROM {_LATEST} e"
+    padded = ", ".join(f"rpad({n}, CAST(max(length({n})) OVER () + 2 AS INT), ' ')" for n in names[:-1])
+    return f"SELECT {at} AS pos, '{title}:' AS line UNION ALL SELECT CAST(place + {at + 1} AS INT), concat({padded}, {names[-1]}) FROM ({rows_})"
+
+
+@query("status_page", f"SELECT * FROM (VALUES (0, 'Logged in as me@team.example'), (1, 'Org: Team · plan: small  (suspended)'), (2, ''), (105, '')) v(pos, line) UNION ALL {_page_sql('Recent runs')} UNION ALL {_page_sql('Recent fix PRs')}")
+def status_page(spark, sf_dir):
+    """The lines of a status page over all events as runs and as changes."""
+    who = spark.createDataFrame([("me@team.example", "Team", "small", True)], "email string, org string, plan string, suspended boolean")
+    return remote.status_page(who, _runs(spark, sf_dir), _fixes(spark, sf_dir), F.to_timestamp_ntz(F.lit("2024-01-31 00:00:00")))
+
+
+@query("model_readiness", f"SELECT w.name, k IS NOT NULL AS ready, CASE WHEN k IS NULL THEN concat('the model server at http://localhost:1 has no model ', w.name, ': pull it first') END AS message FROM {rows_sql('wanted')} w LEFT JOIN (SELECT DISTINCT regexp_replace(name, ':latest$', '') AS k FROM {rows_sql('offered')} o) o ON regexp_replace(w.name, ':latest$', '') = k")
 def model_readiness(spark, sf_dir):
-    return remote.readiness(fixtures.table(spark, "wanted"), fixtures.table(spark, "offered"), "http://localhost:1")
+    return remote.readiness(rows(spark, sf_dir, "wanted"), rows(spark, sf_dir, "offered"), "http://localhost:1")
 
 
-@query("model_available", f"SELECT name FROM {fixtures.sql('wanted')} w WHERE regexp_replace(name, ':latest$', '') IN (SELECT regexp_replace(name, ':latest$', '') FROM {fixtures.sql('offered')} o)")
+@query("model_available", f"SELECT name FROM {rows_sql('wanted')} w WHERE regexp_replace(name, ':latest$', '') IN (SELECT regexp_replace(name, ':latest$', '') FROM {rows_sql('offered')} o)")
 def model_available(spark, sf_dir):
-    return remote.available_models(fixtures.table(spark, "wanted"), fixtures.table(spark, "offered"))
+    return remote.available_models(rows(spark, sf_dir, "wanted"), rows(spark, sf_dir, "offered"))

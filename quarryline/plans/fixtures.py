@@ -45,9 +45,9 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
         (25, "f.py", 3, "-----BEGIN " + "RSA PRIVATE KEY-----"), (26, "f.py", 4, "-----BEGIN " + "PUBLIC KEY-----"), (27, "f.py", 5, ""),
     ]),
     "patches": ("patch_id string, patch string", [
-        ("traversal", "--- a/x\n+++ b/../../../../etc/passwd\n@@ -0,0 +1 @@\n+x"),
-        ("two", "diff --git a/src/foo.go b/src/foo.go\n--- a/src/foo.go\n+++ b/src/foo.go\n@@ -1 +1 @@\n-a\n+b\ndiff --git a/src/bar.go b/src/bar.go\n--- a/src/bar.go\n+++ b/src/bar.go\n@@ -1 +1 @@\n-c\n+d\n"),
-        ("gone", "--- a/src/foo.go\n+++ /dev/null\n@@ -1 +0,0 @@\n-a\n"), ("tab", "--- a/src/a.ts\n+++ src/a.ts\tafter\n+x"),
+        ("climb", "--- a/lib/k\n+++ b/lib/../../out.cfg\n@@ -1,2 +1,2 @@\n first\n-k\n+kk"),
+        ("pair", "--- a/docs/intro.md\n+++ b/docs/intro.md\n@@ -2,2 +2,3 @@\n Title\n-old words\n+new words\n+more words\n--- a/lib/alpha.rs\n+++ b/lib/alpha.rs\n@@ -7 +7 @@ fn alpha\n-let a = 1;\n+let a = 2;\n"),
+        ("removed", "--- a/lib/omega.rs\n+++ /dev/null\n@@ -1,2 +0,0 @@\n-mod z;\n-\n"), ("tab", "--- a/web/menu.ts\n+++ web/menu.ts\tafter\n+x"),
         ("twice", "+++ b/one.py\n+a\n+++ b/one.py\n+b"), ("quirk", "+++ b/q.py\n+++ counted\n line"), ("blank", "  \n"), ("empty", ""), ("spaces", "\t\u00a0\r\n\u2003"),
         ("crlf", "--- a/x.go\r\n+++ b/x.go\r\n@@ -1 +1 @@\r\n-a\r\n+b\r\n"), ("stamped", "+++ b/dir/y.py\t2024-01-31 10:00\r\n+z"), ("words", "nothing that names a file\n"),
     ]),
@@ -63,11 +63,16 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
         ("git@host.example:owner/repo.git", "/r"), ("https://host.example/owner/repo.git", "/r"), ("https://host.example/owner/repo", "/r"), (" https://host.example/o/r.git ", "/r"),
         ("ssh://git@host.example/o/r", "/r"), ("plain", "/r"), ("", "/home/me/r"), ("   ", "/home/me/r"),
         ("\thttps://host.example/o/r.git\n", "/r"), ("git@host.example/owner/repo", "/r"), ("git@plain", "/r"), ("\u00a0\r\n", "/r"), ("https://host.example/o/r.git/", "/r"), ("x.git.git", "/r")]),
-    "existing": ("path string", [("src/foo.go",), ("one.py",)]),
+    "existing": ("path string", [("lib/alpha.rs",), ("one.py",)]),
     "backups": ("name string", [(n,) for n in (".backup-20240101T000000Z", ".backup-20240301T120000Z", ".backup-20231231T235959Z", "src", ".git", "backup-20990101T000000Z")]),
-    "entries": ("rel_path string", [("src/foo.go",), ("src/new.go.was-absent",), ("a/b.was-absent",), ("was-absent",)]),
+    "entries": ("rel_path string", [("lib/alpha.rs",), ("lib/added.rs.was-absent",), ("x/y.was-absent",), ("was-absent",)]),
     "wanted": ("name string", [("nomic-embed-text",), ("mini:latest",), ("big:7b",), ("other",)]),
     "offered": ("name string", [("nomic-embed-text:latest",), ("mini",), ("big:13b",)]),
+    "thresholds": ("threshold string", [(t,) for t in ("critical", "high", "medium", "low", "any", "bogus")]),
+    "bodies": ("body string", [(b,) for b in (
+        "", "not json", "{", "[]", "3", "\"ok\"", "null", "{}", "{\"ok\":null}", "{\"ok\":false}", "{\"ok\":false,\"error\":null}", "{\"ok\":false,\"error\":{}}", "{\"ok\":false,\"error\":{\"message\":\"m\"}}",
+        "{\"error\":{\"code\":\"rate\",\"message\":\"m\"}}", "{\"ok\":false,\"error\":{\"code\":\"rate\",\"message\":null}}", "{\"ok\":false,\"error\":{\"code\":7}}", "{\"ok\":false,\"error\":\"gone\"}", "{\"ok\":false,\"error\":[]}",
+        "{\"ok\":\"true\"}", "{\"ok\":1}", "{\"ok\":{}}", "{\"ok\":true}", "{\"ok\":true,\"data\":null}", "{\"ok\":true,\"data\":[1,2]}", "{\"ok\":true,\"data\":\"text\",\"error\":{\"code\":\"c\"}}", "{\"OK\":true,\"Data\":{\"k\":5}}", "{\"Ok\":false,\"ERROR\":{\"Code\":\"c\",\"MESSAGE\":\"m\"}}", "{\"ok\":true,\"data\":{\"k\":6}} ")]),
     "sources": ("a string, b string", [("Owner/Repo", "owner/repo"), ("owner/repo", "owner/other"), ("", "owner/repo"), ("owner/repo", "")]),
 }
 

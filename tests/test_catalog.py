@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 from collections import Counter
 from pathlib import Path
 
@@ -53,9 +55,25 @@ def test_whole_findings_files_and_stores(spark, sf, duck):
     places = [(r["severity_rank"], r["file_path"], r["line_start"], r["seq"]) for r in run("findings_all_sorted").collect()]
     assert places == sorted(places) and len(places) == duck.execute("SELECT count(*) FROM events").fetchone()[0] > 100
     size = duck.execute("SELECT sum(strlen(text)), count(*) FROM documents").fetchone()
-    kept = run("scan_total_cap_default")
-    assert size[0] > 20_000_000 or kept.count() == size[1]
-    assert run("store_count_all").first()["n"] == run("chunk_lines").count() > run("store_count").first()["n"]
+    kept, cut = run("scan_total_cap_default"), run("scan_total_cap")
+    assert (size[0] > 20_000_000 or kept.count() == size[1]) and 0 < cut.count() < size[1]
+    assert run("store_count_all").first() == run("store_count").first() and run("store_count").first()["n"] == run("chunk_lines").count()
+    ranked = sorted(run("findings_sorted").collect(), key=lambda r: r["place"])
+    assert [r["seq"] for r in ranked] == [p[3] for p in places]
+
+
+def test_vectors_of_all_chunks(spark, sf):
+    """The stand-in model's counts, by plain arithmetic over the words of every chunk."""
+    texts = {r["content_hash"]: r["content_text"] for r in entry.queries()["chunk_lines"](spark, sf).collect()}
+    got = entry.queries()["embed_chunks"](spark, sf).collect()
+    assert {r["content_hash"] for r in got} == set(texts) and {(r["status"], r["error"]) for r in got} == {("embedded", None)}
+    for r in got:
+        want = [0] * 64
+        for word in re.findall(r"\S+", texts[r["content_hash"]].encode()[:24_576].decode(errors="replace")):
+            h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+            want[h % 64] += 1 if h >= 2**63 else -1
+        length = math.sqrt(sum(x * x for x in want)) or 1
+        assert max(abs(a - b / length) for a, b in zip(r["embedding"], want, strict=True)) < 1e-6
 
 
 def test_whole_texts_reach_slugs_snippets_and_cells(spark, sf, duck):

@@ -87,6 +87,11 @@ def test_ages(spark):
     df = spark.createDataFrame(rows, "i int, t timestamp_ntz").orderBy("i")
     assert [r[0] for r in df.select(X.relative_age(F.col("t"), F.lit(now).cast("timestamp_ntz"))).collect()] == list(steps.values())
     assert values(spark, ["soon"], lambda c: X.relative_age_of_text(c, F.lit(now).cast("timestamp_ntz"))) == ["soon"]
+    texts = {
+        "2023-01-01T23:30:00-05:00": "2023-01-01", "2023": "2023", "2023-01-01 10:00:00": "2023-01-01 10:00:00", "2024-01-30T23:59:00Z": "1m ago", "2024-01-31T01:00:00+02:00": "1h ago", "2024-01-30T22:00:00.123456789Z": "1h ago",
+        "2024-01-30T22:00:00,5Z": "1h ago", "2023-02-30T00:00:00Z": "2023-02-30T00:00:00Z", "2024-01-30T22:00:00": "2024-01-30T22:00:00", "2024-01-30t22:00:00Z": "2024-01-30t22:00:00Z", "2025-01-01T00:00:00Z": "just now", "": "",
+    }
+    assert values(spark, list(texts), lambda c: X.relative_age_of_text(c, F.lit(now).cast("timestamp_ntz"))) == list(texts.values())
 
 
 def test_indent(spark):
@@ -98,15 +103,15 @@ def test_patches(spark):
     by = {}
     for r in sorted(rows, key=lambda r: r["first_pos"]):
         by.setdefault(r["patch_id"], []).append((r["path"], r["unsafe"]))
-    assert by["two"] == [("src/foo.go", False), ("src/bar.go", False)]
-    assert by["tab"] == [("src/a.ts", False)]
+    assert by["pair"] == [("docs/intro.md", False), ("lib/alpha.rs", False)]
+    assert by["tab"] == [("web/menu.ts", False)]
     assert by["twice"] == [("one.py", False)]
-    assert by["traversal"][0][1]
-    assert "gone" not in by
+    assert by["climb"][0][1]
+    assert "removed" not in by
     assert len(by["quirk"]) == 2
     assert by["crlf"] == [("x.go", False)] and by["stamped"] == [("dir/y.py", False)]
     said = {r["patch_id"]: r["verdict"] for r in patches.verdicts(fixtures.table(spark, "patches")).collect()}
-    assert said["gone"] == said["words"] == "touches no files" and said["traversal"] == "unsafe path" and said["crlf"] == "ok"
+    assert said["removed"] == said["words"] == "touches no files" and said["climb"] == "unsafe path" and said["crlf"] == "ok"
     assert {k for k, v in said.items() if v == "empty"} == {"blank", "empty", "spaces"}
     assert {r["patch_id"] for r in patches.usable(fixtures.table(spark, "patches")).collect()} == {k for k, v in said.items() if v != "empty"}
 
