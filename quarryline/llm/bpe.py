@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from pathlib import Path
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from quarryline.llm.batches import pieces
+from quarryline.llm.byte_bpe import NEWER_LETTERS, NEWER_NUMBERS, compiled
 
 #: Largest tokenizer file that is broadcast.
 MAX_FILE_BYTES = 64_000_000
@@ -29,6 +31,14 @@ MAX_WORDS, MAX_LETTERS = 100_000, 64
 #: Texts of more characters are split into words one by one, and ids are decoded in stretches of so many.
 STRETCH = 1 << 18
 NONE = 1 << 60
+# Capitals that the library lowers and the interpreter's older tables lack (Unicode 16 and 17).
+LOWERED = (
+    {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
+    | {c: c + 0x20 for c in range(0x10D50, 0x10D66)}
+    | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+)
+#: Texts with one of these are lowered and split with care.
+UNEVEN = re.compile(f"[{NEWER_LETTERS}{NEWER_NUMBERS}{''.join(map(chr, LOWERED))}]")
 
 
 def merge_word(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
@@ -112,7 +122,8 @@ class Codec(dict):
         self.special = {t: i.to_bytes(4, "little") for t, i in special.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         steps = spec["pre_tokenizer"]["pretokenizers"]
-        self.pattern = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
+        pattern = next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")
+        self.plain, self.exact = regex.compile(pattern), compiled(pattern)
 
     def __missing__(self, word: str) -> bytes:
         out = self.older.get(word)
@@ -132,11 +143,14 @@ class Codec(dict):
             text = unicodedata.normalize("NFC", text)
         # Each character alone: a final sigma is lowered like any other.
         text = text.lower() if "Σ" not in text else "".join(map(str.lower, text))
+        pattern = self.plain
+        if not text.isascii() and UNEVEN.search(text):
+            text, pattern = text.translate(LOWERED), self.exact
         if len(text) <= STRETCH:
-            return b"".join(map(self.__getitem__, self.pattern.findall(text)))
+            return b"".join(map(self.__getitem__, pattern.findall(text)))
         # Word by word, for the list of all words would be many times the text.
         out = bytearray()
-        for m in self.pattern.finditer(text):
+        for m in pattern.finditer(text):
             out += self[m[0]]
         return bytes(out)
 

@@ -135,6 +135,17 @@ def test_sharding_of_odd_rows(odd, empty):
 # 2
 
 
+def test_bpe_of_every_character():
+    """Letters and numbers are those that the library knows, at every code point."""
+    lib = Tokenizer.from_file(TOKENIZER)
+    with open(TOKENIZER, "rb") as f:
+        codec = bpe.Codec(f.read())
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}1{c}.{c} {c}" for c in every[at : at + 32]) for at in range(0, len(every), 32)]
+    for text, want in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == want.ids, ascii(text[:20])
+
+
 def test_bpe_equals_the_library(spark, sf, rows):
     lib = Tokenizer.from_file(TOKENIZER)
     got = {r["doc_id"]: r for r in catalog.op2_segment_tree_bpe(spark, sf).collect()}
@@ -601,6 +612,18 @@ def test_probes_meet_every_code_within_the_radius(spark):
     assert set(zip(*np.nonzero(near <= min(model.radius, 140)), strict=True)) <= set(got) and model.radius == 2 * model.m - 1
 
 
+def test_reach_and_substrings_are_those_of_least_cost(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("rep"), F.col("embedding").alias("v"))
+    model = hashing_search.model_of(rows, rows.where("rep % 5 = 0"), 20)
+    x = np.array([r["v"] for r in rows.orderBy("rep").collect()], float)
+    met = hashing_search.bits_between(model.query(x)[:, None, :], model.index(x)[None, :, :])[:, :, : model.used] <= model.reach
+    assert model.used < model.m and met.sum(axis=2).mean() < 1.2  # with all substrings within this reach: 2.9
+    near = np.argsort(-(x @ x.T), axis=1)[:, 1:21]
+    assert np.take_along_axis(met.any(axis=2), near, axis=1).mean() > 0.93
+    far = hashing_search.tried(model, x[:20], -x[:20], len(x))
+    assert far.used == far.m and far.reach > hashing_search.MOST_REACH
+
+
 def test_results_come_from_probes(spark, monkeypatch):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     compared, plain = [], hashing_search._compared
