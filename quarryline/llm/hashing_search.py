@@ -25,6 +25,8 @@ from quarryline.llm import scratch, vectors
 
 #: About the bits of a code, and the least and most bits of a substring; between these an index value has about ``BUCKET`` rows.
 BITS, LEAST_SUB, MOST_SUB, BUCKET = 512, 10, 24, 64
+#: Most bits of reach that are weighed against the number of substrings.
+MOST_REACH = 3
 #: Queries whose true neighbours set the reach and the width, and the parts of these that each must keep.
 TRIALS, REACHED, WITHIN = 256, 0.96, 0.96
 #: Vectors and queries of a block where queries with too few finds are compared with everything.
@@ -38,8 +40,9 @@ class Model:
     """Codes are the signs of (lifted x - centre) @ rotation, cut into ``m`` substrings of ``sub`` bits.
 
     ``turns`` has (centre, rotation) for each length of vectors that was learned; other
-    lengths take a seeded random rotation. ``reach`` is the bits in which a probed value
-    may differ, ``wide`` the bits in which a whole code may.
+    lengths take a seeded random rotation. The first ``used`` substrings are indexed;
+    ``reach`` is the bits in which a probed value may differ, ``wide`` the bits in which a
+    whole code may.
     """
 
     longest: float
@@ -47,6 +50,7 @@ class Model:
     turns: dict[int, tuple[np.ndarray, np.ndarray]]
     reach: int = 0
     wide: int = BITS
+    used: int = BITS
 
     @property
     def m(self) -> int:
@@ -54,8 +58,8 @@ class Model:
 
     @property
     def radius(self) -> int:
-        """Every code at most so many bits off is found: one of m substrings is within ``reach``."""
-        return self.m * (self.reach + 1) - 1
+        """Every code at most so many bits off in the indexed substrings is found: one of these is within ``reach``."""
+        return self.used * (self.reach + 1) - 1
 
     def substrings(self, x: np.ndarray) -> np.ndarray:
         """The m substring values of each lifted row's code."""
@@ -101,7 +105,7 @@ def fit(sample: dict[int, np.ndarray], longest: float, rows: int) -> Model:
         z = lifted(x, longest)
         centre = z.mean(axis=0)
         turns[d] = (centre, turn(d + 1, BITS // sub * sub, (z - centre)[:LEARNED]))
-    return Model(longest, sub, turns)
+    return Model(longest, sub, turns, used=BITS // sub)
 
 
 def bits_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -109,14 +113,25 @@ def bits_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).astype(np.uint64)).astype(np.int64)
 
 
-def tried(model: Model, queries: np.ndarray, found: np.ndarray) -> Model:
-    """The model with the least reach that finds ``REACHED`` of true pairs (query, neighbour), and the width that holds ``WITHIN`` of them."""
+def tried(model: Model, queries: np.ndarray, found: np.ndarray, rows: int) -> Model:
+    """The model with the reach and the substrings that find ``REACHED`` of true pairs (query, neighbour) at the least cost, and the width that holds ``WITHIN`` of them.
+
+    A query costs its probed values and, of codes that lie evenly, the rows of ``rows`` that
+    these meet. A wider reach asks for more values of each substring and needs fewer substrings.
+    """
     if not len(queries):
         return model
     apart = bits_between(model.query(queries), model.index(found))
-    reach = int(np.quantile(apart.min(axis=1), REACHED, method="higher"))
-    wide = int(np.quantile(apart.sum(axis=1), WITHIN, method="higher"))
-    return Model(model.longest, model.sub, model.turns, reach, wide)
+    wide, best = int(np.quantile(apart.sum(axis=1), WITHIN, method="higher")), None
+    for reach in range(MOST_REACH + 1):
+        enough = np.flatnonzero(np.maximum.accumulate(apart <= reach, axis=1).mean(axis=0) >= REACHED)
+        if len(enough):
+            used = int(enough[0]) + 1
+            cost = used * len(ball(reach, model.sub)) * (1 + rows / 2**model.sub)
+            best = min(best or (cost, reach, used), (cost, reach, used))
+    if best is None:  # neighbours as far as others: the least reach that all substrings allow
+        best = (0, int(np.quantile(apart.min(axis=1), REACHED, method="higher")), model.m)
+    return Model(model.longest, model.sub, model.turns, best[1], wide, best[2])
 
 
 def ball(radius: int, bits: int) -> list[int]:
@@ -154,7 +169,7 @@ def _coded(df: DataFrame, model: Model, name: str, asked: bool) -> DataFrame:
 def _values(model: Model, name: str) -> list[Column]:
     """The substring values of a coded row."""
     per, mask = _per_word(model), F.lit((1 << model.sub) - 1).cast("long")
-    return [F.shiftright(F.col(f"{name}{j // per}"), j % per * model.sub).bitwiseAND(mask) for j in range(model.m)]
+    return [F.shiftright(F.col(f"{name}{j // per}"), j % per * model.sub).bitwiseAND(mask) for j in range(model.used)]
 
 
 def _keyed(coded: DataFrame, model: Model, name: str, probes: bool) -> DataFrame:
@@ -270,7 +285,7 @@ def model_of(reps: DataFrame, asked: DataFrame, k: int) -> Model:
     pairs = true.join(trials.select(F.col("rep").alias("q"), F.col("v").alias("q_v")), "q").join(reps.select(F.col("rep").alias("i"), F.col("v").alias("i_v")), "i").select("q_v", "i_v").toArrow()
     q, found = (pairs.column(c).combine_chunks() for c in ("q_v", "i_v"))
     usual = max(vectors.by_length(q).values(), key=len, default=np.empty(0, np.int64))
-    return tried(model, *(vectors.matrix(c.take(pa.array(usual))) for c in (q, found)))
+    return tried(model, *(vectors.matrix(c.take(pa.array(usual))) for c in (q, found)), rows=stats["n"])
 
 
 def _best(df: DataFrame, queries: DataFrame, k: int, vec_id: str, vector: str) -> tuple[DataFrame, DataFrame]:
