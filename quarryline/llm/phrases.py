@@ -32,6 +32,8 @@ ROWS, FEWEST, MOST = 2, 1 << 23, 1 << 27
 SLICE = 1 << 16
 #: Rows and bytes of texts that are counted at once.
 BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
+#: Bytes of texts that a task takes, about, where the input's own parts are smaller.
+TASK_BYTES = 256 << 20
 #: Phrases whose counts a task holds before it hands them on.
 HELD = 500_000
 #: Shares in which a language's phrases are ranked before the last ranking sees the best of each.
@@ -223,12 +225,14 @@ def counts(docs: DataFrame, least: int = LEAST, cells: int | None = None) -> Dat
     if least < 1:
         raise ValueError("a phrase occurs at least once")
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    size, context = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, docs.sparkSession.sparkContext
+    # A task's sketch and counts are handed on once, so tasks are large, but for two a core at least.
+    rows = rows.coalesce(max(2 * context.defaultParallelism, -(-size // TASK_BYTES)))
     if cells is None:
-        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         cells = min(MOST, max(FEWEST, 1 << (size // 192).bit_length()))
     if cells < SLICE or cells & (cells - 1):
         raise ValueError(f"the cells of a row must be a power of two, {SLICE} at least")
-    context, bits = docs.sparkSession.sparkContext, []
+    bits: list[bytes] = []
     for sizes in LEVELS:
         bits.append(_sketch(rows, sizes, context.broadcast(list(bits)), cells, least))
     return _exact(rows, context.broadcast(bits), cells).where((F.col("n") >= least) | (F.col("words") == 0))
