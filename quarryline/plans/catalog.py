@@ -215,7 +215,8 @@ def store_upsert(spark, sf_dir):
 
 @query("embed_batches", f"SELECT rel_path, content_hash, n // 16 AS batch, n % 16 AS place FROM (SELECT rel_path, content_hash, row_number() OVER (ORDER BY rel_path, line_start, content_hash) - 1 AS n FROM {CHUNKS_SQL} c)")
 def embed_batches(spark, sf_dir):
-    return index.batches(chunks(spark, sf_dir)).select("rel_path", "content_hash", "batch", "place")
+    keys = chunks(spark, sf_dir).select("rel_path", "line_start", "content_hash")
+    return index.batches(keys).select("rel_path", "content_hash", "batch", "place")
 
 
 @query("embed_truncate", "SELECT doc_id, CASE WHEN strlen(t) > 24576 THEN left(t, 24576) ELSE t END AS input, CAST(least(strlen(t), 24576) AS INT) AS n_bytes FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', '?', 'g') AS t FROM documents)")

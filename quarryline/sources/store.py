@@ -117,7 +117,10 @@ class ChunkStore:
         and the next one takes up the rest; a lost executor costs its own batches.
         """
         with self._adding():
-            fresh = index.batches(index.new_chunks(chunks, self.chunks()), batch).withColumn("part", F.floor(F.col("batch") / part))
+            # Batches are numbered by keys alone; texts move once, to where their hash's number is.
+            keys = index.batches(index.new_chunks(chunks, self.chunks()).select("content_hash", "rel_path", "line_start"), batch)
+            keys = keys.select("content_hash", "batch", "place", F.floor(F.col("batch") / part).alias("part"))
+            fresh = chunks.dropDuplicates(["content_hash"]).join(keys, "content_hash")
             path, done = staging.write(fresh, "parts", "part"), {"embedded": 0, "failed": 0}
             last = self.spark.read.schema(fresh.schema).parquet(path).agg(F.max("part")).first()[0]
             for k in range(last + 1 if last is not None else 0):
