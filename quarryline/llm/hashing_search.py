@@ -28,7 +28,7 @@ BITS, LEAST_SUB, MOST_SUB, BUCKET = 512, 10, 24, 64
 #: Most bits of reach that are weighed against the number of substrings.
 MOST_REACH = 3
 #: Queries whose true neighbours set the reach and the width, and the parts of these that each must keep.
-TRIALS, REACHED, WITHIN = 256, 0.96, 0.96
+TRIALS, REACHED, WITHIN = 256, 0.98, 0.97
 #: Vectors and queries of a block where queries with too few finds are compared with everything.
 BLOCK, QUERY_BLOCK = 8192, 1024
 #: Most vectors that the rotations are learned from.

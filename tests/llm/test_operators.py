@@ -617,9 +617,9 @@ def test_reach_and_substrings_are_those_of_least_cost(spark, sf):
     model = hashing_search.model_of(rows, rows.where("rep % 5 = 0"), 20)
     x = np.array([r["v"] for r in rows.orderBy("rep").collect()], float)
     met = hashing_search.bits_between(model.query(x)[:, None, :], model.index(x)[None, :, :])[:, :, : model.used] <= model.reach
-    assert model.used < model.m and met.sum(axis=2).mean() < 1.2  # with all substrings within this reach: 2.9
+    assert model.used < model.m and met.sum(axis=2).mean() < 1.5  # with all substrings within this reach: 2.9
     near = np.argsort(-(x @ x.T), axis=1)[:, 1:21]
-    assert np.take_along_axis(met.any(axis=2), near, axis=1).mean() > 0.93
+    assert np.take_along_axis(met.any(axis=2), near, axis=1).mean() > 0.95
     far = hashing_search.tried(model, x[:20], -x[:20], len(x))
     assert far.used == far.m and far.reach > hashing_search.MOST_REACH
 
