@@ -7,14 +7,14 @@ probed. Found pairs are verified by a banded bit-parallel edit distance.
 
 Groups of like lines are never listed pair by pair: a line first meets the least line
 of each index entry that it hits; what that leaves unjoined is compared across
-components only.
+components only. Where a segment is frequent on both sides, what the lines hold besides it
+is cut into segments again, and so on, so such lines meet only by what they share further.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +26,8 @@ from quarryline.llm.components import components
 EDITS, PER_EDIT = 2, 12
 #: A line with more than this part of all rows has its repeats set aside first; there are fewer than 1 / HOT such lines.
 HOT = 0.001
+#: A key that more lines than this have, of those indexed and of those that probe it, is split further.
+FREQUENT = 128
 #: Letters that are counted, to leave out pairs that no few edits can make equal.
 COUNTED = "etaoinsrhldum, E"
 
@@ -50,36 +52,49 @@ def allowed(length: Column, edits: int = EDITS, per_edit: int = PER_EDIT) -> Col
     return F.least(F.lit(edits), F.floor(length / per_edit)).cast("int")
 
 
-def _keys(lines: DataFrame, looks: list[tuple[int, int, int, int]], edits: int, per_edit: int) -> DataFrame:
-    """(h, key) for each of ``looks`` (t, d, i, shift) that applies to a row (h, line, n) of wide lines.
+def _looked(rows: DataFrame, looks: list[tuple[int, int, int, int]], applies: Column) -> DataFrame:
+    """``rows`` of wide lines (line, n) with each of ``looks`` (t, d, i, shift) that ``applies`` and lies inside; adds ``at``, ``size`` and ``short``.
 
-    Lines of t edits have t + 1 segments of near-equal length, the longer ones last. The
-    key stands for segment i of a line shorter by d, sought ``shift`` places off. Looks are
-    rows of a constant, so that one short expression makes all keys.
+    Lines of t edits have t + 1 segments of near-equal length, the longer ones last. A look
+    stands for segment i of a line shorter by d, sought ``shift`` places off; ``short`` is
+    the length of that line. Looks are rows of a constant, so that one short expression
+    makes all of them.
     """
-    each = lines.select("h", "line", "n", F.inline(F.array(*[F.struct(*[F.lit(x).alias(name) for name, x in zip(("t", "d", "i", "shift"), look, strict=True)]) for look in looks])))
-    length, parts, i = F.col("n") - F.col("d"), F.col("t") + 1, F.col("i")
-    each = each.where(allowed(length, edits, per_edit) == F.col("t"))
-    part, short = F.floor(length / parts).cast("int"), parts - F.pmod(length, parts)
-    bounds = {"__size": part + F.when(i >= short, 1).otherwise(0), "__at": part * i + F.greatest(F.lit(0), i - short) + F.col("shift")}
-    inside = each.withColumns(bounds).where((F.col("__at") >= 0) & (F.col("__at") + F.col("__size") <= F.col("n")))
-    return inside.select("h", F.xxhash64("i", F.col("n") - F.col("d"), _cut(F.col("line"), F.col("__at"), F.col("__size"))).alias("key"))
+    each = rows.select("*", F.inline(F.array(*[F.struct(*[F.lit(x).alias(name) for name, x in zip(("t", "d", "i", "shift"), look, strict=True)]) for look in looks])))
+    each = each.where(applies).withColumn("short", F.col("n") - F.col("d"))
+    parts, i = F.col("t") + 1, F.col("i")
+    part, shorter = F.floor(F.col("short") / parts).cast("int"), parts - F.pmod("short", parts)
+    bounds = {"size": part + F.when(i >= shorter, 1).otherwise(0), "at": part * i + F.greatest(F.lit(0), i - shorter) + F.col("shift")}
+    return each.withColumns(bounds).where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n")))
 
 
-def index_keys(lines: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
-    """One key for each segment of each line: its number, the line's length and the segment."""
-    return _keys(lines, [(t, 0, i, 0) for t in range(1, edits + 1) for i in range(t + 1)], edits, per_edit)
+def _segment_key() -> Column:
+    return F.xxhash64("i", "short", _cut(F.col("line"), F.col("at"), F.col("size")))
 
 
-def probe_keys(lines: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
-    """The keys of lines of the same length or shorter that each line may be near to.
+def _index_looks(edits: int) -> list[tuple[int, int, int, int]]:
+    return [(t, 0, i, 0) for t in range(1, edits + 1) for i in range(t + 1)]
 
-    Segment i of a line shorter by d starts at most i places, and at most ``t - i``
-    places beyond d, from where it stands in the line, t being the edits that the
-    shorter line may take: edits before and after it add up.
-    """
+
+def _probe_looks(edits: int) -> list[tuple[int, int, int, int]]:
+    """Segment i of a line shorter by d starts at most i places, and at most ``t - i`` places beyond d, from where it stands in the
+    probing line, t being the edits that the shorter line may take: edits before and after it add up."""
     shifts = lambda t, d, i: range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1)
-    return _keys(lines, [(t, d, i, s) for t in range(1, edits + 1) for d in range(t + 1) for i in range(t + 1) for s in shifts(t, d, i)], edits, per_edit)
+    return [(t, d, i, s) for t in range(1, edits + 1) for d in range(t + 1) for i in range(t + 1) for s in shifts(t, d, i)]
+
+
+def _may_take(edits: int, per_edit: int) -> Column:
+    return allowed(F.col("n") - F.col("d"), edits, per_edit) == F.col("t")
+
+
+def index_keys(lines: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
+    """(h, key): one key for each segment of each line (h, line, n): its number, the line's length and the segment."""
+    return _looked(lines, _index_looks(edits), _may_take(edits, per_edit)).select("h", _segment_key().alias("key"))
+
+
+def probe_keys(lines: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
+    """(h, key): the keys of lines of the same length or shorter that each line may be near to."""
+    return _looked(lines, _probe_looks(edits), _may_take(edits, per_edit)).select("h", _segment_key().alias("key"))
 
 
 def _common(a: Column, b: Column, most: Column, start: Callable[[Column, Column, Column], Column]) -> Column:
@@ -186,25 +201,60 @@ def _near(pairs: DataFrame, lines: DataFrame, edits: int, per_edit: int) -> Data
     return both.where(edit_distance_within(F.col("line_a"), F.col("line_b"), edits, most)).select("a", "b")
 
 
-def _letter_groups(edits: int) -> list[range]:
-    """Numbers of counted letters in ``2 * edits + 1`` groups. Lines within ``edits`` differ in ``2 * edits`` counts at most, so in one group they agree."""
-    return [range(g, len(COUNTED), 2 * edits + 1) for g in range(2 * edits + 1)]
+def _without(line: Column, cuts: Column) -> Column:
+    """A wide line without the stretches ``cuts`` (at, size), each taken out of what the ones before it left."""
+    return F.aggregate(cuts, line, lambda rest, c: F.concat(_cut(rest, F.lit(0), c["at"]), F.substring(rest, (c["at"] + c["size"]) * 4 + 1, F.lit(2**31 - 1))))
 
 
-def _parted(rows: DataFrame, edits: int) -> DataFrame:
-    """``rows`` with counts, once for each group of letters ``g``; ``part`` stands for (key, group, its counts).
+def _level(rows: DataFrame, edits: int, applies: Column, probing: bool, key: Column) -> DataFrame:
+    """One side's keys of what is left of each line, with what tells whether a key is needed.
 
-    Pairs that meet by ``part`` miss none that are near, and lines of one frequent segment
-    meet only where they also use a group of letters alike.
+    ``lead`` and ``tail`` stand for the first and the last segment's length of characters,
+    ``left`` is what the shorter line has besides the segment.
     """
-    parts = [F.struct(F.lit(g).alias("g"), F.xxhash64(F.lit(g), "key", *[f"c{i}" for i in letters]).alias("part")) for g, letters in enumerate(_letter_groups(edits))]
-    return rows.select("*", F.inline(F.array(*parts))).drop("key")
-
-
-def _first_part(edits: int) -> Column:
-    """Of sides x and y that meet by group ``g``: no earlier group agrees, so that a pair is listed once for a key."""
-    agree = [reduce(and_, [F.col(f"x{i}") == F.col(f"y{i}") for i in letters]) for letters in _letter_groups(edits)]
-    return ~reduce(or_, [(F.col("g") > g) & same for g, same in enumerate(agree)])
+    at = _looked(rows, _probe_looks(edits) if probing else _index_looks(edits), applies)
+    parts = F.col("t") + 1
+    first = F.floor(F.col("short") / parts).cast("int")
+    last = first + F.when(F.pmod("short", parts) > 0, 1).otherwise(0)
+    cuts = F.concat("cuts", F.array(F.struct("at", "size")))
+    named = {"lead": F.xxhash64(_cut(F.col("line"), F.lit(0), first)), "tail": F.xxhash64(_cut(F.col("line"), F.col("n") - last, last)), "cuts": cuts, "left": F.col("short") - F.col("size")}
+    rest = F.xxhash64(_without(F.col("line"), F.array(F.struct("at", "size"))))
+    return at.select("h", "component", F.lit(probing).alias("probing"), key.alias("key"), "t", "d", "i", rest.alias("rest"), *[x.alias(name) for name, x in named.items()])
+
+
+def _split(lines: DataFrame, frequent: DataFrame, edits: int, per_edit: int) -> tuple[DataFrame, DataFrame]:
+    """(key, probing, h, component) of finer keys in place of those of ``frequent`` (key), and (key) of those that stay frequent.
+
+    ``lines`` is (h, line, n, component). Two near lines that share a segment, untouched by
+    their edits, are without it as near as before, so what is left has an untouched segment
+    in its turn; that and all before it make up the finer key. Lines that have equal first
+    segments are as near without them, and the same holds for last segments. So a key of
+    another segment is needed only for lines that differ in the first, and a key of one in
+    the middle only for lines that differ in the last, too: keys all of whose lines agree
+    there are left out. It ends where so little is left that its parts would be empty.
+    """
+    none = lines.withColumn("cuts", F.array().cast("array<struct<at:int,size:int>>"))
+    fits = _may_take(edits, per_edit)
+    sides = [_level(none, edits, fits, probing, _segment_key()) for probing in (False, True)]
+    rows = sides[0].union(sides[1]).join(frequent, "key", "left_semi")
+    found = []
+    while True:
+        rows = scratch.table(rows.dropDuplicates(["key", "probing", "h", "rest"]), "line-split")
+        many = F.least(F.count_if("probing"), F.count_if(~F.col("probing")))
+        ends = [f(c).alias(f"{name}_{c}") for c in ("lead", "tail", "component") for name, f in (("lo", F.min), ("hi", F.max))]
+        sizes = rows.groupBy("key").agg(*ends, many.alias("many"), F.max("i").alias("i"), F.max("t").alias("t"), F.max("left").alias("left"))
+        differ = lambda c: F.col(f"lo_{c}") != F.col(f"hi_{c}")
+        needed = (F.col("many") > 0) & differ("component") & ((F.col("i") == 0) | differ("lead")) & ((F.col("i") == 0) | (F.col("i") == F.col("t")) | differ("tail"))
+        keys = scratch.table(sizes.where(needed).select("key", (F.col("many") > FREQUENT).alias("again"), (F.col("left") > F.col("t")).alias("more")), "line-split-keys")
+        found.append((rows.join(keys.where("not (again and more)"), "key", "left_semi"), keys.where("again and not more").select("key")))
+        deeper = keys.where("again and more")
+        if deeper.isEmpty():
+            return tuple(reduce(DataFrame.union, side) for side in ([r.select("key", "probing", "h", "component").distinct() for r, _ in found], [k for _, k in found]))
+        on = rows.join(deeper, "key", "left_semi").select("h", "component", "probing", F.col("key").alias("above"), F.col("t").alias("__t"), F.col("d").alias("__d"), "cuts")
+        on = on.join(lines.select("h", "line"), "h").withColumn("line", _without(F.col("line"), F.col("cuts"))).withColumn("n", (F.octet_length("line") / 4).cast("int"))
+        same = lambda d: (F.col("t") == F.col("__t")) & (d == F.col("__d"))
+        finer = F.xxhash64("above", _segment_key())
+        rows = _level(on.where("not probing").drop("probing"), edits, same(F.col("d")), False, finer).union(_level(on.where("probing").drop("probing"), edits, same(F.col("d")), True, finer))
 
 
 def _groups(lines: DataFrame, edits: int, per_edit: int) -> DataFrame:
@@ -226,17 +276,33 @@ def _groups(lines: DataFrame, edits: int, per_edit: int) -> DataFrame:
     comps = scratch.table(components(links), "line-comps")
     named = lambda t: t.join(comps.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     of_index, of_probes = scratch.table(named(listed), "line-of-index"), scratch.table(named(hits.select("key", "h")), "line-of-probes")
-    both = of_index.union(of_probes)
-    parts = both.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    mixed = scratch.table(parts, "line-mixed")
+    both = of_index.select("key", "component", F.lit(0).alias("p")).union(of_probes.select("key", "component", F.lit(1)))
+    sizes = both.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum("p").alias("p"), F.count("*").alias("n")).where("lo <> hi")
+    mixed = scratch.table(sizes.select("key", (F.least(F.col("p"), F.col("n") - F.col("p")) > FREQUENT).alias("frequent")), "line-mixed")
     if mixed.isEmpty():
         return comps
+    calm, frequent = mixed.where("not frequent"), mixed.where("frequent").select("key")
+    left, right = (t.join(calm, "key", "left_semi").select("key", "h", "component") for t in (of_index, of_probes))
+    if not frequent.isEmpty():
+        in_frequent = listed.union(hits.select("key", "h")).join(frequent, "key", "left_semi").select("h").distinct()
+        lines_there = scratch.table(named(widened(found_lines.select("h", "line").join(in_frequent, "h", "left_semi"))), "line-frequent")
+        finer, still = _split(lines_there, frequent, edits, per_edit)
+        finer = scratch.table(finer, "line-finer")
+        heads = finer.join(still, "key", "left_semi").where("not probing").groupBy("key").agg(F.min("h").alias("first"))
+        again = finer.where("probing").join(heads, "key").where("h <> first").select(F.least("h", "first").alias("a"), F.greatest("h", "first").alias("b")).distinct()
+        more = scratch.table(_near(again, found_lines, edits, per_edit), "line-more-stars")
+        if not more.isEmpty():
+            links = links.union(more)
+            comps = scratch.table(components(links), "line-more-comps")
+            left, right, finer = (named(t.drop("component")) for t in (left, right, finer))
+        pick = lambda probing: finer.where(F.col("probing") == probing).select("key", "h", "component")
+        left, right = left.select("key", "h", "component").union(pick(False)), right.select("key", "h", "component").union(pick(True))
     # Counts are compared inside the join, so pairs of an entry that can't be near are never listed.
     counts = found_lines.drop("line")
-    side = lambda t, name: scratch.table(_side(_parted(t.join(mixed, "key", "left_semi").join(counts, "h"), edits), name), f"line-{name}")
-    left = side(of_index, "x").withColumnsRenamed({"h": "a", "component": "ca"})
-    right = side(of_probes, "y").withColumnsRenamed({"h": "b", "component": "cb", "part": "__part"}).drop("g")
-    near = (F.col("part") == F.col("__part")) & (F.col("ca") != F.col("cb")) & _alike(edits) & _first_part(edits)
+    side = lambda t, name: scratch.table(_side(t.join(counts, "h"), name), f"line-{name}")
+    left = side(left, "x").withColumnsRenamed({"h": "a", "component": "ca"})
+    right = side(right, "y").withColumnsRenamed({"h": "b", "component": "cb", "key": "__key"})
+    near = (F.col("key") == F.col("__key")) & (F.col("ca") != F.col("cb")) & _alike(edits)
     across = left.join(right, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = scratch.table(_near(across.join(stars, ["a", "b"], "left_anti"), found_lines, edits, per_edit), "line-more")
     return comps if more.isEmpty() else components(links.union(more))

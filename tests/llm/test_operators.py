@@ -435,15 +435,32 @@ def test_line_dedup_query(spark, sf, rows):
         assert (got[i]["n_lines"], got[i]["n_removed"], got[i]["text"]) == w
 
 
-def test_lines_of_one_frequent_segment(spark):
+@pytest.mark.parametrize("frequent", [1, 128])
+def test_lines_of_frequent_segments(spark, monkeypatch, frequent):
+    """Lines that share their beginning, end, middle or both ends, differ in few letters or in digits, and are edited anywhere."""
+    monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
     rng = random.Random(17)
-    lines = ["Copyright of all that follows: " + "".join(rng.choice("abcdefghij klmno") for _ in range(40)) for _ in range(80)]
-    texts = {i: "\n".join([lines[i], edited(rng, lines[-1 - i], 2)]) for i in range(80)}
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    shapes = ["Copyright of all that follows: {}", "{} of all this and what may follow", "{} is the middle of it {}", "From here on {} and up to the end of it", "aaaaaaaaaaaaaaaaaaaaaa{}aaaaa", "transfer no. {}"]
+    lines = [shape.format(some(letters, n), some(letters, n)) for shape in shapes for letters, n in (("abcdefghij klmno", 20), ("0123456789", 9), ("01", 6)) for _ in range(12)]
+    texts = {i: "\n".join([line, edited(rng, lines[-1 - i], 2)]) for i, line in enumerate(lines)}
     got = {r["doc_id"]: r for r in line_dedup.remove_repeated_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     for i, want in deduplicated(texts).items():
         assert (got[i]["n_lines"], got[i]["n_removed"], got[i]["text"]) == want
 
 
+def test_lines_of_one_segment_arent_compared_pair_by_pair(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FREQUENT", 16)
+    compared, plain = [], line_dedup._near
+    monkeypatch.setattr(line_dedup, "_near", lambda pairs, *rest: compared.append(pairs.count()) or plain(pairs, *rest))
+    rng = random.Random(3)
+    ids = [f"transaction reference {rng.randrange(10**14):014d}" for _ in range(1000)]
+    rows = [(i, x) for i, x in enumerate(ids)] + [(5000, ids[7][:-1] + "x"), (5001, ids[8][:22] + ids[8][24:]), (5002, ids[9])]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(compared) < 20 * len(ids)
+    assert got == {i: "" if i >= 5000 else x for i, x in rows}
+
+
 def test_line_dedup_of_odd_rows(odd, empty):
     got = line_dedup.remove_repeated_lines(odd).collect()
     assert len(got) == len(ODD)
