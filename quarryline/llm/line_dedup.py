@@ -27,7 +27,7 @@ EDITS, PER_EDIT = 2, 12
 #: A line with more than this part of all rows has its repeats set aside first; there are fewer than 1 / HOT such lines.
 HOT = 0.001
 #: A key that more lines than this have, of those indexed and of those that probe it, is split further.
-FREQUENT = 128
+FREQUENT = 32
 #: Letters that are counted, to leave out pairs that no few edits can make equal.
 COUNTED = "etaoinsrhldum, E"
 
@@ -210,20 +210,22 @@ def _level(rows: DataFrame, edits: int, applies: Column, probing: bool, key: Col
     """One side's keys of what is left of each line, with what tells whether a key is needed.
 
     ``lead`` and ``tail`` stand for the first and the last segment's length of characters,
-    ``left`` is what the shorter line has besides the segment.
+    ``apart`` holds those of all levels in which lines that meet by the key have to differ, ``left`` is what the shorter line has besides the segment.
     """
     at = _looked(rows, _probe_looks(edits) if probing else _index_looks(edits), applies)
     parts = F.col("t") + 1
     first = F.floor(F.col("short") / parts).cast("int")
     last = first + F.when(F.pmod("short", parts) > 0, 1).otherwise(0)
     cuts = F.concat("cuts", F.array(F.struct("at", "size")))
-    named = {"lead": F.xxhash64(_cut(F.col("line"), F.lit(0), first)), "tail": F.xxhash64(_cut(F.col("line"), F.col("n") - last, last)), "cuts": cuts, "left": F.col("short") - F.col("size")}
+    lead, tail, i = F.xxhash64(_cut(F.col("line"), F.lit(0), first)), F.xxhash64(_cut(F.col("line"), F.col("n") - last, last)), F.col("i")
+    apart = F.concat("apart", F.when(i == 0, F.array().cast("array<bigint>")).when(i == F.col("t"), F.array(lead)).otherwise(F.array(lead, tail)))
+    named = {"lead": lead, "tail": tail, "cuts": cuts, "apart": apart, "left": F.col("short") - F.col("size")}
     rest = F.xxhash64(_without(F.col("line"), F.array(F.struct("at", "size"))))
     return at.select("h", "component", F.lit(probing).alias("probing"), key.alias("key"), "t", "d", "i", rest.alias("rest"), *[x.alias(name) for name, x in named.items()])
 
 
 def _split(lines: DataFrame, frequent: DataFrame, edits: int, per_edit: int) -> tuple[DataFrame, DataFrame]:
-    """(key, probing, h, component) of finer keys in place of those of ``frequent`` (key), and (key) of those that stay frequent.
+    """(key, probing, h, component, apart) of finer keys in place of those of ``frequent`` (key), and (key) of those that stay frequent.
 
     ``lines`` is (h, line, n, component). Two near lines that share a segment, untouched by
     their edits, are without it as near as before, so what is left has an untouched segment
@@ -231,9 +233,9 @@ def _split(lines: DataFrame, frequent: DataFrame, edits: int, per_edit: int) ->
     segments are as near without them, and the same holds for last segments. So a key of
     another segment is needed only for lines that differ in the first, and a key of one in
     the middle only for lines that differ in the last, too: keys all of whose lines agree
-    there are left out. It ends where so little is left that its parts would be empty.
+    there are left out, and ``apart`` keeps single pairs from meeting there. It ends where so little is left that its parts would be empty.
     """
-    none = lines.withColumn("cuts", F.array().cast("array<struct<at:int,size:int>>"))
+    none = lines.withColumns({"cuts": F.array().cast("array<struct<at:int,size:int>>"), "apart": F.array().cast("array<bigint>")})
     fits = _may_take(edits, per_edit)
     sides = [_level(none, edits, fits, probing, _segment_key()) for probing in (False, True)]
     rows = sides[0].union(sides[1]).join(frequent, "key", "left_semi")
@@ -249,8 +251,8 @@ def _split(lines: DataFrame, frequent: DataFrame, edits: int, per_edit: int) ->
         found.append((rows.join(keys.where("not (again and more)"), "key", "left_semi"), keys.where("again and not more").select("key")))
         deeper = keys.where("again and more")
         if deeper.isEmpty():
-            return tuple(reduce(DataFrame.union, side) for side in ([r.select("key", "probing", "h", "component").distinct() for r, _ in found], [k for _, k in found]))
-        on = rows.join(deeper, "key", "left_semi").select("h", "component", "probing", F.col("key").alias("above"), F.col("t").alias("__t"), F.col("d").alias("__d"), "cuts")
+            return tuple(reduce(DataFrame.union, side) for side in ([r.select("key", "probing", "h", "component", "apart").distinct() for r, _ in found], [k for _, k in found]))
+        on = rows.join(deeper, "key", "left_semi").select("h", "component", "probing", F.col("key").alias("above"), F.col("t").alias("__t"), F.col("d").alias("__d"), "cuts", "apart")
         on = on.join(lines.select("h", "line"), "h").withColumn("line", _without(F.col("line"), F.col("cuts"))).withColumn("n", (F.octet_length("line") / 4).cast("int"))
         same = lambda d: (F.col("t") == F.col("__t")) & (d == F.col("__d"))
         finer = F.xxhash64("above", _segment_key())
@@ -282,7 +284,7 @@ def _groups(lines: DataFrame, edits: int, per_edit: int) -> DataFrame:
     if mixed.isEmpty():
         return comps
     calm, frequent = mixed.where("not frequent"), mixed.where("frequent").select("key")
-    left, right = (t.join(calm, "key", "left_semi").select("key", "h", "component") for t in (of_index, of_probes))
+    left, right = (t.join(calm, "key", "left_semi").select("key", "h", "component", F.array().cast("array<bigint>").alias("apart")) for t in (of_index, of_probes))
     if not frequent.isEmpty():
         in_frequent = listed.union(hits.select("key", "h")).join(frequent, "key", "left_semi").select("h").distinct()
         lines_there = scratch.table(named(widened(found_lines.select("h", "line").join(in_frequent, "h", "left_semi"))), "line-frequent")
@@ -295,14 +297,16 @@ def _groups(lines: DataFrame, edits: int, per_edit: int) -> DataFrame:
             links = links.union(more)
             comps = scratch.table(components(links), "line-more-comps")
             left, right, finer = (named(t.drop("component")) for t in (left, right, finer))
-        pick = lambda probing: finer.where(F.col("probing") == probing).select("key", "h", "component")
-        left, right = left.select("key", "h", "component").union(pick(False)), right.select("key", "h", "component").union(pick(True))
+        columns = ["key", "h", "component", "apart"]
+        pick = lambda probing: finer.where(F.col("probing") == probing).select(columns)
+        left, right = left.select(columns).union(pick(False)), right.select(columns).union(pick(True))
     # Counts are compared inside the join, so pairs of an entry that can't be near are never listed.
     counts = found_lines.drop("line")
     side = lambda t, name: scratch.table(_side(t.join(counts, "h"), name), f"line-{name}")
     left = side(left, "x").withColumnsRenamed({"h": "a", "component": "ca"})
-    right = side(right, "y").withColumnsRenamed({"h": "b", "component": "cb", "key": "__key"})
-    near = (F.col("key") == F.col("__key")) & (F.col("ca") != F.col("cb")) & _alike(edits)
+    right = side(right, "y").withColumnsRenamed({"h": "b", "component": "cb", "key": "__key", "apart": "__apart"})
+    elsewhere = F.exists(F.zip_with("apart", "__apart", lambda x, y: x == y), lambda same: same)
+    near = (F.col("key") == F.col("__key")) & (F.col("ca") != F.col("cb")) & _alike(edits) & ~elsewhere
     across = left.join(right, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = scratch.table(_near(across.join(stars, ["a", "b"], "left_anti"), found_lines, edits, per_edit), "line-more")
     return comps if more.isEmpty() else components(links.union(more))
