@@ -2,16 +2,17 @@
 
 A code is cut into substrings and each substring is an index of its own. By the pigeonhole
 principle every code within ``radius`` bits of a query's agrees with it in one substring
-up to ``reach`` bits, so looking up the few substring values that near finds all of them,
-and many farther ones. Codes and probes meet by a join on (substring, value); what is
-found up to ``wide`` bits off is ranked by exact products.
+up to ``reach`` bits, or in one of the first ``further`` substrings up to a bit more, so
+looking up the few substring values that near finds all of them, and many farther ones.
+Codes and probes meet by a join on (substring, value); what is found up to ``wide`` bits
+off is ranked by exact products.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache, reduce
 from itertools import combinations
 from operator import add
@@ -25,9 +26,11 @@ from quarryline.llm import scratch, vectors
 
 #: About the bits of a code, and the least and most bits of a substring; between these an index value has about ``BUCKET`` rows.
 BITS, LEAST_SUB, MOST_SUB, BUCKET = 512, 10, 24, 64
-#: Most bits of reach that are weighed against the number of substrings.
+#: Substrings that are indexed: as many for any number of vectors, so the index grows as they do.
+INDEXED = 20
+#: Most bits of reach with these; where more would be needed, all substrings are indexed.
 MOST_REACH = 3
-#: Queries whose true neighbours set the reach and the width, and the parts of these that each must keep.
+#: Queries whose true neighbours set the radius and the width, and the parts of these that each must keep.
 TRIALS, REACHED, WITHIN = 256, 0.98, 0.97
 #: Vectors and queries of a block where queries with too few finds are compared with everything.
 BLOCK, QUERY_BLOCK = 8192, 1024
@@ -41,8 +44,8 @@ class Model:
 
     ``turns`` has (centre, rotation) for each length of vectors that was learned; other
     lengths take a seeded random rotation. The first ``used`` substrings are indexed;
-    ``reach`` is the bits in which a probed value may differ, ``wide`` the bits in which a
-    whole code may.
+    ``reach`` is the bits in which a probed value may differ, one more in the first
+    ``further`` substrings; ``wide`` is the bits in which a whole code may.
     """
 
     longest: float
@@ -51,6 +54,7 @@ class Model:
     reach: int = 0
     wide: int = BITS
     used: int = BITS
+    further: int = 0
 
     @property
     def m(self) -> int:
@@ -58,8 +62,8 @@ class Model:
 
     @property
     def radius(self) -> int:
-        """Every code at most so many bits off in the indexed substrings is found: one of these is within ``reach``."""
-        return self.used * (self.reach + 1) - 1
+        """Every code at most so many bits off in the indexed substrings is found: one of these is within its reach."""
+        return self.used * (self.reach + 1) + self.further - 1
 
     def substrings(self, x: np.ndarray) -> np.ndarray:
         """The m substring values of each lifted row's code."""
@@ -98,7 +102,7 @@ def random_turn(d: int, bits: int) -> np.ndarray:
 
 
 def fit(sample: dict[int, np.ndarray], longest: float, rows: int) -> Model:
-    """A model of ``rows`` vectors, its rotations learned from a sample by length; reach and width are set by ``tried``."""
+    """A model of ``rows`` vectors, its rotations learned from a sample by length; radius and width are set by ``tried``."""
     sub = min(MOST_SUB, max(LEAST_SUB, round(math.log2(max(1, rows / BUCKET)))))
     turns = {}
     for d, x in sample.items():
@@ -113,25 +117,23 @@ def bits_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).astype(np.uint64)).astype(np.int64)
 
 
-def tried(model: Model, queries: np.ndarray, found: np.ndarray, rows: int) -> Model:
-    """The model with the reach and the substrings that find ``REACHED`` of true pairs (query, neighbour) at the least cost, and the width that holds ``WITHIN`` of them.
+def tried(model: Model, queries: np.ndarray, found: np.ndarray, rows: int | None = None) -> Model:
+    """The model with the least radius of ``INDEXED`` substrings that finds ``REACHED`` of true pairs (query, neighbour), and the width that holds ``WITHIN`` of them.
 
-    A query costs its probed values and, of codes that lie evenly, the rows of ``rows`` that
-    these meet. A wider reach asks for more values of each substring and needs fewer substrings.
+    A larger radius probes all values of a smaller one and more, so the least one costs
+    least, for any number of rows: ``rows`` has no effect.
     """
     if not len(queries):
         return model
     apart = bits_between(model.query(queries), model.index(found))
-    wide, best = int(np.quantile(apart.sum(axis=1), WITHIN, method="higher")), None
-    for reach in range(MOST_REACH + 1):
-        enough = np.flatnonzero(np.maximum.accumulate(apart <= reach, axis=1).mean(axis=0) >= REACHED)
-        if len(enough):
-            used = int(enough[0]) + 1
-            cost = used * len(ball(reach, model.sub)) * (1 + rows / 2**model.sub)
-            best = min(best or (cost, reach, used), (cost, reach, used))
-    if best is None:  # neighbours as far as others: the least reach that all substrings allow
-        best = (0, int(np.quantile(apart.min(axis=1), REACHED, method="higher")), model.m)
-    return Model(model.longest, model.sub, model.turns, best[1], wide, best[2])
+    wide, used = int(np.quantile(apart.sum(axis=1), WITHIN, method="higher")), min(INDEXED, model.m)
+    # A pair is found from the first (reach, further) on that has one of its substrings: substring j is probed up to a bit more once further > j.
+    least = np.where(apart > 0, (apart - 1) * used + np.arange(model.m) + 1, 0)[:, :used].min(axis=1)
+    reach, further = divmod(int(np.quantile(least, REACHED, method="higher")), used)
+    if reach + (further > 0) <= MOST_REACH:
+        return replace(model, reach=reach, wide=wide, used=used, further=further)
+    # Neighbours as far as others: the least reach that all substrings allow.
+    return replace(model, reach=int(np.quantile(apart.min(axis=1), REACHED, method="higher")), wide=wide, used=model.m, further=0)
 
 
 def ball(radius: int, bits: int) -> list[int]:
@@ -175,12 +177,13 @@ def _values(model: Model, name: str) -> list[Column]:
 def _keyed(coded: DataFrame, model: Model, name: str, probes: bool) -> DataFrame:
     """The coded rows once for each substring (and, as ``probes``, each value within reach of it) with ``name_key`` of length, substring and value."""
     key = lambda j, value: (F.col(f"{name}_d").cast("long") * BITS + j) * (1 << MOST_SUB) + value
-    out = coded.withColumn(f"{name}_key", F.explode(F.array(*[key(j, v) for j, v in enumerate(_values(model, name))])))
-    if probes and model.reach:
-        # One constant array; the value stands in the key's lowest bits.
-        near = F.split(F.lit(",".join(map(str, ball(model.reach, model.sub)))), ",").cast("array<long>")
-        out = out.withColumn("__near", F.explode(near)).withColumn(f"{name}_key", F.col(f"{name}_key").bitwiseXOR(F.col("__near"))).drop("__near")
-    return out
+    out = coded.select("*", F.posexplode(F.array(*[key(j, v) for j, v in enumerate(_values(model, name))])).alias("__j", f"{name}_key"))
+    if probes and (model.reach or model.further):
+        # Constant arrays; the value stands in the key's lowest bits.
+        near, more = (F.split(F.lit(",".join(map(str, ball(reach, model.sub)))), ",").cast("array<long>") for reach in (model.reach, model.reach + 1))
+        out = out.withColumn("__near", F.explode(F.when(F.col("__j") < model.further, more).otherwise(near)) if model.further else F.explode(near))
+        out = out.withColumn(f"{name}_key", F.col(f"{name}_key").bitwiseXOR(F.col("__near"))).drop("__near")
+    return out.drop("__j")
 
 
 def _met(index: DataFrame, queries: DataFrame, model: Model) -> DataFrame:
@@ -191,7 +194,7 @@ def _met(index: DataFrame, queries: DataFrame, model: Model) -> DataFrame:
     mine = (F.shiftright(F.col("i_key"), MOST_SUB) - F.col("i_d").cast("long") * BITS).cast("int")
     # A lambda, looked at for pairs that are near enough only: written out for each substring, the condition is too long to be compiled.
     part = lambda all_, j: F.bit_count(F.call_function("shiftright", F.get(all_, F.floor(j / per).cast("int")), F.pmod(j, F.lit(per)) * model.sub).bitwiseAND(mask))
-    later = F.exists(F.array(*[F.struct(F.array(*differ).alias("all"), mine.alias("mine"))]), lambda v: F.exists(F.sequence(F.lit(0), v["mine"]), lambda j: (j < v["mine"]) & (part(v["all"], j) <= model.reach)))
+    later = F.exists(F.array(*[F.struct(F.array(*differ).alias("all"), mine.alias("mine"))]), lambda v: F.exists(F.sequence(F.lit(0), v["mine"]), lambda j: (j < v["mine"]) & (part(v["all"], j) <= model.reach + (j < model.further).cast("int"))))
     on = (F.col("q_key") == F.col("i_key")) & (reduce(add, map(F.bit_count, differ)) <= model.wide) & ~later
     # Neither side may be broadcast: both are many times the tables that they come from.
     return _keyed(queries, model, "q", True).hint("merge").join(_keyed(index, model, "i", False), on).select("q", "i")
@@ -285,7 +288,7 @@ def model_of(reps: DataFrame, asked: DataFrame, k: int) -> Model:
     pairs = true.join(trials.select(F.col("rep").alias("q"), F.col("v").alias("q_v")), "q").join(reps.select(F.col("rep").alias("i"), F.col("v").alias("i_v")), "i").select("q_v", "i_v").toArrow()
     q, found = (pairs.column(c).combine_chunks() for c in ("q_v", "i_v"))
     usual = max(vectors.by_length(q).values(), key=len, default=np.empty(0, np.int64))
-    return tried(model, *(vectors.matrix(c.take(pa.array(usual))) for c in (q, found)), rows=stats["n"])
+    return tried(model, *(vectors.matrix(c.take(pa.array(usual))) for c in (q, found)))
 
 
 def _best(df: DataFrame, queries: DataFrame, k: int, vec_id: str, vector: str) -> tuple[DataFrame, DataFrame]:

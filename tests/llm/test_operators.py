@@ -641,6 +641,41 @@ def test_reach_and_substrings_are_those_of_least_cost(spark, sf):
     assert far.used == far.m and far.reach > hashing_search.MOST_REACH
 
 
+def test_the_index_grows_as_the_vectors_do():
+    """The given tables' kind of vectors, five times as many: as many rows of index each, and the radius keeps the trial pairs."""
+    x, used = np.random.default_rng(9).standard_normal((51282, 64)), []
+    x[5000:] += 0.5 * x[np.random.default_rng(10).integers(0, 5000, 46282)]
+    for n in (10256, 51282):
+        part = x[:n]
+        asked = np.arange(0, n, n // 128)[:128]
+        score = part[asked] @ part.T
+        score[np.arange(len(asked)), asked] = -np.inf
+        near = part[np.argpartition(-score, 20, axis=1)[:, :20].ravel()]
+        pairs = np.repeat(part[asked], 20, axis=0), near
+        model = hashing_search.tried(hashing_search.fit({64: part[:4096]}, float(np.sqrt((part * part).sum(axis=1)).max()), n), *pairs, n)
+        used.append(model.used)
+        apart = hashing_search.bits_between(model.query(pairs[0]), model.index(near))[:, : model.used]
+        kept = lambda reach, further: (apart <= reach + (np.arange(model.used) < further)).any(axis=1).mean()
+        before = divmod(model.reach * model.used + model.further - 1, model.used)
+        assert kept(model.reach, model.further) >= hashing_search.REACHED > kept(*before)
+    assert used[0] == used[1] == hashing_search.INDEXED
+
+
+def test_probes_reach_further_in_the_first_substrings(spark):
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((40, 12))
+    x = np.concatenate([base, base + 0.2 * rng.standard_normal((40, 12)), base + 0.4 * rng.standard_normal((40, 12))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "rep long, v array<double>")
+    for reach, further in ((0, 5), (1, 3)):
+        model = dataclasses.replace(hashing_search.fit({12: x}, float(np.sqrt((x * x).sum(1)).max()), 120), reach=reach, further=further, used=9, wide=200)
+        met = hashing_search._met(hashing_search._coded(df, model, "i", False), hashing_search._coded(df.where("rep < 40"), model, "q", True), model)
+        got = [(r["q"], r["i"]) for r in met.collect()]
+        apart = hashing_search.bits_between(model.query(x[:40])[:, None, :], model.index(x)[None, :, :])
+        hit = (apart[:, :, :9] <= reach + (np.arange(9) < further)).any(axis=2) & (apart.sum(axis=2) <= 200)
+        assert len(got) == len(set(got)) and set(got) == set(zip(*np.nonzero(hit), strict=True))
+        assert hit[(apart[:, :, :9].sum(axis=2) <= model.radius) & (apart.sum(axis=2) <= 200)].all() and model.radius == 9 * (reach + 1) + further - 1
+
+
 def test_results_come_from_probes(spark, monkeypatch):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     compared, plain = [], hashing_search._compared
