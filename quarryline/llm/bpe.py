@@ -2,7 +2,8 @@
 
 A word is merged over a segment tree of its adjacent pairs' ranks: the root is the
 leftmost pair of the lowest rank, and a merge changes at most three leaves, each in
-logarithmic time, so a word of any length takes O(n log n).
+logarithmic time, so a word of any length takes O(n log n). The trees of many words lie
+side by side as rows of an array and take a merge each at a time.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import batched
 from pathlib import Path
 
 import numpy as np
@@ -26,11 +28,15 @@ from quarryline.llm.byte_bpe import NEWER_LETTERS, NEWER_NUMBERS, compiled
 
 #: Largest tokenizer file that is broadcast.
 MAX_FILE_BYTES = 64_000_000
-#: A worker remembers words in two generations of at most so many, none of more characters than this: about 40 MB.
+#: A worker remembers words in two generations of at most so many (or one piece's new words), none of more characters than this: about 40 MB.
 MAX_WORDS, MAX_LETTERS = 100_000, 64
 #: Texts of more characters are split into words one by one, and ids are decoded in stretches of so many.
 STRETCH = 1 << 18
+#: Words whose trees are merged at once: fewer go one by one, more in parts.
+FEWEST, ABREAST = 24, 8192
 NONE = 1 << 60
+#: A leaf without a pair, in arrays.
+EMPTY = np.iinfo(np.int64).max
 # Capitals that the library lowers and the interpreter's older tables lack (Unicode 16 and 17).
 LOWERED = (
     {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
@@ -39,6 +45,8 @@ LOWERED = (
 )
 #: Texts with one of these are lowered and split with care.
 UNEVEN = re.compile(f"[{NEWER_LETTERS}{NEWER_NUMBERS}{''.join(map(chr, LOWERED))}]")
+#: All of these come from here on; one range is looked for much faster than many.
+LATER = re.compile("[\u0558-\U0010ffff]")
 
 
 def merge_word(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
@@ -94,6 +102,70 @@ def merge_word(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) ->
     return [x for x in ids if x >= 0]
 
 
+class Pairs:
+    """The ranks of pairs of ids, for arrays of pairs."""
+
+    def __init__(self, ranks: dict[tuple[int, int], tuple[int, int]]):
+        a, b, rank, made = np.array([(*pair, *to) for pair, to in ranks.items()], np.int64).reshape(-1, 4).T
+        order = np.argsort(a << 32 | b)
+        # The last key is no pair's: what is looked up beyond all others meets it.
+        self.keys, self.ranks = np.append((a << 32 | b)[order], EMPTY), np.append(rank[order], 0)
+        self.made = np.zeros(int(rank.max(initial=-1)) + 1, np.int64)
+        self.made[rank] = made
+
+    def leaves(self, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """rank * 2**32 + at of the pairs (a, b), ``EMPTY`` where they don't merge; an id of -1 merges with none."""
+        key = a << 32 | b
+        place = np.searchsorted(self.keys, key)
+        return np.where((self.keys[place] == key) & (a >= 0) & (b >= 0), self.ranks[place] << 32 | at, EMPTY)
+
+
+def merge_words(ids: np.ndarray, pairs: Pairs) -> np.ndarray:
+    """``merge_word`` of each row, whose symbols end with an id of -1 at least; merged symbols are -1 in the result.
+
+    Row by row the same tree: node k has the children 2k and 2k + 1, the root is node 1, and
+    leaf i is the pair of the symbol at i and the next that is left.
+    """
+    n, width = ids.shape
+    size = width - 1
+    assert size & (size - 1) == 0, "a power of two, and one more"
+    out, rows = ids.reshape(-1).copy(), np.arange(n)
+    tree = np.full((n, 2 * size), EMPTY)
+    places = np.arange(size)
+    tree[:, size:] = pairs.leaves(ids[:, :-1], ids[:, 1:], places)
+    low = size
+    while low > 1:
+        tree[:, low // 2 : low] = np.minimum(tree[:, low : 2 * low : 2], tree[:, low + 1 : 2 * low : 2])
+        low //= 2
+    tree = tree.reshape(-1)
+    after, before = np.tile(np.arange(1, width + 1), n), np.tile(np.arange(-1, size), n)
+    while True:
+        root = tree[rows * (2 * size) + 1]
+        open_ = root < EMPTY
+        rows, root = rows[open_], root[open_]
+        if not len(rows):
+            return out.reshape(n, width)
+        at, leaf = rows * width, rows * (2 * size) + size
+        i = root & 0xFFFFFFFF
+        j = after[at + i]
+        k = after[at + j]
+        new = pairs.made[root >> 32]
+        out[at + i], out[at + j] = new, -1
+        after[at + i], before[at + k] = k, i
+        h = before[at + i]
+        first = h < 0
+        # Nothing before: the leaf of the symbol that went is emptied a second time.
+        h[first] = j[first]
+        tree[leaf + j] = EMPTY
+        tree[leaf + i] = pairs.leaves(new, out[at + k], i)
+        tree[leaf + h] = pairs.leaves(out[at + h], new, h)
+        base, node = np.tile(rows * (2 * size), 3), np.concatenate((i, j, h)) + size
+        for _ in range(size.bit_length() - 1):
+            node >>= 1
+            below = base + 2 * node
+            tree[base + node] = np.minimum(tree[below], tree[below + 1])
+
+
 def byte_letters() -> dict[int, str]:
     """The printable letter that byte-level vocabularies write for each byte: itself, or the next free one from 256."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -114,8 +186,10 @@ class Codec(dict):
         letters = byte_letters()
         self.first = [vocab.get(letters[b], -1) for b in range(256)]
         self.last = [vocab.get(letters[b] + suffix, -1) for b in range(256)]
+        self.firsts, self.lasts = np.array(self.first), np.array(self.last)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.ranks = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.pairs = Pairs(self.ranks)
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         names = {i: t for t, i in (vocab | special).items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
@@ -138,27 +212,62 @@ class Codec(dict):
         self[word] = out
         return out
 
-    def _plain(self, text: str) -> bytes:
+    def learn(self, words: set[str]) -> None:
+        """Remembers those of ``words`` that aren't yet, encoded together by the lengths of their trees."""
+        fresh = [w for w in words if w not in self and w not in self.older and len(w) <= MAX_LETTERS]
+        if len(self) + len(fresh) > MAX_WORDS:
+            self.older = dict(self)
+            self.clear()
+        by_size: dict[int, list[tuple[str, bytes]]] = {}
+        for word in fresh:
+            raw = word.encode()
+            by_size.setdefault(1 << (len(raw) - 1).bit_length(), []).append((word, raw))
+        for size, some in by_size.items():
+            # The fewer, the more each step costs a word; the rest is encoded when it is asked for.
+            for start in range(0, len(some) if len(some) >= FEWEST else 0, ABREAST):
+                part = some[start : start + ABREAST]
+                length = np.array([len(raw) for _, raw in part])
+                ids = np.full((len(part), size + 1), -1)
+                ids[np.arange(size + 1) < length[:, None]] = self.firsts[np.frombuffer(b"".join(raw for _, raw in part), np.uint8)]
+                ids[np.arange(len(part)), length - 1] = self.lasts[[raw[-1] for _, raw in part]]
+                ids = merge_words(ids, self.pairs)
+                kept = ids >= 0
+                data, ends = ids[kept].astype("<u4").tobytes(), (4 * np.cumsum(kept.sum(axis=1))).tolist()
+                self.update(zip((word for word, _ in part), map(data.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+
+    def _plain(self, text: str) -> tuple[str, regex.Pattern]:
+        """The normalized text, and the pattern that its words are found by."""
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # Each character alone: a final sigma is lowered like any other.
         text = text.lower() if "Σ" not in text else "".join(map(str.lower, text))
         pattern = self.plain
-        if not text.isascii() and UNEVEN.search(text):
+        if not text.isascii() and LATER.search(text) and UNEVEN.search(text):
             text, pattern = text.translate(LOWERED), self.exact
+        return text, pattern
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; new words of all of them are learned together."""
+        found = []
+        for text in texts:
+            parts = self.split.split(text) if any(t in text for t in self.special) else [text]
+            found.append([self.special[part] if k % 2 else self._words(*self._plain(part)) for k, part in enumerate(parts)])
+        self.learn(set().union(*(words for parts in found for words in parts if isinstance(words, list))))
+        return [b"".join(words if isinstance(words, bytes) else b"".join(map(self.__getitem__, words)) for words in parts) for parts in found]
+
+    def _words(self, text: str, pattern: regex.Pattern) -> list[str] | bytes:
+        """The words of a text or, for the list of all words would be many times a long text, their ids."""
         if len(text) <= STRETCH:
-            return b"".join(map(self.__getitem__, pattern.findall(text)))
-        # Word by word, for the list of all words would be many times the text.
+            return pattern.findall(text)
         out = bytearray()
-        for m in pattern.finditer(text):
-            out += self[m[0]]
+        for words in batched((m[0] for m in pattern.finditer(text)), ABREAST):
+            self.learn(set(words))
+            out += b"".join(map(self.__getitem__, words))
         return bytes(out)
 
-    def encode(self, text: str) -> bytes:
-        if not any(t in text for t in self.special):
-            return self._plain(text)
-        return b"".join(self.special[part] if k % 2 else self._plain(part) for k, part in enumerate(self.split.split(text)))
-
     def decode(self, ids: bytes) -> str:
         """The ids' vocabulary strings, special ones included, joined by spaces."""
         numbers = np.frombuffer(ids, "<u4")
@@ -233,7 +342,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
 
     def convert(texts: list[str | None]) -> list[list]:
         codec = _codec(*held)
-        out = [codec.encode(t or "") for t in texts]
+        out = codec.encode_all([t or "" for t in texts])
         return [out, *([[codec.decode(x) for x in out]] if decoded else [])]
 
     return _mapped(docs, text, [(ids, T.BinaryType(), pa.binary()), *([(decoded, T.StringType(), pa.string())] if decoded else [])], convert)

@@ -10,6 +10,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -155,6 +156,35 @@ def test_bpe_equals_the_library(spark, sf, rows):
         assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == want
 
 
+def test_bpe_merges_many_words_side_by_side():
+    """Each row as if it were merged alone, and new words of many texts in less time than one by one."""
+    lib, codec = Tokenizer.from_file(TOKENIZER), bpe.Codec(open(TOKENIZER, "rb").read())
+    rng = random.Random(5)
+    drawn = {"".join(rng.choice("etaoinshrdluéßж" if n % 3 else "ab") for _ in range(rng.randrange(1, 65 if n % 50 == 0 else 14))) for n in range(12000)}
+    words = sorted(drawn)
+    assert {1 << (len(w.encode()) - 1).bit_length() for w in words} >= {1, 2, 4, 8, 16, 32, 64}
+    one_by_one, start = {}, time.process_time()
+    for word in words:
+        raw = word.encode()
+        one_by_one[word] = np.array(bpe.merge_word([*(codec.first[b] for b in raw[:-1]), codec.last[raw[-1]]], codec.ranks), "<u4").tobytes()
+    alone, start = time.process_time() - start, time.process_time()
+    codec.learn(drawn)
+    together = time.process_time() - start
+    assert len(codec) > 0.99 * len(words) and all(one_by_one[w] == ids for w, ids in codec.items())
+    assert together < 0.6 * alone
+    texts = [" ".join(words[at : at + 40]) for at in range(0, len(words), 40)] + ["", "<|endoftext|>x", "y" * 300]
+    fresh = bpe.Codec(open(TOKENIZER, "rb").read())
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in fresh.encode_all(texts)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_bpe_forgets_words_and_still_encodes_them(monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_WORDS", 50)
+    lib, codec = Tokenizer.from_file(TOKENIZER), bpe.Codec(open(TOKENIZER, "rb").read())
+    texts = [" ".join(f"{a}{b}{c}" for a in "abcdef" for b in "xyz" for c in part) for part in ("gh", "ghi", "klmnop", "gh")]
+    for some in (texts[:1], texts[1:3], texts):
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in codec.encode_all(some)] == [e.ids for e in lib.encode_batch(some, add_special_tokens=False)]
+
+
 def test_bpe_on_odd_texts(spark, odd, empty):
     lib, codec = Tokenizer.from_file(TOKENIZER), bpe.Codec(open(TOKENIZER, "rb").read())
     rng = random.Random(3)
